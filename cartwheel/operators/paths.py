@@ -127,7 +127,7 @@ def cart_orders(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
     """Every cart view of a session that ordered, with each of its orders."""
     return cart_views(pageviews, **window).join(
         orders.select(SESSION, "order_id", "items_purchased", "price_usd"), SESSION, "inner"
-    ).select("time_period", SESSION, "order_id", "items_purchased", "price_usd")
+    ).select("time_period", SESSION, "order_id", "items_purchased", F.col("price_usd").cast("double").alias("price_usd"))
 
 
 def _cart_cells(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
