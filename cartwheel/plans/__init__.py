@@ -1,0 +1 @@
+"""The report catalog (key -> Spark job) and its independent SQL oracle."""

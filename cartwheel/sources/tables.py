@@ -92,6 +92,10 @@ class ShopTables:
 def derive_shop(events: DataFrame) -> ShopTables:
     """Lazy plans of the five tables, derived from the click stream."""
     views, blocks = E.tag_events(events)
+    return _from_tagged(views, blocks)
+
+
+def _from_tagged(views: DataFrame, blocks: DataFrame) -> ShopTables:
     items = E.derive_order_items(views)
     return ShopTables(
         sessions=E.derive_sessions(blocks),
@@ -132,10 +136,17 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     checkpoint directory; later ``open_shop`` calls read it.
     """
     path = path.rstrip("/")
-    shop = derive_shop(spark.read.parquet(os.path.join(path, "events.parquet")))
     tag = hashlib.sha1(path.encode()).hexdigest()[:12]
     root = os.path.join(checkpoint_dir(spark), f"shop-{tag}-{spark.sparkContext.applicationId}")
     n = files_per_table or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # tag the events once and cut the lineage there: the five tables are
+    # then projections of one written table (a block's first view carries
+    # everything its session row needs)
+    views, _ = E.tag_events(spark.read.parquet(os.path.join(path, "events.parquet")))
+    tagged_path = os.path.join(root, "_tagged_events.parquet")
+    views.write.mode("overwrite").parquet(tagged_path)
+    tagged = spark.read.parquet(tagged_path)
+    shop = _from_tagged(tagged, tagged.filter(F.col("n") == 1).select("user_id", "blk", "sid", "secs0", "st"))
     layout = {
         "website_sessions": shop.sessions.repartitionByRange(n, "website_session_id").sortWithinPartitions(
             "website_session_id"

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysis this library re-expresses has no streaming surface -- no
+watermarks, event-time windows, state or late data; every report is a
+batch question over stored tables. Nothing is built here. New data is
+picked up by re-running ``sources.stage_shop`` and the reports.
+"""
