@@ -52,11 +52,21 @@ def entry_pages(pageviews: DataFrame) -> DataFrame:
 
 
 def _landing_and_size(pageviews: DataFrame, until: str) -> DataFrame:
-    """Per session: first view before ``until`` (or NULL) and all-time view count."""
-    return pageviews.groupBy(SESSION).agg(
-        first_view_where(created_before(until), "pageview_url").alias("f"),
-        F.count(F.lit(1)).alias("n_views"),
+    """Per session with a view before ``until``: that first view and the
+    session's all-time view count.
+
+    The first view (a sort-based aggregate, the struct holds a string)
+    runs on the date-filtered views only; the count of all views is a hash
+    aggregate over the views of those sessions alone (a semi-join, which
+    broadcasts the session set when AQE measures it small).
+    """
+    landing = pageviews.filter(created_before(until)).groupBy(SESSION).agg(first_view("pageview_url").alias("f"))
+    sizes = (
+        pageviews.join(landing.select(SESSION), SESSION, "left_semi")
+        .groupBy(SESSION)
+        .agg(F.count(F.lit(1)).alias("n_views"))
     )
+    return landing.join(sizes, SESSION)
 
 
 def first_pageview(pageviews: DataFrame, until: str = "2012-06-14") -> DataFrame:

@@ -51,7 +51,8 @@ def build_session(
         .config("spark.driver.memory", os.environ.get("CARTWHEEL_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in {**SQL_CONF, **(extra or {})}.items():
+    env_conf = dict(kv.split("=", 1) for kv in os.environ.get("CARTWHEEL_SQL_CONF", "").split(",") if "=" in kv)
+    for key, value in {**SQL_CONF, **(extra or {}), **env_conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
