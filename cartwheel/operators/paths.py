@@ -145,10 +145,16 @@ def _cart_cells(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
     * later view, no order: ``m`` rows per cart view, clicked;
     * later view and orders: ``m * c`` rows per cart view and order.
     """
-    views = cart_views(pageviews, **window)
-    per_period = views.groupBy("time_period", SESSION).agg(F.count(F.lit(1)).alias("c_p"))
+    keys = ["time_period", SESSION]
+    per_period = (
+        cart_views(pageviews, **window)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("c_p"), F.min(VIEW).alias("anchor"))
+    )
     per_session = per_period.groupBy(SESSION).agg(F.sum("c_p").alias("c"))
-    went_on = cart_next(pageviews, **window).groupBy(SESSION).agg(F.count(F.lit(1)).alias("m"))
+    went_on = later_view(per_period.select(*keys, "anchor"), pageviews, keys).groupBy(SESSION).agg(
+        F.count(F.lit(1)).alias("m")
+    )
     ses_orders = per_session.select(SESSION).join(
         orders.select(SESSION, "order_id", "items_purchased", "price_usd"), SESSION, "inner"
     )
