@@ -133,3 +133,14 @@ def later_view(anchors: DataFrame, pageviews: DataFrame, keys: Sequence[str], an
 def scalar(df: DataFrame) -> Column:
     """A one-row, one-column DataFrame as a scalar subquery column."""
     return df.scalar()
+
+
+def sorted_small(df: DataFrame, *cols) -> DataFrame:
+    """Order a report whose size is bounded by calendar or segment keys
+    (months, weeks, hours, products, segments).
+
+    Such a result fits one task, so it is moved to one partition and
+    sorted there: no range-partitioning sample job. Row-level outputs,
+    whose size grows with the data, keep ``orderBy``.
+    """
+    return df.repartition(1).sortWithinPartitions(*cols)

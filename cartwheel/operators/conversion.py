@@ -25,6 +25,7 @@ from cartwheel.operators.common import (
     paid_search,
     revenue,
     sessions_with_orders,
+    sorted_small,
 )
 
 
@@ -75,7 +76,7 @@ def monthly_conversion(
     if with_conv:
         out = out.withColumn("conv", ratio("orders", "sessions"))
         cols.append("conv")
-    return out.select(*cols).orderBy(*keys)
+    return sorted_small(out.select(*cols), *keys)
 
 
 def gsearch_monthly(sessions: DataFrame, orders: DataFrame, until: str = "2012-11-27") -> DataFrame:
@@ -119,7 +120,7 @@ def device_source_conversion(
 def seasonality_monthly(sessions: DataFrame, orders: DataFrame, through: str = "2012-12-31") -> DataFrame:
     """Sessions and orders per year and month up to midnight of ``through``."""
     keyed = _keyed(sessions, F.col(CREATED) <= ts(through), yr=F.year(CREATED), mon=F.month(CREATED))
-    return _counts(keyed, orders, ["yr", "mon"]).orderBy("mon", "yr")
+    return sorted_small(_counts(keyed, orders, ["yr", "mon"]), "mon", "yr")
 
 
 def seasonality_weekly(sessions: DataFrame, orders: DataFrame, through: str = "2012-12-31") -> DataFrame:
@@ -131,11 +132,10 @@ def seasonality_weekly(sessions: DataFrame, orders: DataFrame, through: str = "2
         _day=F.to_date(CREATED),
     )
     rows = sessions_with_orders(keyed, orders)
-    return (
-        rows.groupBy("wk")
-        .agg(F.min("_day").alias("week_start"), n_sessions().alias("sessions"), n_orders().alias("orders"))
-        .orderBy("wk")
+    out = rows.groupBy("wk").agg(
+        F.min("_day").alias("week_start"), n_sessions().alias("sessions"), n_orders().alias("orders")
     )
+    return sorted_small(out, "wk")
 
 
 def launch_impact(
@@ -214,7 +214,7 @@ def quarterly(sessions: DataFrame, orders: DataFrame, efficiency: bool = False)
     """
     keyed = _keyed(sessions, F.lit(True), yr=F.year(CREATED), quat=F.quarter(CREATED))
     if not efficiency:
-        return _counts(keyed, orders, ["yr", "quat"]).orderBy("yr", "quat")
+        return sorted_small(_counts(keyed, orders, ["yr", "quat"]), "yr", "quat")
     out = _counts(keyed, orders, ["yr", "quat"], revenue().alias("_rev"))
     return out.select(
         "yr",
@@ -224,7 +224,7 @@ def quarterly(sessions: DataFrame, orders: DataFrame, efficiency: bool = False)
         ratio("orders", "sessions").alias("conv"),
         ratio("_rev", "orders").alias("rev_per_session"),
         ratio("_rev", "sessions").alias("rev_per_order"),
-    ).orderBy("yr", "quat")
+    ).transform(lambda df: sorted_small(df, "yr", "quat"))
 
 
 def quarterly_channel_conversion(sessions: DataFrame, orders: DataFrame) -> DataFrame:
@@ -247,4 +247,4 @@ def quarterly_channel_conversion(sessions: DataFrame, orders: DataFrame) -> Data
     out = rows.groupBy("yr", "quat").agg(*aggs)
     return out.select(
         "yr", "quat", *[ratio(f"_o{i}", f"_s{i}").alias(name) for i, name in enumerate(channels)]
-    ).orderBy("yr", "quat")
+    ).transform(lambda df: sorted_small(df, "yr", "quat"))

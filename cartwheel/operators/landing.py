@@ -32,6 +32,7 @@ from cartwheel.operators.common import (
     n_sessions,
     paid_search,
     sessions_with_orders,
+    sorted_small,
 )
 
 
@@ -253,7 +254,7 @@ def weekly_landing_mix(pageviews: DataFrame, sessions: DataFrame, **window) -> D
             "home_sessions",
             "lander_session",
         )
-        .orderBy("year_week")
+        .transform(lambda df: sorted_small(df, "year_week"))
     )
 
 

@@ -11,7 +11,7 @@ join stays linear (``common.later_view``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwheel.functions import count_when, ratio, ts
@@ -27,6 +27,7 @@ from cartwheel.operators.common import (
     n_orders,
     n_sessions,
     sessions_with_orders,
+    sorted_small,
 )
 
 
@@ -141,9 +142,13 @@ def _cart_cells(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
     ``c``. Instead of emitting the copies, each distinct row is returned
     once with ``n_rows``, its number of copies:
 
-    * no later view (``m = 0``): one row per cart view, nothing clicked;
-    * later view, no order: ``m`` rows per cart view, clicked;
-    * later view and orders: ``m * c`` rows per cart view and order.
+    * no later view (``m = 0``): ``c_p`` rows, nothing clicked;
+    * later view, no order: ``c_p * m`` rows, clicked;
+    * later view and orders: ``c_p * m * c`` rows per order.
+
+    ``c`` and ``m`` are sums over the session's (period, session) rows --
+    at most one per period, so the window on the session id holds at most
+    two rows whatever the size of the session.
     """
     keys = ["time_period", SESSION]
     per_period = (
@@ -151,43 +156,32 @@ def _cart_cells(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("c_p"), F.min(VIEW).alias("anchor"))
     )
-    per_session = per_period.groupBy(SESSION).agg(F.sum("c_p").alias("c"))
-    went_on = later_view(per_period.select(*keys, "anchor"), pageviews, keys).groupBy(SESSION).agg(
-        F.count(F.lit(1)).alias("m")
-    )
-    ses_orders = per_session.select(SESSION).join(
-        orders.select(SESSION, "order_id", "items_purchased", "price_usd"), SESSION, "inner"
-    )
-    n_ord = ses_orders.groupBy(SESSION).agg(F.count(F.lit(1)).alias("q"))
-    base = (
-        per_period.join(per_session, SESSION)
-        .join(went_on, SESSION, "left")
-        .join(n_ord, SESSION, "left")
-        .fillna(0, subset=["m", "q"])
-    )
-    no_money = [F.lit(None).cast("int").alias("items_purchased"), F.lit(None).cast("decimal(6,2)").alias("price_usd")]
-    stayed = base.filter(F.col("m") == 0).select(
-        "time_period", SESSION, F.lit(0).alias("click_to_anoter_page"), F.lit(0).alias("placed_order"), *no_money,
-        F.col("c_p").alias("n_rows"),
+    went_on = later_view(per_period.select(*keys, "anchor"), pageviews, keys).select(*keys, F.lit(1).alias("went"))
+    by_session = Window.partitionBy(SESSION)
+    cells = (
+        per_period.join(went_on, keys, "left")
+        .withColumn("c", F.sum("c_p").over(by_session))
+        .withColumn("m", F.sum(F.coalesce(F.col("went"), F.lit(0))).over(by_session))
     )
-    clicked = base.filter((F.col("m") > 0) & (F.col("q") == 0)).select(
-        "time_period", SESSION, F.lit(1).alias("click_to_anoter_page"), F.lit(0).alias("placed_order"), *no_money,
-        (F.col("c_p") * F.col("m")).alias("n_rows"),
-    )
-    ordered = (
-        base.filter((F.col("m") > 0) & (F.col("q") > 0))
-        .join(ses_orders, SESSION)
-        .select(
-            "time_period",
-            SESSION,
-            F.lit(1).alias("click_to_anoter_page"),
-            F.lit(1).alias("placed_order"),
-            "items_purchased",
-            "price_usd",
-            (F.col("c_p") * F.col("m") * F.col("c")).alias("n_rows"),
-        )
+    ses_orders = orders.select(
+        F.col(SESSION).alias("_os"), "order_id", "items_purchased", "price_usd"
+    ).join(cells.select(SESSION).distinct(), F.col("_os") == F.col(SESSION), "left_semi")
+    # a session's orders matter only when it went past the cart (m > 0)
+    joined = cells.join(ses_orders, (F.col(SESSION) == F.col("_os")) & (F.col("m") > 0), "left")
+    no_order = F.col("order_id").isNull()
+    return joined.select(
+        "time_period",
+        SESSION,
+        (F.col("m") > 0).cast("int").alias("click_to_anoter_page"),
+        F.when(no_order, 0).otherwise(1).alias("placed_order"),
+        "items_purchased",
+        "price_usd",
+        F.when(F.col("m") == 0, F.col("c_p"))
+        .when(no_order, F.col("c_p") * F.col("m"))
+        .otherwise(F.col("c_p") * F.col("m") * F.col("c"))
+        .cast("bigint")
+        .alias("n_rows"),
     )
-    return stayed.unionByName(clicked).unionByName(ordered)
 
 
 def cart_flags(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
@@ -266,4 +260,4 @@ def product_click_through(pageviews: DataFrame, orders: DataFrame, page: str = V
         ratio("clicked_to_next_p", "session_to_product").alias("ctr"),
         "orders",
         ratio("orders", "session_to_product").alias("order_to_product"),
-    ).orderBy("yr", "mont")
+    ).transform(lambda df: sorted_small(df, "yr", "mont"))

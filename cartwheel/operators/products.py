@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions import count_when, money, ratio
 from cartwheel.functions import vocab as V
-from cartwheel.operators.common import CREATED, created_after, created_before
+from cartwheel.operators.common import CREATED, created_after, created_before, sorted_small
 
 
 def sales_trend(orders: DataFrame, until: str = "2013-01-04") -> DataFrame:
@@ -23,7 +23,7 @@ def sales_trend(orders: DataFrame, until: str = "2013-01-04") -> DataFrame:
             F.sum(F.col("price_usd") - F.col("cogs_usd")).alias("_mar"),
         )
         .select("yr", "mon", "orders", money("_rev").alias("revenue"), money("_mar").alias("mar"))
-        .orderBy("yr", "mon")
+        .transform(lambda df: sorted_small(df, "yr", "mon"))
     )
 
 
@@ -47,7 +47,7 @@ def refund_rates(
     cols = ["yr", "mon"]
     for p in products:
         cols += [F.col(f"_n{p}").alias(f"P{p}_orders"), ratio(f"_r{p}", f"_n{p}").alias(f"P{p}_rt")]
-    return out.select(*cols).orderBy("yr", "mon")
+    return sorted_small(out.select(*cols), "yr", "mon")
 
 
 def product_margins(order_items: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def product_margins(order_items: DataFrame) -> DataFrame:
     return (
         order_items.groupBy(F.year(CREATED).alias("yr"), F.month(CREATED).alias("mont"))
         .agg(*aggs)
-        .orderBy("yr", "mont")
+        .transform(lambda df: sorted_small(df, "yr", "mont"))
     )
 
 
@@ -97,4 +97,4 @@ def cross_sell_matrix(
         "orders",
         *[f"sold_p{p}x" for p in products],
         *[ratio(f"sold_p{p}x", "orders").alias(f"sold_p{p}x_rt") for p in products],
-    ).orderBy("primary_product_id")
+    ).transform(lambda df: sorted_small(df, "primary_product_id"))

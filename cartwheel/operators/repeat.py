@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions import rounded, ts
-from cartwheel.operators.common import CREATED, SESSION, created_before
+from cartwheel.operators.common import CREATED, SESSION, created_before, sorted_small
 
 
 def _window(sessions: DataFrame, start: str, end: str) -> DataFrame:
@@ -72,7 +72,7 @@ def repeat_histogram(sessions: DataFrame, start: str = "2014-1-1", end: str = "2
     per_user = firsts.join(reps, "user_id", "left").select(
         "user_id", F.coalesce(F.col("n_rep"), F.lit(0)).alias("repeat_session")
     )
-    return per_user.groupBy("repeat_session").agg(F.count(F.lit(1)).alias("users")).orderBy("repeat_session")
+    return sorted_small(per_user.groupBy("repeat_session").agg(F.count(F.lit(1)).alias("users")), "repeat_session")
 
 
 def repeat_lag(sessions: DataFrame, start: str = "2014-1-1", end: str = "2014-11-01") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions import count_when, monday_weekday, ratio, rounded, sunday_week, year_week
 from cartwheel.functions import vocab as V
-from cartwheel.operators.common import CREATED, created_before, created_between, paid_search
+from cartwheel.operators.common import CREATED, created_before, created_between, paid_search, sorted_small
 
 
 def traffic_sources(sessions: DataFrame, until: str = "2012-04-12") -> DataFrame:
@@ -38,7 +38,7 @@ def _weekly(df: DataFrame, *aggs, by_year_week: bool = False) -> DataFrame:
         names, keys = ["_y", "_w"], [F.year(CREATED), sunday_week(CREATED)]
     keys = [k.alias(n) for k, n in zip(keys, names)]
     out = df.groupBy(*keys).agg(F.min(F.to_date(CREATED)).alias("week_start"), *aggs)
-    return out.drop(*names).orderBy("week_start")
+    return sorted_small(out.drop(*names), "week_start")
 
 
 def weekly_volume(
@@ -80,8 +80,7 @@ def monthly_channels(sessions: DataFrame, until: str = "2012-11-27") -> DataFram
             count_when(src.isNull() & ref.isNotNull()).alias("oranic"),
             count_when(src.isNull() & ref.isNull()).alias("direct"),
         )
-        .orderBy("months")
-    )
+    ).transform(lambda df: sorted_small(df, "months"))
 
 
 def weekly_sources(
@@ -157,7 +156,7 @@ def hour_weekday_grid(sessions: DataFrame, start: str = "2012-9-15", end: str =
         .agg(F.count(F.lit(1)).alias("website_session"))
     )
     per_day = [rounded(F.avg(F.when(F.col("wk") == i, F.col("website_session")))).alias(name) for i, name in enumerate(V.WEEKDAY_NAMES)]
-    return daily.groupBy("hr").agg(rounded(F.avg("website_session")).alias("sessions"), *per_day).orderBy("hr")
+    return sorted_small(daily.groupBy("hr").agg(rounded(F.avg("website_session")).alias("sessions"), *per_day), "hr")
 
 
 def channel_groups(

@@ -48,6 +48,12 @@ def build_session(
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # the status store lives on even without the UI; a long-lived
+        # driver running many reports should not keep every plan around
+        .config("spark.ui.retainedJobs", "50")
+        .config("spark.ui.retainedStages", "50")
+        .config("spark.ui.retainedTasks", "1000")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .config("spark.driver.memory", os.environ.get("CARTWHEEL_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
