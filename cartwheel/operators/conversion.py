@@ -39,6 +39,32 @@ def _counts(keyed: DataFrame, orders: DataFrame, by: Sequence[str], *extra: Colu
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
 
 
+def conversion_by(
+    sessions: DataFrame,
+    orders: DataFrame,
+    where: Column | None = None,
+    keys: dict[str, Column] | Sequence[str] = (),
+    percent: bool = False,
+    with_revenue: bool = False,
+) -> DataFrame:
+    """Sessions, orders and conversion per segment -- the general form of
+    the conversion reports below.
+
+    ``keys`` are session columns, or ``name -> Column`` (e.g.
+    ``{"yr": F.year("created_at")}``); ``where`` filters the sessions.
+    ``with_revenue`` adds revenue and revenue per session.
+    """
+    if not isinstance(keys, dict):
+        keys = {c: F.col(c) for c in keys}
+    keyed = _keyed(sessions, where if where is not None else F.lit(True), **keys)
+    extra = [revenue().alias("_rev")] if with_revenue else []
+    out = _counts(keyed, orders, list(keys), *extra)
+    cols = [*keys, "sessions", "orders", ratio("orders", "sessions", 100 if percent else None).alias("conv")]
+    if with_revenue:
+        cols += [money("_rev").alias("revenue"), ratio("_rev", "sessions").alias("rev_per_session")]
+    return out.select(*cols)
+
+
 def search_conversion(
     sessions: DataFrame,
     orders: DataFrame,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions import count_when, monday_weekday, ratio, rounded, sunday_week, year_week
@@ -41,6 +41,38 @@ def _weekly(df: DataFrame, *aggs, by_year_week: bool = False) -> DataFrame:
     return sorted_small(out.drop(*names), "week_start")
 
 
+PERIODS = ("week", "year_week", "month", "quarter")
+
+
+def volume(
+    sessions: DataFrame,
+    where: Column | None = None,
+    period: str = "week",
+    segments: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Sessions per period and segment -- the general form of the volume
+    reports below.
+
+    ``period``: ``week`` (year + Sunday-week, output ``week_start``),
+    ``year_week`` (one label per Sunday-week, output ``week_start``),
+    ``month`` (``yr``, ``mon``) or ``quarter`` (``yr``, ``quat``).
+    ``segments``: output column -> session condition, each counted;
+    default one ``sessions`` column.
+    """
+    df = sessions.filter(where) if where is not None else sessions
+    aggs = [count_when(cond).alias(name) for name, cond in (segments or {"sessions": F.lit(True)}).items()]
+    if period in ("week", "year_week"):
+        return _weekly(df, *aggs, by_year_week=period == "year_week")
+    if period == "month":
+        part, part_fn = "mon", F.month
+    elif period == "quarter":
+        part, part_fn = "quat", F.quarter
+    else:
+        raise ValueError(f"period must be one of {PERIODS}")
+    out = df.groupBy(F.year(CREATED).alias("yr"), part_fn(CREATED).alias(part)).agg(*aggs)
+    return sorted_small(out, "yr", part)
+
+
 def weekly_volume(
     sessions: DataFrame, until: str = "2012-05-12", source: str = V.GSEARCH, campaign: str = V.NONBRAND
 ) -> DataFrame:

@@ -36,11 +36,18 @@ def build_session(
     app_name: str = "cartwheel",
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Create (or reuse) a session with the settings above.
+    """Create a local session with the settings above, or return the
+    active one untouched.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or 8]``; on a cluster the
-    launcher's master wins because ``getOrCreate`` reuses it.
+    ``master`` defaults to ``local[$BENCH_CPUS or 8]``. On a cluster the
+    launcher's session is active already and keeps its own settings
+    (shuffle partitions, checkpoint folder ...); only the checkpoint
+    folder is filled in when it is unset.
     """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        checkpoint_dir(active)
+        return active
     if master is None:
         master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     builder = (
