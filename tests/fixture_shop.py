@@ -17,13 +17,13 @@ PRICE = {1: 49.99, 2: 59.99, 3: 69.99, 4: 79.99}
 COGS = {1: 19.49, 2: 23.49, 3: 27.49, 4: 31.49}
 
 
-def make_tables(seed: int = 7, n_sessions: int = 600) -> dict[str, pd.DataFrame]:
+def make_tables(seed: int = 7, n_sessions: int = 600, hot_share: float = 0.33) -> dict[str, pd.DataFrame]:
     rng = np.random.default_rng(seed)
     start, end = pd.Timestamp("2012-03-19").value // 10**9, pd.Timestamp("2015-03-01").value // 10**9
     secs = np.sort(rng.integers(start, end, n_sessions))
     times = pd.to_datetime(secs, unit="s")
     sids = np.arange(1, n_sessions + 1)
-    users = np.where(rng.random(n_sessions) < 0.33, HOT_USER, rng.integers(100, 300, n_sessions))
+    users = np.where(rng.random(n_sessions) < hot_share, HOT_USER, rng.integers(100, 300, n_sessions))
     seen: set[int] = set()
     repeat = []
     for u in users:

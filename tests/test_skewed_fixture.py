@@ -25,9 +25,14 @@ FIELD = {
 }
 
 
-@pytest.fixture(scope="module")
-def fixture_pair(spark):
-    tables = make_tables()
+# (seed, sessions, share of sessions held by one user)
+SHOPS = [(7, 600, 0.33), (11, 250, 0.6)]
+
+
+@pytest.fixture(scope="module", params=SHOPS, ids=lambda p: f"seed{p[0]}")
+def fixture_pair(spark, request):
+    seed, n_sessions, hot_share = request.param
+    tables = make_tables(seed, n_sessions, hot_share)
     con = duckdb.connect()
     dfs = {}
     for name, pdf in tables.items():
@@ -47,6 +52,7 @@ def test_fixture_is_skewed(fixture_pair):
     _, _, t = fixture_pair
     s, v = t["website_sessions"], t["website_pageviews"]
     assert (s.user_id == 7).mean() > 0.25
+    assert v.groupby("website_session_id").size().max() > 0.1 * len(v)
     assert v.groupby("website_session_id").size().max() > 500
 
 
