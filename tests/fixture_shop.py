@@ -115,3 +115,32 @@ SPARK_SCHEMAS = {
     "order_item_refunds": "order_item_id bigint",
 }
 MONEY = ("price_usd", "cogs_usd")
+
+
+FIELD = {
+    "website_sessions": "sessions",
+    "website_pageviews": "pageviews",
+    "shop_orders": "orders",
+    "order_items": "order_items",
+    "order_item_refunds": "refunds",
+}
+
+
+def build_pair(spark, seed: int = 7, n_sessions: int = 600, hot_share: float = 0.33):
+    """The hand-made shop as Spark tables and as DuckDB tables."""
+    import duckdb
+
+    from cartwheel.sources import ShopTables
+
+    tables = make_tables(seed, n_sessions, hot_share)
+    con = duckdb.connect()
+    dfs = {}
+    for name, pdf in tables.items():
+        con.register(f"raw_{name}", pdf)
+        cols = ", ".join(
+            f"CAST({c} AS DECIMAL(6,2)) AS {c}" if c in MONEY else (f"CAST({c} AS TIMESTAMP) AS {c}" if c == "created_at" else c)
+            for c in pdf.columns
+        )
+        con.execute(f"CREATE TABLE {name} AS SELECT {cols} FROM raw_{name}")
+        dfs[FIELD[name]] = spark.createDataFrame(pdf, schema=SPARK_SCHEMAS[name])
+    return ShopTables(**dfs).conform(), con, tables

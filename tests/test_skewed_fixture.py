@@ -7,23 +7,12 @@ several refunds. The SQL side runs the long forms (range self-joins,
 fan-out joins, distinct counts) directly on these tables.
 """
 
-import duckdb
 import pytest
 
 from cartwheel.plans.catalog import REPORTS
 from cartwheel.plans.oracle import REPORT_SQL, over_given_tables
-from cartwheel.sources import ShopTables
 from compare import compare
-from fixture_shop import MONEY, SPARK_SCHEMAS, make_tables
-
-FIELD = {
-    "website_sessions": "sessions",
-    "website_pageviews": "pageviews",
-    "shop_orders": "orders",
-    "order_items": "order_items",
-    "order_item_refunds": "refunds",
-}
-
+from fixture_shop import build_pair
 
 # (seed, sessions, share of sessions held by one user)
 SHOPS = [(7, 600, 0.33), (11, 250, 0.6)]
@@ -31,21 +20,7 @@ SHOPS = [(7, 600, 0.33), (11, 250, 0.6)]
 
 @pytest.fixture(scope="module", params=SHOPS, ids=lambda p: f"seed{p[0]}")
 def fixture_pair(spark, request):
-    seed, n_sessions, hot_share = request.param
-    tables = make_tables(seed, n_sessions, hot_share)
-    con = duckdb.connect()
-    dfs = {}
-    for name, pdf in tables.items():
-        con.register(f"raw_{name}", pdf)
-        cols = ", ".join(
-            f"CAST({c} AS DECIMAL(6,2)) AS {c}" if c in MONEY else (f"CAST({c} AS TIMESTAMP) AS {c}" if c == "created_at" else c)
-            for c in pdf.columns
-        )
-        con.execute(f"CREATE TABLE {name} AS SELECT {cols} FROM raw_{name}")
-        df = spark.createDataFrame(pdf, schema=SPARK_SCHEMAS[name])
-        dfs[FIELD[name]] = df
-    shop = ShopTables(**dfs).conform()
-    return shop, con, tables
+    return build_pair(spark, *request.param)
 
 
 def test_fixture_is_skewed(fixture_pair):
