@@ -2,9 +2,11 @@
 
 ``open_shop(spark, path)`` reads the tables from ``path`` when they are
 stored there (``website_sessions.parquet`` ...), and otherwise derives
-them from ``path/events.parquet`` as a lazy plan. ``stage_shop`` writes
-the derived tables once into the shared checkpoint folder so that a
-batch of reports reads them instead of re-deriving them per report.
+them from ``path/events.parquet``. ``stage_shop`` writes the derived
+tables once into the shared checkpoint folder; ``open_shop`` does that on
+its first call in an application, so a batch of reports reads written
+tables instead of re-deriving them per report. ``derive_shop`` is the
+lazy plan itself.
 """
 
 from __future__ import annotations
@@ -115,14 +117,35 @@ def _stored(spark: SparkSession, root: str) -> ShopTables:
     return ShopTables(**dfs).conform()
 
 
-def open_shop(spark: SparkSession, path: str) -> ShopTables:
-    """The shop tables of ``path``: stored, staged, or derived from events."""
+# session setting: "auto" stages derived tables on first use, "off" keeps
+# every report a lazy plan over the events
+STAGE_CONF = "spark.cartwheel.stage"
+
+
+def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> ShopTables:
+    """The shop tables of ``path``: stored, staged, or derived from events.
+
+    When the tables have to be derived, the first call of an application
+    stages them (``stage_shop``) and later calls read the written copy:
+    the click stream is sessionised once per application, and every
+    report starts from written tables (short lineage, cheap recovery of
+    lost executors). ``stage=False`` or the session setting
+    ``spark.cartwheel.stage=off`` keep the lazy plan; without a usable
+    shared checkpoint folder the plan stays lazy as well.
+    """
     path = path.rstrip("/")
     if all(os.path.exists(os.path.join(path, f"{name}.parquet")) for name in TABLE_FILES):
         return _stored(spark, path)
     staged = _STAGED.get((spark.sparkContext.applicationId, path))
     if staged is not None:
         return _stored(spark, staged)
+    if stage is None:
+        stage = spark.conf.get(STAGE_CONF, "auto") != "off"
+    if stage:
+        try:
+            return _stored(spark, stage_shop(spark, path))
+        except ValueError:
+            pass  # no shared checkpoint folder: stay lazy
     return derive_shop(spark.read.parquet(os.path.join(path, "events.parquet")))
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from cartwheel.plans.oracle import with_tables
-from cartwheel.sources import SCHEMAS, open_shop
+from cartwheel.sources import SCHEMAS, derive_shop, open_shop
 from compare import rows_of
 
 from conftest import SF_CHECK
@@ -32,7 +32,7 @@ def _check(shop, name, duck_check):
 
 @pytest.mark.parametrize("name", list(ORACLE_NAMES))
 def test_derived_tables_match_sql(spark, duck_check, name):
-    _check(open_shop(spark, SF_CHECK), name, duck_check)
+    _check(derive_shop(spark.read.parquet(f"{SF_CHECK}/events.parquet")), name, duck_check)
 
 
 @pytest.mark.parametrize("name", list(ORACLE_NAMES))
