@@ -31,7 +31,7 @@ def _test_views(pageviews: DataFrame, until: str, pages: Sequence[str], test_pag
 def billing_test_views(
     pageviews: DataFrame,
     orders: DataFrame,
-    until: str = "2012-11-10",
+    until: str = V.BILLING_TEST_UNTIL,
     pages: Sequence[str] = (V.BILLING, V.BILLING_2),
     test_page: str = V.BILLING_2,
 ) -> DataFrame:
@@ -43,7 +43,7 @@ def billing_test_views(
 def billing_conversion(
     pageviews: DataFrame,
     orders: DataFrame,
-    until: str = "2012-11-10",
+    until: str = V.BILLING_TEST_UNTIL,
     pages: Sequence[str] = (V.BILLING, V.BILLING_2),
     test_page: str = V.BILLING_2,
 ) -> DataFrame:
@@ -60,8 +60,8 @@ def billing_conversion(
 def billing_revenue(
     pageviews: DataFrame,
     orders: DataFrame,
-    after: str = "2012-09-10",
-    before: str = "2012-11-10",
+    after: str = V.BILLING_REVENUE_AFTER,
+    before: str = V.BILLING_REVENUE_BEFORE,
     pages: Sequence[str] = (V.BILLING, V.BILLING_2),
 ) -> DataFrame:
     """Sessions and revenue per session per billing page.

@@ -68,7 +68,7 @@ def conversion_by(
 def search_conversion(
     sessions: DataFrame,
     orders: DataFrame,
-    until: str = "2012-04-12",
+    until: str = V.TRAFFIC_UNTIL,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
     by: Sequence[str] = (),
@@ -105,31 +105,31 @@ def monthly_conversion(
     return sorted_small(out.select(*cols), *keys)
 
 
-def gsearch_monthly(sessions: DataFrame, orders: DataFrame, until: str = "2012-11-27") -> DataFrame:
+def gsearch_monthly(sessions: DataFrame, orders: DataFrame, until: str = V.MID_PROJECT_UNTIL) -> DataFrame:
     return monthly_conversion(
         sessions, orders, created_before(until) & paid_search(V.GSEARCH), with_year=True, with_conv=False
     )
 
 
-def gsearch_monthly_by_campaign(sessions: DataFrame, orders: DataFrame, until: str = "2012-11-27") -> DataFrame:
+def gsearch_monthly_by_campaign(sessions: DataFrame, orders: DataFrame, until: str = V.MID_PROJECT_UNTIL) -> DataFrame:
     return monthly_conversion(sessions, orders, created_before(until) & paid_search(V.GSEARCH), by=["utm_campaign"])
 
 
-def nonbrand_monthly_by_device(sessions: DataFrame, orders: DataFrame, until: str = "2012-11-27") -> DataFrame:
+def nonbrand_monthly_by_device(sessions: DataFrame, orders: DataFrame, until: str = V.MID_PROJECT_UNTIL) -> DataFrame:
     return monthly_conversion(
         sessions, orders, created_before(until) & paid_search(V.GSEARCH, V.NONBRAND), by=["device_type"]
     )
 
 
-def site_monthly(sessions: DataFrame, orders: DataFrame, until: str = "2012-11-27") -> DataFrame:
+def site_monthly(sessions: DataFrame, orders: DataFrame, until: str = V.MID_PROJECT_UNTIL) -> DataFrame:
     return monthly_conversion(sessions, orders, created_before(until))
 
 
 def device_source_conversion(
     sessions: DataFrame,
     orders: DataFrame,
-    start: str = "2012-8-22",
-    end: str = "2012-9-19",
+    start: str = V.DEVICE_SOURCE_FROM,
+    end: str = V.DEVICE_SOURCE_TO,
     sources: Sequence[str] = (V.GSEARCH, V.BSEARCH),
     campaign: str = V.NONBRAND,
 ) -> DataFrame:
@@ -143,13 +143,13 @@ def device_source_conversion(
     return out.withColumn("conv", ratio("orders", "sessions"))
 
 
-def seasonality_monthly(sessions: DataFrame, orders: DataFrame, through: str = "2012-12-31") -> DataFrame:
+def seasonality_monthly(sessions: DataFrame, orders: DataFrame, through: str = V.SEASONALITY_THROUGH) -> DataFrame:
     """Sessions and orders per year and month up to midnight of ``through``."""
     keyed = _keyed(sessions, F.col(CREATED) <= ts(through), yr=F.year(CREATED), mon=F.month(CREATED))
     return sorted_small(_counts(keyed, orders, ["yr", "mon"]), "mon", "yr")
 
 
-def seasonality_weekly(sessions: DataFrame, orders: DataFrame, through: str = "2012-12-31") -> DataFrame:
+def seasonality_weekly(sessions: DataFrame, orders: DataFrame, through: str = V.SEASONALITY_THROUGH) -> DataFrame:
     """Sessions and orders per Sunday-week number (years merged)."""
     keyed = _keyed(
         sessions,
@@ -165,7 +165,7 @@ def seasonality_weekly(sessions: DataFrame, orders: DataFrame, through: str = "2
 
 
 def launch_impact(
-    sessions: DataFrame, orders: DataFrame, after: str = "2012-4-1", before: str = "2013-4-5"
+    sessions: DataFrame, orders: DataFrame, after: str = V.LAUNCH_AFTER, before: str = V.LAUNCH_BEFORE
 ) -> DataFrame:
     """Monthly conversion, revenue per session and orders per primary product."""
     keyed = _keyed(
@@ -195,9 +195,9 @@ def launch_impact(
 def period_scorecard(
     sessions: DataFrame,
     orders: DataFrame,
-    start: str = "2013-11-12",
-    end: str = "2014-01-12",
-    split: str = "2013-12-12",
+    start: str = V.SCORECARD_FROM,
+    end: str = V.SCORECARD_TO,
+    split: str = V.SCORECARD_SPLIT,
 ) -> DataFrame:
     """Before/after scorecard: conversion, revenue, products per order."""
     label = split_label(F.col(CREATED), split, V.PRE_CROSS_SALES_2, V.POST_CROSS_SALES_2, V.PERIOD_FALLBACK)
@@ -218,7 +218,9 @@ def period_scorecard(
     )
 
 
-def new_vs_repeat(sessions: DataFrame, orders: DataFrame, start: str = "2014-01-01", end: str = "2014-11-08") -> DataFrame:
+def new_vs_repeat(
+    sessions: DataFrame, orders: DataFrame, start: str = V.NEW_VS_REPEAT_FROM, end: str = V.NEW_VS_REPEAT_TO
+) -> DataFrame:
     keyed = _keyed(sessions, created_between(start, end), is_repeat_session=F.col("is_repeat_session"))
     out = _counts(keyed, orders, ["is_repeat_session"], revenue().alias("_rev"))
     return out.select(

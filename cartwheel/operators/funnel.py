@@ -29,8 +29,8 @@ def _window_sessions(sessions: DataFrame, where: Column, source: str, campaign:
 def pageview_flags(
     sessions: DataFrame,
     pageviews: DataFrame,
-    start: str = "2012-08-05",
-    end: str = "2012-09-05",
+    start: str = V.FUNNEL_FROM,
+    end: str = V.FUNNEL_TO,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
     steps: Sequence[tuple[str, str]] = V.PAGE_FLAGS_6,
@@ -67,11 +67,15 @@ def session_flags(
     return ids.join(seen, SESSION, "left").fillna(0, subset=names).select(SESSION, *[F.col(n).cast("int") for n in names])
 
 
-def click_funnel_flags(sessions: DataFrame, pageviews: DataFrame, start: str = "2012-08-05", end: str = "2012-09-05") -> DataFrame:
+def click_funnel_flags(
+    sessions: DataFrame, pageviews: DataFrame, start: str = V.FUNNEL_FROM, end: str = V.FUNNEL_TO
+) -> DataFrame:
     return session_flags(sessions, pageviews, created_between(start, end))
 
 
-def lander_funnel_flags(sessions: DataFrame, pageviews: DataFrame, after: str = "2012-06-19", before: str = "2012-07-28") -> DataFrame:
+def lander_funnel_flags(
+    sessions: DataFrame, pageviews: DataFrame, after: str = V.LANDER_FUNNEL_AFTER, before: str = V.LANDER_FUNNEL_BEFORE
+) -> DataFrame:
     return session_flags(sessions, pageviews, created_before(before) & created_after(after), steps=V.FUNNEL_8)
 
 

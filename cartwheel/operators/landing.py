@@ -36,7 +36,7 @@ from cartwheel.operators.common import (
 )
 
 
-def top_pages(pageviews: DataFrame, until: str = "2012-06-09") -> DataFrame:
+def top_pages(pageviews: DataFrame, until: str = V.TOP_PAGES_UNTIL) -> DataFrame:
     """Views per URL, largest first."""
     return (
         pageviews.filter(created_before(until))
@@ -70,12 +70,12 @@ def _landing_and_size(pageviews: DataFrame, until: str) -> DataFrame:
     return landing.join(sizes, SESSION)
 
 
-def first_pageview(pageviews: DataFrame, until: str = "2012-06-14") -> DataFrame:
+def first_pageview(pageviews: DataFrame, until: str = V.LANDING_UNTIL) -> DataFrame:
     """First view id of each session, among views before ``until``."""
     return pageviews.filter(created_before(until)).groupBy(SESSION).agg(F.min(VIEW).alias("first_page"))
 
 
-def landing_pages(pageviews: DataFrame, until: str = "2012-06-14") -> DataFrame:
+def landing_pages(pageviews: DataFrame, until: str = V.LANDING_UNTIL) -> DataFrame:
     """Landing URL of each session, among views before ``until``."""
     return (
         pageviews.filter(created_before(until))
@@ -85,7 +85,7 @@ def landing_pages(pageviews: DataFrame, until: str = "2012-06-14") -> DataFrame:
     )
 
 
-def bounced_sessions(pageviews: DataFrame, until: str = "2012-06-14") -> DataFrame:
+def bounced_sessions(pageviews: DataFrame, until: str = V.LANDING_UNTIL) -> DataFrame:
     """Sessions landing before ``until`` with exactly one view in total.
 
     The landing set is cut off at ``until``, the view count is not.
@@ -97,7 +97,7 @@ def bounced_sessions(pageviews: DataFrame, until: str = "2012-06-14") -> DataFra
     )
 
 
-def bounce_rate(pageviews: DataFrame, until: str = "2012-06-14") -> DataFrame:
+def bounce_rate(pageviews: DataFrame, until: str = V.LANDING_UNTIL) -> DataFrame:
     """Sessions, bounced sessions and bounce rate (percent)."""
     per = _landing_and_size(pageviews, until).filter(F.col("f").isNotNull())
     return per.agg(
@@ -146,7 +146,7 @@ def _test_sessions(
 def test_first_views(
     pageviews: DataFrame,
     sessions: DataFrame,
-    until: str = "2012-07-28",
+    until: str = V.LANDER_TEST_UNTIL,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
     test_page: str = V.LANDER_1,
@@ -160,7 +160,7 @@ def test_first_views(
 def test_landing(
     pageviews: DataFrame,
     sessions: DataFrame,
-    until: str = "2012-07-28",
+    until: str = V.LANDER_TEST_UNTIL,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
     test_page: str = V.LANDER_1,
@@ -210,8 +210,8 @@ def ab_conversion(pageviews: DataFrame, sessions: DataFrame, orders: DataFrame,
 def session_first_and_count(
     pageviews: DataFrame,
     sessions: DataFrame,
-    after: str = "2012-06-01",
-    before: str = "2012-08-31",
+    after: str = V.LANDING_TREND_AFTER,
+    before: str = V.LANDING_TREND_BEFORE,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
     with_landing: bool = False,
@@ -261,7 +261,7 @@ def weekly_landing_mix(pageviews: DataFrame, sessions: DataFrame, **window) -> D
 def last_session_seeing(
     sessions: DataFrame,
     pageviews: DataFrame,
-    until: str = "2012-11-27",
+    until: str = V.MID_PROJECT_UNTIL,
     page: str = V.HOME,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
@@ -278,7 +278,7 @@ def last_session_seeing(
 def sessions_since_last(
     sessions: DataFrame,
     pageviews: DataFrame,
-    until: str = "2012-11-27",
+    until: str = V.MID_PROJECT_UNTIL,
     page: str = V.HOME,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,

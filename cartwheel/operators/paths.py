@@ -39,9 +39,9 @@ def _label(before_until: str, before: str, after_from: str, after: str, other: s
 
 def product_page_views(
     pageviews: DataFrame,
-    after: str = "2012-10-6",
-    before: str = "2013-4-6",
-    split: str = "2013-01-06",
+    after: str = V.PATH_AFTER,
+    before: str = V.PATH_BEFORE,
+    split: str = V.PRODUCT_2_SPLIT,
     page: str = V.PRODUCTS,
 ) -> DataFrame:
     """Views of ``page`` in the window, labelled before/after ``split``."""
@@ -101,10 +101,10 @@ def next_page_mix(pageviews: DataFrame, **window) -> DataFrame:
 
 def cart_views(
     pageviews: DataFrame,
-    start: str = "2013-8-25",
-    end: str = "2013-10-25",
-    split: str = "2013-09-05",
-    after_from: str = "2013-01-06",
+    start: str = V.CART_FROM,
+    end: str = V.CART_TO,
+    split: str = V.CART_SPLIT,
+    after_from: str = V.CART_AFTER_FROM,
     page: str = V.CART,
 ) -> DataFrame:
     """Cart views of the window with a period label.

@@ -12,7 +12,7 @@ from cartwheel.functions import vocab as V
 from cartwheel.operators.common import CREATED, created_after, created_before, sorted_small
 
 
-def sales_trend(orders: DataFrame, until: str = "2013-01-04") -> DataFrame:
+def sales_trend(orders: DataFrame, until: str = V.SALES_UNTIL) -> DataFrame:
     """Monthly orders, revenue and margin."""
     return (
         orders.filter(created_before(until))
@@ -28,7 +28,7 @@ def sales_trend(orders: DataFrame, until: str = "2013-01-04") -> DataFrame:
 
 
 def refund_rates(
-    order_items: DataFrame, refunds: DataFrame, until: str = "2014-10-15", products: Sequence[int] = (1, 2, 3)
+    order_items: DataFrame, refunds: DataFrame, until: str = V.REFUND_UNTIL, products: Sequence[int] = (1, 2, 3)
 ) -> DataFrame:
     """Monthly items sold and share refunded, per product.
 
@@ -64,7 +64,7 @@ def product_margins(order_items: DataFrame) -> DataFrame:
     )
 
 
-def recent_orders(orders: DataFrame, after: str = "2012-12-05") -> DataFrame:
+def recent_orders(orders: DataFrame, after: str = V.RECENT_ORDERS_AFTER) -> DataFrame:
     """Orders after a date: id, primary product and time."""
     return orders.filter(created_after(after)).select(
         "order_id", "primary_product_id", F.col(CREATED).alias("order_at")
@@ -72,7 +72,7 @@ def recent_orders(orders: DataFrame, after: str = "2012-12-05") -> DataFrame:
 
 
 def cross_sell_matrix(
-    orders: DataFrame, order_items: DataFrame, after: str = "2012-12-05", products: Sequence[int] = (1, 2, 3, 4)
+    orders: DataFrame, order_items: DataFrame, after: str = V.RECENT_ORDERS_AFTER, products: Sequence[int] = (1, 2, 3, 4)
 ) -> DataFrame:
     """Per primary product: orders, and orders that also bought product i.
 

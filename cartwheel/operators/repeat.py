@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions import rounded, ts
+from cartwheel.functions import vocab as V
 from cartwheel.operators.common import CREATED, SESSION, created_before, sorted_small
 
 
@@ -38,7 +39,9 @@ def _matched(new: DataFrame, rep: DataFrame) -> DataFrame:
     return new.join(rep, cond, "inner").drop("_ru")
 
 
-def repeat_pairs(sessions: DataFrame, start: str = "2014-1-1", end: str = "2014-11-01", with_dates: bool = False) -> DataFrame:
+def repeat_pairs(
+    sessions: DataFrame, start: str = V.REPEAT_FROM, end: str = V.REPEAT_BEFORE, with_dates: bool = False
+) -> DataFrame:
     """Each new session of the window with each later repeat session of its user.
 
     New sessions without a later repeat appear once with NULL repeat.
@@ -64,7 +67,7 @@ def repeat_pairs(sessions: DataFrame, start: str = "2014-1-1", end: str = "2014-
     return pairs.select("user_id", "new_session_id", "repeat_session_id")
 
 
-def repeat_histogram(sessions: DataFrame, start: str = "2014-1-1", end: str = "2014-11-01") -> DataFrame:
+def repeat_histogram(sessions: DataFrame, start: str = V.REPEAT_FROM, end: str = V.REPEAT_BEFORE) -> DataFrame:
     """Users with a new session in the window, by number of later repeat sessions."""
     new, rep = _new_and_repeat(sessions, start, end)
     firsts = new.groupBy("user_id").agg(F.min("new_session_id").alias("new_session_id"))
@@ -75,7 +78,7 @@ def repeat_histogram(sessions: DataFrame, start: str = "2014-1-1", end: str = "2
     return sorted_small(per_user.groupBy("repeat_session").agg(F.count(F.lit(1)).alias("users")), "repeat_session")
 
 
-def repeat_lag(sessions: DataFrame, start: str = "2014-1-1", end: str = "2014-11-01") -> DataFrame:
+def repeat_lag(sessions: DataFrame, start: str = V.REPEAT_FROM, end: str = V.REPEAT_BEFORE) -> DataFrame:
     """Per user: days from the new session to the first later repeat session.
 
     The days are counted per new session and the least is kept per user

@@ -17,7 +17,7 @@ from cartwheel.functions import vocab as V
 from cartwheel.operators.common import CREATED, created_before, created_between, paid_search, sorted_small
 
 
-def traffic_sources(sessions: DataFrame, until: str = "2012-04-12") -> DataFrame:
+def traffic_sources(sessions: DataFrame, until: str = V.TRAFFIC_UNTIL) -> DataFrame:
     """Sessions per source, campaign and referer (NULL is a group), largest first."""
     return (
         sessions.filter(created_before(until))
@@ -74,7 +74,7 @@ def volume(
 
 
 def weekly_volume(
-    sessions: DataFrame, until: str = "2012-05-12", source: str = V.GSEARCH, campaign: str = V.NONBRAND
+    sessions: DataFrame, until: str = V.WEEKLY_VOLUME_UNTIL, source: str = V.GSEARCH, campaign: str = V.NONBRAND
 ) -> DataFrame:
     """Weekly session volume of one paid channel."""
     df = sessions.filter(created_before(until) & paid_search(source, campaign))
@@ -83,8 +83,8 @@ def weekly_volume(
 
 def weekly_device(
     sessions: DataFrame,
-    start: str = "2012-04-15",
-    end: str = "2012-06-09",
+    start: str = V.WEEKLY_DEVICE_FROM,
+    end: str = V.WEEKLY_DEVICE_TO,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
 ) -> DataFrame:
@@ -97,7 +97,7 @@ def weekly_device(
     )
 
 
-def monthly_channels(sessions: DataFrame, until: str = "2012-11-27") -> DataFrame:
+def monthly_channels(sessions: DataFrame, until: str = V.MID_PROJECT_UNTIL) -> DataFrame:
     """Monthly sessions per channel: paid g/b search, organic, direct.
 
     Months of different years share a row, as in the original question.
@@ -116,7 +116,7 @@ def monthly_channels(sessions: DataFrame, until: str = "2012-11-27") -> DataFram
 
 
 def weekly_sources(
-    sessions: DataFrame, start: str = "2012-8-22", end: str = "2012-11-29", campaign: str = V.NONBRAND
+    sessions: DataFrame, start: str = V.WEEKLY_SOURCES_FROM, end: str = V.WEEKLY_SOURCES_TO, campaign: str = V.NONBRAND
 ) -> DataFrame:
     """Weekly gsearch and bsearch sessions of one campaign."""
     df = sessions.filter(created_between(start, end) & paid_search(None, campaign))
@@ -129,8 +129,8 @@ def weekly_sources(
 
 def source_mobile_share(
     sessions: DataFrame,
-    start: str = "2012-8-22",
-    end: str = "2012-11-30",
+    start: str = V.SOURCE_MOBILE_FROM,
+    end: str = V.SOURCE_MOBILE_TO,
     sources: Sequence[str] = (V.GSEARCH, V.BSEARCH),
     campaign: str = V.NONBRAND,
 ) -> DataFrame:
@@ -148,8 +148,8 @@ def source_mobile_share(
 
 def bid_change_weekly(
     sessions: DataFrame,
-    start: str = "2012-11-4",
-    end: str = "2012-12-22",
+    start: str = V.BID_CHANGE_FROM,
+    end: str = V.BID_CHANGE_TO,
     sources: Sequence[str] = (V.GSEARCH, V.BSEARCH),
     campaign: str = V.NONBRAND,
 ) -> DataFrame:
@@ -175,7 +175,7 @@ def bid_change_weekly(
     )
 
 
-def hour_weekday_grid(sessions: DataFrame, start: str = "2012-9-15", end: str = "2012-11-15") -> DataFrame:
+def hour_weekday_grid(sessions: DataFrame, start: str = V.STAFFING_FROM, end: str = V.STAFFING_TO) -> DataFrame:
     """Average sessions per hour of day, overall and per weekday (Mon..Sun).
 
     Days without a session in an hour have no row, so they do not pull
@@ -193,8 +193,8 @@ def hour_weekday_grid(sessions: DataFrame, start: str = "2012-9-15", end: str =
 
 def channel_groups(
     sessions: DataFrame,
-    start: str = "2014-01-01",
-    end: str = "2014-11-05",
+    start: str = V.CHANNEL_GROUP_FROM,
+    end: str = V.CHANNEL_GROUP_TO,
     organic_referers: Sequence[str] = V.ORGANIC_REFERERS_AS_WRITTEN,
 ) -> DataFrame:
     """New and repeat sessions per channel group.

@@ -20,15 +20,15 @@ from cartwheel.sources import ShopTables, open_shop
 Report = Callable[[ShopTables], DataFrame]
 
 # landing-page test windows of the original analysis
-_LANDER_TEST = dict(until="2012-07-28", test_page=V.LANDER_1)
-_LANDER_TEST_INCL = dict(until="2012-07-28", test_page=V.LANDER_1, inclusive=True)
+_LANDER_TEST = dict(until=V.LANDER_TEST_UNTIL, test_page=V.LANDER_1)
+_LANDER_TEST_INCL = dict(until=V.LANDER_TEST_UNTIL, test_page=V.LANDER_1, inclusive=True)
 
 REPORTS: dict[str, Report] = {
     "s02_traffic_sources": lambda t: traffic.traffic_sources(t.sessions),
     "s03_gsearch_cvr": lambda t: conversion.search_conversion(t.sessions, t.orders),
     "s04_weekly_volume": lambda t: traffic.weekly_volume(t.sessions),
     "s05_device_cvr": lambda t: conversion.search_conversion(
-        t.sessions, t.orders, until="2012-05-11", by=["device_type"]
+        t.sessions, t.orders, until=V.DEVICE_CVR_UNTIL, by=["device_type"]
     ),
     "s06_weekly_device": lambda t: traffic.weekly_device(t.sessions),
     "s07_top_pages": lambda t: landing.top_pages(t.pageviews),
