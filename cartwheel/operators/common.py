@@ -108,31 +108,27 @@ def first_view_where(cond: Column, *extra: str) -> Column:
     return F.min(F.when(cond, F.struct(VIEW, *extra)))
 
 
-def later_view(anchors: DataFrame, pageviews: DataFrame, keys: Sequence[str], anchor: str = "anchor") -> DataFrame:
+def later_view(
+    anchors: DataFrame, pageviews: DataFrame, keys: Sequence[str], anchor: str = "anchor", with_url: bool = True
+) -> DataFrame:
     """For each anchor row, the session's least view id above ``anchor``.
 
     ``anchors`` has ``keys`` (which include the session id) and the view id
-    ``anchor``. Returns ``keys`` + ``next_id`` + ``next_url`` for the anchors
-    that have a later view (inner semantics).
+    ``anchor``. Returns ``keys`` + ``next_id`` (+ ``next_url``) for the
+    anchors that have a later view (inner semantics).
 
     The range condition rides on an equi-join on the session id. Each view
     meets at most as many anchors as its session has (two periods at
     most), so the join stays linear; a skewed session partition is split
     by AQE because the join is inner. The minimum is a partial + final
-    aggregate.
+    aggregate -- a hash aggregate when only the id is wanted.
     """
-    views = pageviews.select(
-        F.col(SESSION).alias("_vs"), F.col(VIEW).alias("_vid"), F.col("pageview_url").alias("_vurl")
-    )
+    views = pageviews.select(F.col(SESSION).alias("_vs"), F.col(VIEW).alias("_vid"), F.col("pageview_url").alias("_vurl"))
     joined = anchors.join(views, (F.col(SESSION) == F.col("_vs")) & (F.col("_vid") > F.col(anchor)), "inner")
-    return joined.groupBy(*keys).agg(F.min(F.struct(F.col("_vid").alias("id"), F.col("_vurl").alias("url"))).alias("_n")).select(
-        *keys, F.col("_n.id").alias("next_id"), F.col("_n.url").alias("next_url")
-    )
-
-
-def scalar(df: DataFrame) -> Column:
-    """A one-row, one-column DataFrame as a scalar subquery column."""
-    return df.scalar()
+    if not with_url:
+        return joined.groupBy(*keys).agg(F.min("_vid").alias("next_id"))
+    nxt = F.min(F.struct(F.col("_vid").alias("id"), F.col("_vurl").alias("url"))).alias("_n")
+    return joined.groupBy(*keys).agg(nxt).select(*keys, F.col("_n.id").alias("next_id"), F.col("_n.url").alias("next_url"))
 
 
 def sorted_small(df: DataFrame, *cols) -> DataFrame:

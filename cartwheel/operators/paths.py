@@ -50,18 +50,20 @@ def product_page_views(
     )
 
 
-def _next_after_first(anchor_views: DataFrame, pageviews: DataFrame, keep_without_next: bool) -> DataFrame:
+def _next_after_first(
+    anchor_views: DataFrame, pageviews: DataFrame, keep_without_next: bool, with_url: bool = True
+) -> DataFrame:
     keys = ["time_period", SESSION]
     anchors = anchor_views.groupBy(*keys).agg(F.min(VIEW).alias("anchor"))
-    nxt = later_view(anchors, pageviews, keys)
+    nxt = later_view(anchors, pageviews, keys, with_url=with_url)
     if not keep_without_next:
         return nxt
-    return anchors.join(nxt, keys, "left").select(*keys, "next_id", "next_url")
+    return anchors.join(nxt, keys, "left").drop("anchor")
 
 
 def next_pageview(pageviews: DataFrame, **window) -> DataFrame:
     """Per period and session of a product view: the id of the next view (or NULL)."""
-    nxt = _next_after_first(product_page_views(pageviews, **window), pageviews, keep_without_next=True)
+    nxt = _next_after_first(product_page_views(pageviews, **window), pageviews, keep_without_next=True, with_url=False)
     return nxt.select("time_period", SESSION, F.col("next_id").alias("min_p_id"))
 
 
@@ -120,7 +122,7 @@ def cart_views(
 
 def cart_next(pageviews: DataFrame, **window) -> DataFrame:
     """Per period and session: the next view after the cart, where there is one."""
-    nxt = _next_after_first(cart_views(pageviews, **window), pageviews, keep_without_next=False)
+    nxt = _next_after_first(cart_views(pageviews, **window), pageviews, keep_without_next=False, with_url=False)
     return nxt.select("time_period", SESSION, F.col("next_id").alias("min_p_id"))
 
 
@@ -156,7 +158,9 @@ def _cart_cells(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("c_p"), F.min(VIEW).alias("anchor"))
     )
-    went_on = later_view(per_period.select(*keys, "anchor"), pageviews, keys).select(*keys, F.lit(1).alias("went"))
+    went_on = later_view(per_period.select(*keys, "anchor"), pageviews, keys, with_url=False).select(
+        *keys, F.lit(1).alias("went")
+    )
     by_session = Window.partitionBy(SESSION)
     cells = (
         per_period.join(went_on, keys, "left")
