@@ -125,22 +125,23 @@ def _test_sessions(
     campaign: str,
     test_page: str,
     inclusive: bool,
+    with_url: bool = True,
 ) -> DataFrame:
     """Per test session: first view from the test's first id on, and view count.
 
     Sessions are filtered first and semi-joined to the views, so a
     narrow test window shuffles only its own views (the session set is
-    broadcast when AQE measures it small).
+    broadcast when AQE measures it small). Without ``with_url`` the first
+    view is a plain ``min`` (hash aggregate) in ``f.website_pageview_id``.
     """
     start_id = _first_id_of(pageviews, test_page)
     in_test = (F.col(VIEW) >= start_id) if inclusive else (F.col(VIEW) > start_id)
     ids = sessions.filter(created_before(until) & paid_search(source, campaign)).select(SESSION)
-    return (
-        pageviews.join(ids, SESSION, "left_semi")
-        .groupBy(SESSION)
-        .agg(first_view_where(in_test, "pageview_url").alias("f"), F.count(F.lit(1)).alias("n_views"))
-        .filter(F.col("f").isNotNull())
-    )
+    first = first_view_where(in_test, "pageview_url") if with_url else F.min(F.when(in_test, F.col(VIEW)))
+    per = pageviews.join(ids, SESSION, "left_semi").groupBy(SESSION).agg(first.alias("f"), F.count(F.lit(1)).alias("n_views"))
+    if not with_url:
+        per = per.withColumn("f", F.when(F.col("f").isNotNull(), F.struct(F.col("f").alias(VIEW))))
+    return per.filter(F.col("f").isNotNull())
 
 
 def test_first_views(
@@ -153,7 +154,7 @@ def test_first_views(
     inclusive: bool = False,
 ) -> DataFrame:
     """First view id of each test session from the test's start on."""
-    per = _test_sessions(pageviews, sessions, until, source, campaign, test_page, inclusive)
+    per = _test_sessions(pageviews, sessions, until, source, campaign, test_page, inclusive, with_url=False)
     return per.select(SESSION, F.col(f"f.{VIEW}").alias("min_pageview_id"))
 
 
@@ -221,15 +222,18 @@ def session_first_and_count(
     With ``with_landing`` also the first view's URL and time.
     """
     ids = sessions.filter(created_after(after) & created_before(before) & paid_search(source, campaign)).select(SESSION)
-    per = (
-        pageviews.join(ids, SESSION, "left_semi")
-        .groupBy(SESSION)
-        .agg(first_view("pageview_url", CREATED).alias("f"), F.count(VIEW).alias("count_pv"))
+    views = pageviews.join(ids, SESSION, "left_semi").groupBy(SESSION)
+    if not with_landing:
+        # the first id alone is a hash aggregate; the URL needs the sort-based struct minimum
+        return views.agg(F.min(VIEW).alias("first_page"), F.count(VIEW).alias("count_pv"))
+    per = views.agg(first_view("pageview_url", CREATED).alias("f"), F.count(VIEW).alias("count_pv"))
+    return per.select(
+        SESSION,
+        F.col(f"f.{VIEW}").alias("first_page"),
+        "count_pv",
+        F.col("f.pageview_url").alias("pageview_url"),
+        F.col(f"f.{CREATED}").alias(CREATED),
     )
-    cols = [SESSION, F.col(f"f.{VIEW}").alias("first_page"), "count_pv"]
-    if with_landing:
-        cols += [F.col("f.pageview_url").alias("pageview_url"), F.col(f"f.{CREATED}").alias(CREATED)]
-    return per.select(*cols)
 
 
 def weekly_landing_mix(pageviews: DataFrame, sessions: DataFrame, **window) -> DataFrame:
