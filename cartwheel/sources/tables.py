@@ -122,6 +122,15 @@ def _stored(spark: SparkSession, root: str) -> ShopTables:
 STAGE_CONF = "spark.cartwheel.stage"
 
 
+def catalog_shop(spark: SparkSession, database: str | None = None) -> ShopTables:
+    """The shop tables from the Spark catalog: ``database.website_sessions``
+    and so on, or -- without a database -- the current database and temp
+    views of those names (the ``use <schema>`` of a SQL session).
+    """
+    prefix = f"{database}." if database else ""
+    return ShopTables(**{field: spark.table(prefix + name) for name, field in TABLE_FILES.items()}).conform()
+
+
 def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> ShopTables:
     """The shop tables of ``path``: stored, staged, or derived from events.
 

@@ -43,3 +43,19 @@ def test_staged_tables_match_sql(staged_check, duck_check, name):
 def test_one_view_sessions(spark):
     pv = open_shop(spark, SF_CHECK).pageviews
     assert pv.groupBy("website_session_id").count().filter("count = 1").count() == 176
+
+
+def test_catalog_tables_give_the_same_reports(spark, staged_check):
+    """Tables registered in the catalog (temp views here) read like files."""
+    from cartwheel.operators import conversion
+    from cartwheel.sources import catalog_shop
+    from cartwheel.sources.tables import TABLE_FILES
+
+    for name, field in TABLE_FILES.items():
+        getattr(staged_check, field).createOrReplaceTempView(name)
+    shop = catalog_shop(spark)
+    a = conversion.quarterly(shop.sessions, shop.orders, efficiency=True).collect()
+    b = conversion.quarterly(staged_check.sessions, staged_check.orders, efficiency=True).collect()
+    assert a == b
+    for name in TABLE_FILES:
+        spark.catalog.dropTempView(name)
