@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import warnings
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -153,8 +154,8 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     if stage:
         try:
             return _stored(spark, stage_shop(spark, path))
-        except ValueError:
-            pass  # no shared checkpoint folder: stay lazy
+        except Exception as err:  # noqa: BLE001 -- no usable shared folder: stay lazy
+            warnings.warn(f"cartwheel: staging {path} failed ({type(err).__name__}); deriving lazily", stacklevel=2)
     return derive_shop(spark.read.parquet(os.path.join(path, "events.parquet")))
 
 

@@ -59,3 +59,17 @@ def test_catalog_tables_give_the_same_reports(spark, staged_check):
     assert a == b
     for name in TABLE_FILES:
         spark.catalog.dropTempView(name)
+
+
+def test_failed_staging_falls_back_to_the_lazy_plan(spark, monkeypatch):
+    import cartwheel.sources.tables as T
+
+    def broken(*_a, **_k):
+        raise OSError("checkpoint folder not writable")
+
+    monkeypatch.setattr(T, "stage_shop", broken)
+    path = "/root/testdata/sf0.001"
+    monkeypatch.setattr(T, "_STAGED", {})
+    with pytest.warns(UserWarning, match="deriving lazily"):
+        shop = T.open_shop(spark, path)
+    assert shop.sessions.count() == 230  # FIXTURES.md section 3, sf 0.001
