@@ -97,3 +97,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _LOCAL_DIR: str | None = None
+
+
+# runtime settings the report plans rely on; applied to a caller's session
+# only where the caller has not set them
+PREFERRED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def prefer_settings(spark: SparkSession) -> None:
+    """Fill in ``PREFERRED`` where the session leaves them unset."""
+    for key, value in PREFERRED.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)

@@ -19,7 +19,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.session import checkpoint_dir
+from cartwheel.session import checkpoint_dir, prefer_settings
 from cartwheel.sources import events as E
 
 # table name on disk -> ShopTables field
@@ -128,6 +128,7 @@ def catalog_shop(spark: SparkSession, database: str | None = None) -> ShopTables
     and so on, or -- without a database -- the current database and temp
     views of those names (the ``use <schema>`` of a SQL session).
     """
+    prefer_settings(spark)
     prefix = f"{database}." if database else ""
     return ShopTables(**{field: spark.table(prefix + name) for name, field in TABLE_FILES.items()}).conform()
 
@@ -144,6 +145,7 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     shared checkpoint folder the plan stays lazy as well.
     """
     path = path.rstrip("/")
+    prefer_settings(spark)
     if all(os.path.exists(os.path.join(path, f"{name}.parquet")) for name in TABLE_FILES):
         return _stored(spark, path)
     staged = _STAGED.get((spark.sparkContext.applicationId, path))
