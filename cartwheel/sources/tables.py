@@ -12,7 +12,6 @@ lazy plan itself.
 from __future__ import annotations
 
 import hashlib
-import os
 import warnings
 from dataclasses import dataclass, fields
 
@@ -111,13 +110,54 @@ def _from_tagged(views: DataFrame, blocks: DataFrame) -> ShopTables:
 
 # tables staged by stage_shop in this process: (app id, source) -> folder
 _STAGED: dict[tuple[str, str], str] = {}
+# bump when the derivation changes, so older staged copies are not reused
+DERIVATION_VERSION = "1"
+COMPLETE_MARK = "_COMPLETE"
+
+
+def _join(root: str, name: str) -> str:
+    return root.rstrip("/") + "/" + name
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop FileSystem and Path of ``path`` (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath  # noqa: SLF001
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _fs(spark, path)
+    return bool(fs.exists(jpath))
+
+
+def _fingerprint(spark: SparkSession, path: str) -> str:
+    """Source path, size and modification time of the events input."""
+    fs, jpath = _fs(spark, path)
+    status = fs.getFileStatus(jpath)
+    size = fs.getContentSummary(jpath).getLength()
+    raw = f"{path}|{size}|{status.getModificationTime()}|{DERIVATION_VERSION}"
+    return hashlib.sha1(raw.encode()).hexdigest()[:16]
 
 
 def _stored(spark: SparkSession, root: str) -> ShopTables:
-    dfs = {field: spark.read.parquet(os.path.join(root, f"{name}.parquet")) for name, field in TABLE_FILES.items()}
+    dfs = {field: spark.read.parquet(_join(root, f"{name}.parquet")) for name, field in TABLE_FILES.items()}
     return ShopTables(**dfs).conform()
 
 
+def _reusable(spark: SparkSession, base: str, tag: str) -> str | None:
+    """A completed staged copy of the same input, left by any application."""
+    fs, jpath = _fs(spark, base)
+    if not fs.exists(jpath):
+        return None
+    for status in fs.listStatus(jpath):
+        name = status.getPath().getName()
+        root = _join(base, name)
+        if name.startswith(f"shop-{tag}-") and _exists(spark, _join(root, COMPLETE_MARK)):
+            return root
+    return None
+
+
 # session setting: "auto" stages derived tables on first use, "off" keeps
 # every report a lazy plan over the events
 STAGE_CONF = "spark.cartwheel.stage"
@@ -146,7 +186,7 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     """
     path = path.rstrip("/")
     prefer_settings(spark)
-    if all(os.path.exists(os.path.join(path, f"{name}.parquet")) for name in TABLE_FILES):
+    if all(_exists(spark, _join(path, f"{name}.parquet")) for name in TABLE_FILES):
         return _stored(spark, path)
     staged = _STAGED.get((spark.sparkContext.applicationId, path))
     if staged is not None:
@@ -158,27 +198,37 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
             return _stored(spark, stage_shop(spark, path))
         except Exception as err:  # noqa: BLE001 -- no usable shared folder: stay lazy
             warnings.warn(f"cartwheel: staging {path} failed ({type(err).__name__}); deriving lazily", stacklevel=2)
-    return derive_shop(spark.read.parquet(os.path.join(path, "events.parquet")))
+    return derive_shop(spark.read.parquet(_join(path, "events.parquet")))
 
 
-def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = None) -> str:
+def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = None, reuse: bool = True) -> str:
     """Derive the tables of ``path`` once and write them as parquet.
 
     Sessions and page views are range-partitioned on the session id (ids
     rise with time, so each file covers a time span and its row-group
     statistics let date filters skip data), page views sorted by session
     then view id inside each file. The folder lives under the session's
-    checkpoint directory; later ``open_shop`` calls read it.
+    checkpoint directory and is marked complete when every table is
+    written; with ``reuse`` a complete copy of the same input (same path,
+    size and modification time), left by any earlier application, is
+    used instead of staging again.
     """
     path = path.rstrip("/")
-    tag = hashlib.sha1(path.encode()).hexdigest()[:12]
-    root = os.path.join(checkpoint_dir(spark), f"shop-{tag}-{spark.sparkContext.applicationId}")
+    events_path = _join(path, "events.parquet")
+    base = checkpoint_dir(spark)
+    tag = _fingerprint(spark, events_path)
+    if reuse:
+        found = _reusable(spark, base, tag)
+        if found is not None:
+            _STAGED[(spark.sparkContext.applicationId, path)] = found
+            return found
+    root = _join(base, f"shop-{tag}-{spark.sparkContext.applicationId}")
     n = files_per_table or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # tag the events once and cut the lineage there: the five tables are
     # then projections of one written table (a block's first view carries
     # everything its session row needs)
-    views, _ = E.tag_events(spark.read.parquet(os.path.join(path, "events.parquet")))
-    tagged_path = os.path.join(root, "_tagged_events.parquet")
+    views, _ = E.tag_events(spark.read.parquet(events_path))
+    tagged_path = _join(root, "_tagged_events.parquet")
     views.write.mode("overwrite").parquet(tagged_path)
     tagged = spark.read.parquet(tagged_path)
     shop = _from_tagged(tagged, tagged.filter(F.col("n") == 1).select("user_id", "blk", "sid", "secs0", "st"))
@@ -194,6 +244,8 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
         "order_item_refunds": shop.refunds.repartitionByRange(max(1, n // 4), "order_item_id"),
     }
     for name, df in layout.items():
-        df.write.mode("overwrite").parquet(os.path.join(root, f"{name}.parquet"))
+        df.write.mode("overwrite").parquet(_join(root, f"{name}.parquet"))
+    fs, mark = _fs(spark, _join(root, COMPLETE_MARK))
+    fs.create(mark, True).close()
     _STAGED[(spark.sparkContext.applicationId, path)] = root
     return root

@@ -73,3 +73,13 @@ def test_failed_staging_falls_back_to_the_lazy_plan(spark, monkeypatch):
     with pytest.warns(UserWarning, match="deriving lazily"):
         shop = T.open_shop(spark, path)
     assert shop.sessions.count() == 230  # FIXTURES.md section 3, sf 0.001
+
+
+def test_staged_copy_is_marked_and_reused(spark):
+    import os
+
+    from cartwheel.sources import stage_shop
+
+    first = stage_shop(spark, "/root/testdata/sf0.001")
+    assert os.path.exists(os.path.join(first, "_COMPLETE"))
+    assert stage_shop(spark, "/root/testdata/sf0.001") == first
