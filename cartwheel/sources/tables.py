@@ -110,8 +110,9 @@ def _from_tagged(views: DataFrame, blocks: DataFrame) -> ShopTables:
 
 # tables staged by stage_shop in this process: (app id, source) -> folder
 _STAGED: dict[tuple[str, str], str] = {}
-# bump when the derivation changes, so older staged copies are not reused
-DERIVATION_VERSION = "1"
+# staged copies are reused only by the same derivation code
+with open(E.__file__, "rb") as _src:
+    DERIVATION_VERSION = hashlib.sha1(_src.read() + repr(sorted(SCHEMAS.items())).encode()).hexdigest()[:12]
 COMPLETE_MARK = "_COMPLETE"
 
 
