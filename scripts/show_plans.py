@@ -32,6 +32,16 @@ SHOWN = [
 ]
 
 
+LARGE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+}
+LARGE_SHOWN = ["s03_gsearch_cvr", "s68_next_pageview", "s79_repeat_pairs", "s92_products_ctr"]
+
+
 def tree(df) -> str:
     df.collect()  # run it, so the adaptive plan is final
     text = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
@@ -58,6 +68,15 @@ def main() -> None:
     for key in SHOWN:
         print(f"## {key}\n")
         print("```\n" + tree(REPORTS[key](shop)) + "\n```\n")
+    # the shape on large tables: nothing fits a broadcast, joins are
+    # shuffled, and a hot session's partition is split by AQE
+    print("# With broadcasts off and every partition treated as skewed\n")
+    print("The same reports as a large cluster plans them: shuffled sort-merge joins, skew splits (`skew=true`).\n")
+    for k, v in LARGE.items():
+        spark.conf.set(k, v)
+    for key in LARGE_SHOWN:
+        print(f"## {key} (large-table shape)\n")
+        print("```\n" + tree(REPORTS[key](shop)) + "\n```\n")
 
 
 if __name__ == "__main__":
