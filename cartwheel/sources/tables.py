@@ -12,6 +12,7 @@ lazy plan itself.
 from __future__ import annotations
 
 import hashlib
+import threading
 import warnings
 from dataclasses import dataclass, fields
 
@@ -110,6 +111,7 @@ def _from_tagged(views: DataFrame, blocks: DataFrame) -> ShopTables:
 
 # tables staged by stage_shop in this process: (app id, source) -> folder
 _STAGED: dict[tuple[str, str], str] = {}
+_STAGE_LOCK = threading.Lock()
 # staged copies are reused only by the same derivation code
 with open(E.__file__, "rb") as _src:
     DERIVATION_VERSION = hashlib.sha1(_src.read() + repr(sorted(SCHEMAS.items())).encode()).hexdigest()[:12]
@@ -189,16 +191,22 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     prefer_settings(spark)
     if all(_exists(spark, _join(path, f"{name}.parquet")) for name in TABLE_FILES):
         return _stored(spark, path)
-    staged = _STAGED.get((spark.sparkContext.applicationId, path))
-    if staged is not None:
-        return _stored(spark, staged)
     if stage is None:
         stage = spark.conf.get(STAGE_CONF, "auto") != "off"
     if stage:
-        try:
-            return _stored(spark, stage_shop(spark, path))
-        except Exception as err:  # noqa: BLE001 -- no usable shared folder: stay lazy
-            warnings.warn(f"cartwheel: staging {path} failed ({type(err).__name__}); deriving lazily", stacklevel=2)
+        # reports started from several threads stage a source only once
+        with _STAGE_LOCK:
+            staged = _STAGED.get((spark.sparkContext.applicationId, path))
+            if staged is not None:
+                return _stored(spark, staged)
+            try:
+                return _stored(spark, stage_shop(spark, path))
+            except Exception as err:  # noqa: BLE001 -- no usable shared folder: stay lazy
+                warnings.warn(f"cartwheel: staging {path} failed ({type(err).__name__}); deriving lazily", stacklevel=2)
+    else:
+        staged = _STAGED.get((spark.sparkContext.applicationId, path))
+        if staged is not None:
+            return _stored(spark, staged)
     return derive_shop(spark.read.parquet(_join(path, "events.parquet")))
 
 
