@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions import count_when, ratio
 from cartwheel.functions import vocab as V
+from cartwheel.sources.facts import FACT_PAGES, seen_column
 from cartwheel.operators.common import SESSION, created_after, created_before, created_between, paid_search
 
 
@@ -55,28 +56,48 @@ def session_flags(
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
     steps: Sequence[tuple[str, str]] = V.FUNNEL_6,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per session of the window: 1 where a step's page was seen."""
+    """One row per session of the window: 1 where a step's page was seen.
+
+    "Seen in the session" is a whole-session fact: read from ``facts`` when
+    staged and every step page is kept there.
+    """
     ids = _window_sessions(sessions, where, source, campaign).select(SESSION)
-    seen = (
-        pageviews.join(ids, SESSION, "left_semi")
-        .groupBy(SESSION)
-        .agg(*[F.max(_page_flag(p)).alias(name) for p, name in steps])
-    )
+    if facts is not None and all(p in FACT_PAGES for p, _ in steps):
+        seen = facts.join(ids, SESSION, "left_semi").select(
+            SESSION, *[F.col(seen_column(p)).alias(name) for p, name in steps]
+        )
+    else:
+        seen = (
+            pageviews.join(ids, SESSION, "left_semi")
+            .groupBy(SESSION)
+            .agg(*[F.max(_page_flag(p)).alias(name) for p, name in steps])
+        )
     names = [name for _, name in steps]
     return ids.join(seen, SESSION, "left").fillna(0, subset=names).select(SESSION, *[F.col(n).cast("int") for n in names])
 
 
 def click_funnel_flags(
-    sessions: DataFrame, pageviews: DataFrame, start: str = V.FUNNEL_FROM, end: str = V.FUNNEL_TO
+    sessions: DataFrame,
+    pageviews: DataFrame,
+    start: str = V.FUNNEL_FROM,
+    end: str = V.FUNNEL_TO,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    return session_flags(sessions, pageviews, created_between(start, end))
+    return session_flags(sessions, pageviews, created_between(start, end), facts=facts)
 
 
 def lander_funnel_flags(
-    sessions: DataFrame, pageviews: DataFrame, after: str = V.LANDER_FUNNEL_AFTER, before: str = V.LANDER_FUNNEL_BEFORE
+    sessions: DataFrame,
+    pageviews: DataFrame,
+    after: str = V.LANDER_FUNNEL_AFTER,
+    before: str = V.LANDER_FUNNEL_BEFORE,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    return session_flags(sessions, pageviews, created_before(before) & created_after(after), steps=V.FUNNEL_8)
+    return session_flags(
+        sessions, pageviews, created_before(before) & created_after(after), steps=V.FUNNEL_8, facts=facts
+    )
 
 
 def _step_counts(flags: DataFrame, step_cols: Sequence[str]) -> list[Column]:

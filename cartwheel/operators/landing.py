@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions import count_when, ratio, year_week
 from cartwheel.functions import vocab as V
+from cartwheel.sources.facts import FACT_PAGES, seen_column
 from cartwheel.operators.common import (
     CREATED,
     SESSION,
@@ -46,22 +47,27 @@ def top_pages(pageviews: DataFrame, until: str = V.TOP_PAGES_UNTIL) -> DataFrame
     )
 
 
-def entry_pages(pageviews: DataFrame) -> DataFrame:
-    """Sessions per entry (first) page."""
+def entry_pages(pageviews: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Sessions per entry (first) page (from ``facts`` when staged)."""
+    if facts is not None:
+        return facts.groupBy(F.col("first_url").alias("pageview_url")).agg(F.count(F.lit(1)).alias("entries"))
     firsts = pageviews.groupBy(SESSION).agg(first_view("pageview_url").alias("f"))
     return firsts.groupBy(F.col("f.pageview_url").alias("pageview_url")).agg(F.count(F.lit(1)).alias("entries"))
 
 
-def _landing_and_size(pageviews: DataFrame, until: str) -> DataFrame:
+def _landing_and_size(pageviews: DataFrame, until: str, facts: DataFrame | None = None) -> DataFrame:
     """Per session with a view before ``until``: that first view and the
     session's all-time view count.
 
     The first view (a sort-based aggregate, the struct holds a string)
     runs on the date-filtered views only; the count of all views is a hash
     aggregate over the views of those sessions alone (a semi-join, which
-    broadcasts the session set when AQE measures it small).
+    broadcasts the session set when AQE measures it small) -- or read from
+    the staged session facts.
     """
     landing = pageviews.filter(created_before(until)).groupBy(SESSION).agg(first_view("pageview_url").alias("f"))
+    if facts is not None:
+        return landing.join(facts.select(SESSION, "n_views"), SESSION)
     sizes = (
         pageviews.join(landing.select(SESSION), SESSION, "left_semi")
         .groupBy(SESSION)
@@ -85,21 +91,21 @@ def landing_pages(pageviews: DataFrame, until: str = V.LANDING_UNTIL) -> DataFra
     )
 
 
-def bounced_sessions(pageviews: DataFrame, until: str = V.LANDING_UNTIL) -> DataFrame:
+def bounced_sessions(pageviews: DataFrame, until: str = V.LANDING_UNTIL, facts: DataFrame | None = None) -> DataFrame:
     """Sessions landing before ``until`` with exactly one view in total.
 
     The landing set is cut off at ``until``, the view count is not.
     """
     return (
-        _landing_and_size(pageviews, until)
+        _landing_and_size(pageviews, until, facts)
         .filter(F.col("f").isNotNull() & (F.col("n_views") == 1))
         .select(SESSION, F.col("f.pageview_url").alias("landing_page_session"), F.col("n_views").alias("bounces"))
     )
 
 
-def bounce_rate(pageviews: DataFrame, until: str = V.LANDING_UNTIL) -> DataFrame:
+def bounce_rate(pageviews: DataFrame, until: str = V.LANDING_UNTIL, facts: DataFrame | None = None) -> DataFrame:
     """Sessions, bounced sessions and bounce rate (percent)."""
-    per = _landing_and_size(pageviews, until).filter(F.col("f").isNotNull())
+    per = _landing_and_size(pageviews, until, facts).filter(F.col("f").isNotNull())
     return per.agg(
         F.count(F.lit(1)).alias("total_visits"), count_when(F.col("n_views") == 1).alias("bounces")
     ).withColumn("bounce_rate", ratio("bounces", "total_visits", 100))
@@ -216,12 +222,19 @@ def session_first_and_count(
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
     with_landing: bool = False,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """First view id and view count per session of a channel and window.
 
-    With ``with_landing`` also the first view's URL and time.
+    With ``with_landing`` also the first view's URL and time. All of it is
+    a whole-session fact, read from ``facts`` when staged.
     """
     ids = sessions.filter(created_after(after) & created_before(before) & paid_search(source, campaign)).select(SESSION)
+    if facts is not None:
+        cols = [SESSION, F.col("first_view_id").alias("first_page"), F.col("n_views").alias("count_pv")]
+        if with_landing:
+            cols += [F.col("first_url").alias("pageview_url"), F.col("first_at").alias(CREATED)]
+        return facts.join(ids, SESSION, "left_semi").select(*cols)
     views = pageviews.join(ids, SESSION, "left_semi").groupBy(SESSION)
     if not with_landing:
         # the first id alone is a hash aggregate; the URL needs the sort-based struct minimum
@@ -236,9 +249,9 @@ def session_first_and_count(
     )
 
 
-def weekly_landing_mix(pageviews: DataFrame, sessions: DataFrame, **window) -> DataFrame:
+def weekly_landing_mix(pageviews: DataFrame, sessions: DataFrame, facts: DataFrame | None = None, **window) -> DataFrame:
     """Per Sunday-week of the landing view: sessions, bounces, home vs lander."""
-    per = session_first_and_count(pageviews, sessions, with_landing=True, **window)
+    per = session_first_and_count(pageviews, sessions, with_landing=True, facts=facts, **window)
     url = F.col("pageview_url")
     return (
         per.groupBy(year_week(CREATED).alias("year_week"))
@@ -269,9 +282,13 @@ def last_session_seeing(
     page: str = V.HOME,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Largest id of a channel's sessions that viewed ``page``."""
-    seen = pageviews.filter(F.col("pageview_url") == page).select(SESSION)
+    if facts is not None and page in FACT_PAGES:
+        seen = facts.filter(F.col(seen_column(page)) == 1).select(SESSION)
+    else:
+        seen = pageviews.filter(F.col("pageview_url") == page).select(SESSION)
     return (
         sessions.filter(created_before(until) & paid_search(source, campaign))
         .join(seen, SESSION, "left_semi")
@@ -286,9 +303,10 @@ def sessions_since_last(
     page: str = V.HOME,
     source: str = V.GSEARCH,
     campaign: str = V.NONBRAND,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Sessions of the channel after the last one that viewed ``page``."""
-    last = last_session_seeing(sessions, pageviews, until, page, source, campaign).scalar()
+    last = last_session_seeing(sessions, pageviews, until, page, source, campaign, facts).scalar()
     return (
         sessions.filter(created_before(until) & (F.col(SESSION) > last) & paid_search(source, campaign))
         .agg(F.count(SESSION).alias("session"))

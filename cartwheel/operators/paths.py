@@ -234,7 +234,9 @@ def product_views(pageviews: DataFrame, page: str = V.PRODUCTS) -> DataFrame:
     return pageviews.filter(F.col("pageview_url") == page).select(SESSION, VIEW, F.col(CREATED).alias("saw_product"))
 
 
-def product_click_through(pageviews: DataFrame, orders: DataFrame, page: str = V.PRODUCTS) -> DataFrame:
+def product_click_through(
+    pageviews: DataFrame, orders: DataFrame, page: str = V.PRODUCTS, facts: DataFrame | None = None
+) -> DataFrame:
     """Per month: sessions seeing ``page``, how many clicked on, how many ordered.
 
     A session "clicked on" in a month when it has any view after its
@@ -246,7 +248,10 @@ def product_click_through(pageviews: DataFrame, orders: DataFrame, page: str = V
     per_month = seen.groupBy(
         F.year("saw_product").alias("yr"), F.month("saw_product").alias("mont"), SESSION
     ).agg(F.min(VIEW).alias("anchor"))
-    last = pageviews.groupBy(SESSION).agg(F.max(VIEW).alias("last_id"))
+    if facts is not None:
+        last = facts.select(SESSION, F.col("last_view_id").alias("last_id"))
+    else:
+        last = pageviews.groupBy(SESSION).agg(F.max(VIEW).alias("last_id"))
     keyed = per_month.join(last, SESSION, "inner").select(
         "yr", "mont", SESSION, (F.col("last_id") > F.col("anchor")).alias("clicked")
     )

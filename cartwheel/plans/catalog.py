@@ -32,23 +32,25 @@ REPORTS: dict[str, Report] = {
     ),
     "s06_weekly_device": lambda t: traffic.weekly_device(t.sessions),
     "s07_top_pages": lambda t: landing.top_pages(t.pageviews),
-    "s08_entry_pages": lambda t: landing.entry_pages(t.pageviews),
+    "s08_entry_pages": lambda t: landing.entry_pages(t.pageviews, t.session_facts),
     "s09_first_pageview": lambda t: landing.first_pageview(t.pageviews),
     "s11_landing_page": lambda t: landing.landing_pages(t.pageviews),
-    "s13_bounced_sessions": lambda t: landing.bounced_sessions(t.pageviews),
-    "s15_bounce_rate": lambda t: landing.bounce_rate(t.pageviews),
+    "s13_bounced_sessions": lambda t: landing.bounced_sessions(t.pageviews, facts=t.session_facts),
+    "s15_bounce_rate": lambda t: landing.bounce_rate(t.pageviews, facts=t.session_facts),
     "s16_first_lander": lambda t: landing.first_page_seen(t.pageviews, V.LANDER_1),
     "s17_test_first_pv": lambda t: landing.test_first_views(t.pageviews, t.sessions, **_LANDER_TEST),
     "s19_test_landing": lambda t: landing.test_landing(t.pageviews, t.sessions, **_LANDER_TEST).drop("n_views"),
     "s20_test_bounce": lambda t: landing.test_landing(t.pageviews, t.sessions, with_bounce=True, **_LANDER_TEST),
     "s22_ab_bounce": lambda t: landing.ab_bounce(t.pageviews, t.sessions, **_LANDER_TEST),
-    "s23_session_first_count": lambda t: landing.session_first_and_count(t.pageviews, t.sessions),
-    "s25_session_landing": lambda t: landing.session_first_and_count(t.pageviews, t.sessions, with_landing=True),
-    "s27_weekly_landing": lambda t: landing.weekly_landing_mix(t.pageviews, t.sessions),
+    "s23_session_first_count": lambda t: landing.session_first_and_count(t.pageviews, t.sessions, facts=t.session_facts),
+    "s25_session_landing": lambda t: landing.session_first_and_count(
+        t.pageviews, t.sessions, with_landing=True, facts=t.session_facts
+    ),
+    "s27_weekly_landing": lambda t: landing.weekly_landing_mix(t.pageviews, t.sessions, facts=t.session_facts),
     "s28_pageview_flags": lambda t: funnel.pageview_flags(t.sessions, t.pageviews),
-    "s29_session_flags": lambda t: funnel.click_funnel_flags(t.sessions, t.pageviews),
-    "s30_funnel_counts": lambda t: funnel.funnel_counts(funnel.click_funnel_flags(t.sessions, t.pageviews)),
-    "s31_funnel_rates": lambda t: funnel.funnel_rates(funnel.click_funnel_flags(t.sessions, t.pageviews)),
+    "s29_session_flags": lambda t: funnel.click_funnel_flags(t.sessions, t.pageviews, facts=t.session_facts),
+    "s30_funnel_counts": lambda t: funnel.funnel_counts(funnel.click_funnel_flags(t.sessions, t.pageviews, facts=t.session_facts)),
+    "s31_funnel_rates": lambda t: funnel.funnel_rates(funnel.click_funnel_flags(t.sessions, t.pageviews, facts=t.session_facts)),
     "s37_first_billing2": lambda t: landing.first_page_seen(t.pageviews, V.BILLING_2),
     "s38_billing_test": lambda t: billing.billing_test_views(t.pageviews, t.orders),
     "s40_billing_cvr": lambda t: billing.billing_conversion(t.pageviews, t.orders),
@@ -61,11 +63,11 @@ REPORTS: dict[str, Report] = {
     "s47_test_landing": lambda t: landing.test_landing(t.pageviews, t.sessions, **_LANDER_TEST_INCL).drop("n_views"),
     "s48_test_orders": lambda t: landing.test_orders(t.pageviews, t.sessions, t.orders, **_LANDER_TEST_INCL),
     "s50_ab_cvr": lambda t: landing.ab_conversion(t.pageviews, t.sessions, t.orders, **_LANDER_TEST_INCL),
-    "s51_last_home_session": lambda t: landing.last_session_seeing(t.sessions, t.pageviews),
-    "s52_sessions_since": lambda t: landing.sessions_since_last(t.sessions, t.pageviews),
-    "s53_session_flags8": lambda t: funnel.lander_funnel_flags(t.sessions, t.pageviews),
-    "s54_segment_funnel": lambda t: funnel.segment_funnel(funnel.lander_funnel_flags(t.sessions, t.pageviews)),
-    "s55_segment_rates": lambda t: funnel.segment_rates(funnel.lander_funnel_flags(t.sessions, t.pageviews)),
+    "s51_last_home_session": lambda t: landing.last_session_seeing(t.sessions, t.pageviews, facts=t.session_facts),
+    "s52_sessions_since": lambda t: landing.sessions_since_last(t.sessions, t.pageviews, facts=t.session_facts),
+    "s53_session_flags8": lambda t: funnel.lander_funnel_flags(t.sessions, t.pageviews, facts=t.session_facts),
+    "s54_segment_funnel": lambda t: funnel.segment_funnel(funnel.lander_funnel_flags(t.sessions, t.pageviews, facts=t.session_facts)),
+    "s55_segment_rates": lambda t: funnel.segment_rates(funnel.lander_funnel_flags(t.sessions, t.pageviews, facts=t.session_facts)),
     "s56_billing_revenue": lambda t: billing.billing_revenue(t.pageviews, t.orders),
     "s57_weekly_sources": lambda t: traffic.weekly_sources(t.sessions),
     "s58_source_mobile": lambda t: traffic.source_mobile_share(t.sessions),
@@ -100,7 +102,7 @@ REPORTS: dict[str, Report] = {
     "s89_quarter_channel_cvr": lambda t: conversion.quarterly_channel_conversion(t.sessions, t.orders),
     "s90_product_margin": lambda t: products.product_margins(t.order_items),
     "s91_products_views": lambda t: paths.product_views(t.pageviews),
-    "s92_products_ctr": lambda t: paths.product_click_through(t.pageviews, t.orders),
+    "s92_products_ctr": lambda t: paths.product_click_through(t.pageviews, t.orders, facts=t.session_facts),
     "s93_recent_orders": lambda t: products.recent_orders(t.orders),
     "s94_cross_sell_matrix": lambda t: products.cross_sell_matrix(t.orders, t.order_items),
 }

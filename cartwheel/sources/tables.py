@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 from cartwheel.session import checkpoint_dir, prefer_settings
 from cartwheel.sources import events as E
+from cartwheel.sources import facts as FA
+from cartwheel.sources.facts import session_facts
+
+FACTS_FILE = "session_facts"
 
 # table name on disk -> ShopTables field
 TABLE_FILES = {
@@ -78,11 +82,15 @@ class ShopTables:
     orders: DataFrame
     order_items: DataFrame
     refunds: DataFrame
+    # written per-session answers (``sources.facts``), present when staged
+    session_facts: DataFrame | None = None
 
     def conform(self) -> ShopTables:
         """Project every table to its documented columns and types."""
-        out = {}
+        out = {"session_facts": self.session_facts}
         for f in fields(self):
+            if f.name not in SCHEMAS:
+                continue
             df: DataFrame = getattr(self, f.name)
             cols = SCHEMAS[f.name]
             missing = [c for c in cols if c not in df.columns]
@@ -112,9 +120,18 @@ def _from_tagged(views: DataFrame, blocks: DataFrame) -> ShopTables:
 # tables staged by stage_shop in this process: (app id, source) -> folder
 _STAGED: dict[tuple[str, str], str] = {}
 _STAGE_LOCK = threading.Lock()
+
+
+def _code_hash(*modules) -> str:
+    h = hashlib.sha1(repr(sorted(SCHEMAS.items())).encode())
+    for m in modules:
+        with open(m.__file__, "rb") as src:
+            h.update(src.read())
+    return h.hexdigest()[:12]
+
+
 # staged copies are reused only by the same derivation code
-with open(E.__file__, "rb") as _src:
-    DERIVATION_VERSION = hashlib.sha1(_src.read() + repr(sorted(SCHEMAS.items())).encode()).hexdigest()[:12]
+DERIVATION_VERSION = _code_hash(E, FA)
 COMPLETE_MARK = "_COMPLETE"
 
 
@@ -145,6 +162,9 @@ def _fingerprint(spark: SparkSession, path: str) -> str:
 
 def _stored(spark: SparkSession, root: str) -> ShopTables:
     dfs = {field: spark.read.parquet(_join(root, f"{name}.parquet")) for name, field in TABLE_FILES.items()}
+    facts_path = _join(root, f"{FACTS_FILE}.parquet")
+    if _exists(spark, facts_path):
+        dfs["session_facts"] = spark.read.parquet(facts_path)
     return ShopTables(**dfs).conform()
 
 
@@ -254,6 +274,11 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     }
     for name, df in layout.items():
         df.write.mode("overwrite").parquet(_join(root, f"{name}.parquet"))
+    # per-session answers, from the written page views
+    views = spark.read.parquet(_join(root, "website_pageviews.parquet"))
+    session_facts(views).repartitionByRange(n, "website_session_id").sortWithinPartitions(
+        "website_session_id"
+    ).write.mode("overwrite").parquet(_join(root, f"{FACTS_FILE}.parquet"))
     fs, mark = _fs(spark, _join(root, COMPLETE_MARK))
     fs.create(mark, True).close()
     _STAGED[(spark.sparkContext.applicationId, path)] = root
