@@ -151,13 +151,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def _fingerprint(spark: SparkSession, path: str) -> str:
-    """Source path, size and modification time of the events input."""
+def _fingerprint(spark: SparkSession, path: str) -> tuple[str, int]:
+    """Tag of the events input (path, size, modification time, derivation
+    code) and its size in bytes."""
     fs, jpath = _fs(spark, path)
     status = fs.getFileStatus(jpath)
-    size = fs.getContentSummary(jpath).getLength()
+    size = int(fs.getContentSummary(jpath).getLength())
     raw = f"{path}|{size}|{status.getModificationTime()}|{DERIVATION_VERSION}"
-    return hashlib.sha1(raw.encode()).hexdigest()[:16]
+    return hashlib.sha1(raw.encode()).hexdigest()[:16], size
+
+
+# target size of one staged page-view file (compressed parquet)
+STAGED_FILE_BYTES = 256 * 1024 * 1024
 
 
 def _stored(spark: SparkSession, root: str) -> ShopTables:
@@ -237,7 +242,8 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     rise with time, so each file covers a time span and its row-group
     statistics let date filters skip data), page views sorted by session
     then view id inside each file. The folder lives under the session's
-    checkpoint directory and is marked complete when every table is
+    checkpoint directory, with about 256 MB per page-view file unless
+    ``files_per_table`` says otherwise, and is marked complete when every table is
     written; with ``reuse`` a complete copy of the same input (same path,
     size and modification time), left by any earlier application, is
     used instead of staging again.
@@ -245,14 +251,18 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     path = path.rstrip("/")
     events_path = _join(path, "events.parquet")
     base = checkpoint_dir(spark)
-    tag = _fingerprint(spark, events_path)
+    tag, input_bytes = _fingerprint(spark, events_path)
     if reuse:
         found = _reusable(spark, base, tag)
         if found is not None:
             _STAGED[(spark.sparkContext.applicationId, path)] = found
             return found
     root = _join(base, f"shop-{tag}-{spark.sparkContext.applicationId}")
-    n = files_per_table or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # files per table: enough that a page-view file stays near
+    # STAGED_FILE_BYTES (the views are about as large as the events)
+    n = files_per_table or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // STAGED_FILE_BYTES)
+    )
     # tag the events once and cut the lineage there: the five tables are
     # then projections of one written table (a block's first view carries
     # everything its session row needs)
