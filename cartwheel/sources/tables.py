@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import threading
 import warnings
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,10 +214,18 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     """
     path = path.rstrip("/")
     prefer_settings(spark)
-    if all(_exists(spark, _join(path, f"{name}.parquet")) for name in TABLE_FILES):
-        return _stored(spark, path)
     if stage is None:
         stage = spark.conf.get(STAGE_CONF, "auto") != "off"
+    if all(_exists(spark, _join(path, f"{name}.parquet")) for name in TABLE_FILES):
+        shop = _stored(spark, path)
+        if stage and shop.session_facts is None:
+            with _STAGE_LOCK:
+                try:
+                    facts_root = _stage_facts(spark, path)
+                    shop = replace(shop, session_facts=spark.read.parquet(_join(facts_root, f"{FACTS_FILE}.parquet")))
+                except Exception as err:  # noqa: BLE001 -- no usable shared folder: views only
+                    warnings.warn(f"cartwheel: session facts for {path} not staged ({type(err).__name__})", stacklevel=2)
+        return shop
     if stage:
         # reports started from several threads stage a source only once
         with _STAGE_LOCK:
@@ -235,6 +243,26 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     return derive_shop(spark.read.parquet(_join(path, "events.parquet")))
 
 
+def _stage_facts(spark: SparkSession, path: str) -> str:
+    """Per-session facts of stored page views, written once per input (and
+    reused by later applications) under the checkpoint folder."""
+    views_path = _join(path, "website_pageviews.parquet")
+    base = checkpoint_dir(spark)
+    tag, input_bytes = _fingerprint(spark, views_path)
+    found = _reusable(spark, base, tag)
+    if found is not None:
+        return found
+    root = _join(base, f"shop-{tag}-{spark.sparkContext.applicationId}")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // (4 * STAGED_FILE_BYTES)))
+    views = spark.read.parquet(views_path)
+    session_facts(views).repartitionByRange(n, "website_session_id").sortWithinPartitions(
+        "website_session_id"
+    ).write.mode("overwrite").parquet(_join(root, f"{FACTS_FILE}.parquet"))
+    fs, mark = _fs(spark, _join(root, COMPLETE_MARK))
+    fs.create(mark, True).close()
+    return root
+
+
 def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = None, reuse: bool = True) -> str:
     """Derive the tables of ``path`` once and write them as parquet.
 

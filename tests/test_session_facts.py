@@ -42,3 +42,17 @@ def test_facts_and_views_agree(staged_check, key):
     plan = with_facts._jdf.queryExecution().executedPlan().toString()
     assert any(c in plan for c in ("first_url", "n_views", "last_view_id", "seen_")), "reads the facts"
     assert _rows(with_facts) == _rows(REPORTS[key](without))
+
+
+def test_stored_tables_get_staged_facts(spark, staged_check, tmp_path):
+    """Tables stored by the user (no events) get session facts too."""
+    from cartwheel.sources import open_shop
+    from cartwheel.sources.tables import TABLE_FILES
+
+    root = str(tmp_path / "shop")
+    for name, field in TABLE_FILES.items():
+        getattr(staged_check, field).write.parquet(f"{root}/{name}.parquet")
+    shop = open_shop(spark, root)
+    assert shop.session_facts is not None
+    for key in ("s29_session_flags", "s92_products_ctr"):
+        assert _rows(REPORTS[key](shop)) == _rows(REPORTS[key](staged_check))
