@@ -187,7 +187,8 @@ def suspect_table(suspects: DataFrame, bits: int) -> np.ndarray:
 def classes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with equal ``keys`` as one class: keep_id, group_size, kept."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "part", "row")).alias("first")
-    groups = rows.groupBy(*keys).agg(first, F.count("*").alias("group_size"))
+    # staged, so that both sides of the join come from plain shuffles and Spark can split a hot class
+    groups = common.staged(rows.groupBy(*keys).agg(first, F.count("*").alias("group_size")))
     return rows.join(groups, keys).select(
         "doc_id", "digest", F.col("first.doc_id").alias("keep_id"), "group_size",
         ((F.col("part") == F.col("first.part")) & (F.col("row") == F.col("first.row"))).alias("kept"),

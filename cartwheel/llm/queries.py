@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import common, exact_dedup
+from cartwheel.llm import common, exact_dedup, packing, simhash_dedup, token_files, tokens
+from cartwheel.session import checkpoint_dir
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +28,26 @@ FROM d JOIN g USING (norm)
 """
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_dedup.simhash_dedup(common.table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(common.table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    files = token_files.write(docs, folder, tokens.vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_files.read(files, files.keys).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {"op3_simhash_dedup": op3_simhash_dedup, "op6_packing": op6_packing,
+        "op7_token_files": op7_token_files, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
