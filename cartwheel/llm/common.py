@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +17,27 @@ from pyspark.sql import types as T
 from cartwheel.session import checkpoint_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, as ``--py-files`` would.
+
+    Where the package is installed on the executors that copy is the same code.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="cartwheel-code-"), "cartwheel.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "cartwheel")):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,7 +99,8 @@ def record_batch(columns: dict, kinds: pa.Schema) -> pa.RecordBatch:
 
 def crc_bucket(id_col: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; null ids fall in bucket -1."""
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")), F.lit(buckets)), F.lit(-1))
+    column = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.coalesce(F.pmod(F.crc32(column.cast("string")), F.lit(buckets)), F.lit(-1))
 
 
 def null_last(name: str) -> list[Column]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import common, exact_dedup, packing, simhash_dedup, token_files, tokens
+from cartwheel.llm import common, exact_dedup, language_id, packing, quality, simhash_dedup, token_files, tokens, toxicity
 from cartwheel.session import checkpoint_dir
 
 
@@ -28,11 +28,29 @@ FROM d JOIN g USING (norm)
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc_bucket("doc_id", 4) == 2
+    model = language_id.fit(docs, ~held_out, tokens.vocabulary("piece_bpe_32k.model"))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_dedup.simhash_dedup(common.table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def quality_trees(docs: DataFrame, labels: DataFrame) -> quality.Trees:
+    return quality.fit(docs, labels, lambda doc_id: common.crc_bucket(doc_id, 5) != 0)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_trees(docs, common.table(spark, sf_dir, "labels")))
+    held_out = common.crc_bucket("doc_id", 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(common.table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,9 +63,27 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files, files.keys).withColumnRenamed("key", "doc_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), lambda doc_id: common.crc_bucket(doc_id, 5) != 0)
+    held_out = common.crc_bucket("doc_id", 5) == 0
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    op2_language_id, op3_simhash_dedup, op4_quality, op6_packing, op7_token_files, op9_exact_dedup, op10_toxicity,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash_dedup": op3_simhash_dedup, "op6_packing": op6_packing,
-        "op7_token_files": op7_token_files, "op9_exact_dedup": op9_exact_dedup}
+    def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            common.ship(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: shipped(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
     return exact_dedup.keep_first(docs)
 
 
