@@ -12,6 +12,7 @@ lazy plan itself.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import threading
 import warnings
 from dataclasses import dataclass, fields, replace
@@ -125,8 +126,7 @@ _STAGE_LOCK = threading.Lock()
 def _code_hash(*modules) -> str:
     h = hashlib.sha1(repr(sorted(SCHEMAS.items())).encode())
     for m in modules:
-        with open(m.__file__, "rb") as src:
-            h.update(src.read())
+        h.update(inspect.getsource(m).encode())  # also from a zip shipped to executors
     return h.hexdigest()[:12]
 
 
