@@ -146,3 +146,12 @@ def with_running_start(df: DataFrame, order: list[str], value: str, start: str =
         .withColumn(start, F.col("_base") + F.col("_before"))
         .drop("_part", "_base", "_before")
     )
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder, and read from there."""
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,16 @@
-"""The corpus pipeline: filter, dedup, mix and pack the documents in order.
+"""The corpus pipeline: filter, dedup, mix and pack the documents, in this order.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is
 written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``.
+
+1. quality: documents that the boosted trees score below 0.3 go.
+2. exact_dedup: of equal texts (white space aside) the smallest id stays.
+3. near_dedup: of each SimHash component (three-word shingles, three bits)
+   the smallest id stays.
+4. mixing: sources are brought to temperature weights by repeating
+   documents of smaller sources; every document is passed over at least once.
+5. packing: token sequences of at most 2048 ids, one row per piece.
 """
 
 from __future__ import annotations
@@ -11,23 +19,50 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartwheel.llm import common, exact_dedup
+from cartwheel.llm import common, exact_dedup, mixing, packing, quality, simhash_dedup, tokens
+from cartwheel.llm.queries import quality_trees
 from cartwheel.session import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return quality.keep_good(docs, quality_trees(docs, common.table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.ship(spark)
     return exact_dedup.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return simhash_dedup.keep_one(docs, shingle=3, max_bits=3)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    return mixing.repeat_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.ship(spark)
+    pieces = packing.pack(docs, tokens.vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_good),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
-#: tokenising and the fitted classifier are not expressible in SQL; the tests hold each stage against brute force
+#: a fitted classifier and token ids are not expressible in SQL; the tests hold every stage against brute force
 ORACLE_SQL = None
 
 
