@@ -103,9 +103,10 @@ def crc_bucket(id_col: str | Column, buckets: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string")), F.lit(buckets)), F.lit(-1))
 
 
-def null_last(name: str) -> list[Column]:
-    """Ascending order of a column, nulls after all values."""
-    return [F.col(name).isNull(), F.col(name)]
+def part_of(name: str, share: float | Column) -> Column:
+    """Whether a row is in the part of about ``share`` of all values of a column, chosen by hash."""
+    place = F.pmod(F.xxhash64(name, F.lit("part")), F.lit(2**30)) / F.lit(float(2**30))
+    return place < (F.lit(float(share)) if not isinstance(share, Column) else share)
 
 
 def with_running_start(df: DataFrame, order: list[str], value: str, start: str = "start", partitions: int | None = None) -> DataFrame:

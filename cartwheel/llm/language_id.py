@@ -12,7 +12,7 @@ languages alike, so a passage quoted from another language does not
 outweigh the rest of a text. ``score`` is the posterior of the best language under
 equal priors.
 
-Fitting uses at most ``fit_docs`` documents per language (chosen by hash);
+Fitting uses about ``fit_docs`` documents per language at most (chosen by hash);
 scoring reads every whole text once, without a shuffle.
 
 Cases: ``und`` with score 0 for a null text, one without letters, or when
@@ -30,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,13 +165,13 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 def fit(docs: DataFrame, may_learn: Column, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         *, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS) -> Model:
-    """Piece probabilities per language, from at most ``fit_docs`` documents each where ``may_learn``."""
+    """Piece probabilities per language, from about ``fit_docs`` documents each at most where ``may_learn``."""
     spark = docs.sparkSession
     usable = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    keyed = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit("fit")).alias("h"))
-    chosen = keyed.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= fit_docs).select(F.col("id").alias("_id")).distinct()
-    chosen = common.staged(chosen)  # at most fit_docs ids per language
+    keyed = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    sizes = common.staged(keyed.groupBy("_lang").agg(F.count("*").alias("_n")))
+    chosen = keyed.join(sizes, "_lang").filter(common.part_of("_id", F.lit(float(fit_docs)) / F.col("_n"))).select("_id").distinct()
+    chosen = common.staged(chosen)  # about fit_docs ids per language at most
     sample = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi")
     words = common.staged(word_counts(sample, lang_col, text_col))
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())

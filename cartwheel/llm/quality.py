@@ -6,7 +6,7 @@ statistic (logistic loss, second-order gains) and kept as flat arrays:
 feature and threshold of each inner node in heap order, value of each leaf. Scoring
 walks all rows of a batch down a tree at once with numpy.
 
-Fitting uses at most ``per_class`` labelled documents of each class;
+Fitting uses about ``per_class`` labelled documents of each class at most;
 scoring reads every whole text once, without a shuffle.
 
 Cases: a null text counts as empty and gets a score like any other; without

@@ -14,7 +14,7 @@ colon, counts as quoted. A logistic regression over the sums of abusive
 and quoted hits gives the score; the weight of quoted hits may not exceed
 that of the others.
 
-Fitting uses at most ``per_class`` labelled documents of each class;
+Fitting uses about ``per_class`` labelled documents of each class at most;
 scoring reads every whole text once, without a shuffle.
 
 Cases: a null or empty text has no hits and the score of such texts;
