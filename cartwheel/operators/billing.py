@@ -79,5 +79,5 @@ def billing_revenue(
     rows = sessions_with_orders(keyed, orders)
     return rows.groupBy("billing_version_seen").agg(
         n_sessions().alias("sessions"),
-        F.sum(F.col("n_views") * F.col("price_usd")).alias("_rev"),
+        F.sum(F.col("n_views") * F.col("_revenue")).alias("_rev"),
     ).select("billing_version_seen", "sessions", ratio("_rev", "sessions").alias("revenue_per_click"))

@@ -2,10 +2,11 @@
 
 Grain rules the reports rely on: ``website_session_id`` is the key of
 sessions, ``website_pageview_id`` of page views, ``order_id`` of orders,
-``order_item_id`` of order items; every view and order belongs to one
-session. Under those keys a distinct count of ids is a plain count at
-the right grain, which is how the reports below avoid Spark's ``Expand``
-for multiple distinct aggregates.
+``order_item_id`` of order items (``sources`` refuses tables where it is
+not); every view and order belongs to one session. Under those keys a
+distinct count of ids is a plain count at the right grain, which is how
+the reports below avoid Spark's ``Expand`` for multiple distinct
+aggregates.
 """
 
 from __future__ import annotations
@@ -48,49 +49,39 @@ def paid_search(source: str | Sequence[str] | None = None, campaign: str | None
     return cond
 
 
-def sessions_with_orders(keyed: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per session of ``keyed`` plus one row per order of it.
+def sessions_with_orders(keyed: DataFrame, orders: DataFrame, **per_session: Column) -> DataFrame:
+    """``keyed`` with its sessions' orders folded into columns.
 
-    ``keyed`` holds ``website_session_id`` and the session-level columns a
-    report groups or filters on. Session rows have ``is_session`` true and
-    NULL order columns; order rows repeat the session's columns. A report
-    then needs a single aggregate: sessions = ``count_if(is_session)``,
-    orders = ``count(order_id)``, revenue = ``sum(price_usd)``.
-
-    The orders are matched with an inner join, which Spark may plan as a
-    broadcast of the (runtime-measured) session set when it is small, so
-    the order table is scanned without a shuffle; otherwise both sides
-    are shuffled on the session id once. No session-level fold or
-    distinct count follows.
+    ``keyed`` holds ``website_session_id`` and the columns a report groups or
+    filters on; each of its rows stays one row. The orders are summed per
+    session first (partial + final aggregate), so the left join has at most
+    one row per session on its right side, nothing fans out, and either
+    side may be split or broadcast. ``_orders`` (0 without orders) and
+    ``_revenue`` are always there, ``per_session`` adds aggregates over the
+    order rows.
     """
-    cols = keyed.columns
-    order_cols = {
-        "order_id": "bigint",
-        "price_usd": "decimal(6,2)",
-        "items_purchased": "int",
-        "primary_product_id": "int",
-    }
-    session_rows = keyed.select(
-        *cols,
-        F.lit(True).alias("is_session"),
-        *[F.lit(None).cast(t).alias(c) for c, t in order_cols.items()],
-    )
-    order_rows = keyed.join(orders.select(SESSION, *order_cols), SESSION, "inner").select(
-        *cols, F.lit(False).alias("is_session"), *order_cols
+    folded = orders.groupBy(F.col(SESSION).alias("_of")).agg(
+        F.count("order_id").alias("_n"), F.sum("price_usd").alias("_revenue"), *[c.alias(n) for n, c in per_session.items()]
     )
-    return session_rows.unionByName(order_rows)
+    joined = keyed.join(folded, F.col(SESSION) == F.col("_of"), "left")
+    return joined.withColumn("_orders", F.coalesce("_n", F.lit(0))).drop("_of", "_n")
 
 
 def n_sessions() -> Column:
-    return F.count_if(F.col("is_session"))
+    return F.count(F.lit(1))
 
 
 def n_orders() -> Column:
-    return F.count("order_id")
+    return F.sum("_orders")
 
 
 def revenue() -> Column:
-    return F.sum("price_usd")
+    return F.sum("_revenue")
+
+
+def per_distinct_order(order_values: Column) -> Column:
+    """A sum over folded order values, 0 where no session has an order."""
+    return F.coalesce(F.sum(order_values), F.lit(0))
 
 
 def first_view(*extra: str) -> Column:

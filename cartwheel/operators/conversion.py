@@ -23,6 +23,7 @@ from cartwheel.operators.common import (
     n_orders,
     n_sessions,
     paid_search,
+    per_distinct_order,
     revenue,
     sessions_with_orders,
     sorted_small,
@@ -33,8 +34,10 @@ def _keyed(sessions: DataFrame, where: Column, **keys: Column) -> DataFrame:
     return sessions.filter(where).select(SESSION, *[c.alias(n) for n, c in keys.items()])
 
 
-def _counts(keyed: DataFrame, orders: DataFrame, by: Sequence[str], *extra: Column) -> DataFrame:
-    rows = sessions_with_orders(keyed, orders)
+def _counts(
+    keyed: DataFrame, orders: DataFrame, by: Sequence[str], *extra: Column, per_session: dict[str, Column] | None = None
+) -> DataFrame:
+    rows = sessions_with_orders(keyed, orders, **(per_session or {}))
     aggs = [n_sessions().alias("sessions"), n_orders().alias("orders"), *extra]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
 
@@ -102,7 +105,8 @@ def monthly_conversion(
     if with_conv:
         out = out.withColumn("conv", ratio("orders", "sessions"))
         cols.append("conv")
-    return sorted_small(out.select(*cols), *keys)
+    # free segment columns (campaigns) are not bounded like calendar keys
+    return out.select(*cols).orderBy(*keys) if by else sorted_small(out.select(*cols), *keys)
 
 
 def gsearch_monthly(sessions: DataFrame, orders: DataFrame, until: str = V.MID_PROJECT_UNTIL) -> DataFrame:
@@ -177,8 +181,9 @@ def launch_impact(
         orders,
         ["yr", "mon"],
         revenue().alias("_rev"),
-        count_when(prod == 1).alias("product_one_order"),
-        count_when(prod == 2).alias("product_two_order"),
+        per_distinct_order(F.col("_p1")).alias("product_one_order"),
+        per_distinct_order(F.col("_p2")).alias("product_two_order"),
+        per_session={"_p1": count_when(prod == 1), "_p2": count_when(prod == 2)},
     )
     return out.select(
         "yr",
@@ -203,7 +208,8 @@ def period_scorecard(
     label = split_label(F.col(CREATED), split, V.PRE_CROSS_SALES_2, V.POST_CROSS_SALES_2, V.PERIOD_FALLBACK)
     keyed = _keyed(sessions, created_between(start, end), time_period=label)
     out = _counts(
-        keyed, orders, ["time_period"], revenue().alias("_rev"), F.sum("items_purchased").alias("_items")
+        keyed, orders, ["time_period"], revenue().alias("_rev"), F.sum("_bought").alias("_items"),
+        per_session={"_bought": F.sum("items_purchased")},
     )
     return out.select(
         "time_period",
@@ -270,8 +276,8 @@ def quarterly_channel_conversion(sessions: DataFrame, orders: DataFrame) -> Data
     rows = sessions_with_orders(keyed, orders)
     aggs = []
     for i in range(len(channels)):
-        aggs.append(F.count_if(F.col("is_session") & F.col(f"_c{i}")).alias(f"_s{i}"))
-        aggs.append(F.count(F.when(F.col(f"_c{i}"), F.col("order_id"))).alias(f"_o{i}"))
+        aggs.append(F.count_if(F.col(f"_c{i}")).alias(f"_s{i}"))
+        aggs.append(per_distinct_order(F.when(F.col(f"_c{i}"), F.col("_orders"))).alias(f"_o{i}"))
     out = rows.groupBy("yr", "quat").agg(*aggs)
     return out.select(
         "yr", "quat", *[ratio(f"_o{i}", f"_s{i}").alias(name) for i, name in enumerate(channels)]

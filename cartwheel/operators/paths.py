@@ -258,7 +258,7 @@ def product_click_through(
     rows = sessions_with_orders(keyed, orders)
     agg = rows.groupBy("yr", "mont").agg(
         n_sessions().alias("session_to_product"),
-        F.count_if(F.col("is_session") & F.col("clicked")).alias("clicked_to_next_p"),
+        F.count_if("clicked").alias("clicked_to_next_p"),
         n_orders().alias("orders"),
     )
     return agg.select(

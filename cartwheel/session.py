@@ -73,21 +73,25 @@ def build_session(
     return spark
 
 
+class NoSharedFolder(ValueError):
+    """A cluster session that names no folder which all executors share."""
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; that setting is read
-    from the session and never overridden. Only when it is unset on a
-    local master (local runs and tests) a fresh scratch folder is taken;
-    on a cluster that is an error, a machine-local folder would not be
-    seen by the executors.
+    A cluster names it in ``spark.checkpoint.dir`` or has set it with
+    ``setCheckpointDir``; either is used as it is. Only when there is
+    neither on a local master (local runs and tests) a fresh scratch
+    folder is taken; on a cluster that is an error, a machine-local folder
+    would not be seen by the executors.
     """
     global _LOCAL_DIR
     sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder all executors share")
         if _LOCAL_DIR is None:
             _LOCAL_DIR = tempfile.mkdtemp(prefix="cartwheel-ckpt-")
         current = _LOCAL_DIR

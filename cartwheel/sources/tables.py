@@ -14,13 +14,16 @@ from __future__ import annotations
 import hashlib
 import inspect
 import threading
+import uuid
 import warnings
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
-from cartwheel.session import checkpoint_dir, prefer_settings
+from cartwheel.session import NoSharedFolder, checkpoint_dir, prefer_settings
 from cartwheel.sources import events as E
 from cartwheel.sources import facts as FA
 from cartwheel.sources.facts import session_facts
@@ -36,6 +39,9 @@ TABLE_FILES = {
     "order_item_refunds": "refunds",
 }
 
+# amounts are widened to this type; a stored decimal that needs more digits keeps its own
+MONEY = "decimal(18,2)"
+
 # column -> Spark type of every table (FIXTURES.md section 1)
 SCHEMAS = {
     "sessions": {
@@ -60,8 +66,8 @@ SCHEMAS = {
         "website_session_id": "bigint",
         "primary_product_id": "int",
         "items_purchased": "int",
-        "price_usd": "decimal(6,2)",
-        "cogs_usd": "decimal(6,2)",
+        "price_usd": MONEY,
+        "cogs_usd": MONEY,
     },
     "order_items": {
         "order_item_id": "bigint",
@@ -69,13 +75,21 @@ SCHEMAS = {
         "order_id": "bigint",
         "product_id": "int",
         "is_primary_item": "int",
-        "price_usd": "decimal(6,2)",
-        "cogs_usd": "decimal(6,2)",
+        "price_usd": MONEY,
+        "cogs_usd": MONEY,
     },
     "refunds": {"order_item_id": "bigint"},
 }
 
 
+# the column that identifies a row; a refund may be recorded more than once
+KEYS = {"sessions": "website_session_id", "pageviews": "website_pageview_id", "orders": "order_id", "order_items": "order_item_id"}
+
+
+class RepeatedIds(ValueError):
+    """A table holds two rows with one id, so counts of rows are not counts of ids."""
+
+
 @dataclass(frozen=True)
 class ShopTables:
     sessions: DataFrame
@@ -83,22 +97,39 @@ class ShopTables:
     orders: DataFrame
     order_items: DataFrame
     refunds: DataFrame
-    # written per-session answers (``sources.facts``), present when staged
-    session_facts: DataFrame | None = None
+    # gives the written per-session answers (``sources.facts``), or None; called by the first report that reads them
+    facts: Callable[[], DataFrame | None] | None = None
+    # called with a table's name when a report takes that table: the tables are checked when used
+    before_use: Callable[[str], None] | None = None
+
+    def __getattribute__(self, name: str):
+        if name in KEYS:
+            check = object.__getattribute__(self, "before_use")
+            if check is not None:
+                check(name)
+        return object.__getattribute__(self, name)
+
+    @property
+    def session_facts(self) -> DataFrame | None:
+        return self.facts() if self.facts is not None else None
 
     def conform(self) -> ShopTables:
         """Project every table to its documented columns and types."""
-        out = {"session_facts": self.session_facts}
-        for f in fields(self):
-            if f.name not in SCHEMAS:
-                continue
-            df: DataFrame = getattr(self, f.name)
-            cols = SCHEMAS[f.name]
+        out = {}
+        for name, cols in SCHEMAS.items():
+            df: DataFrame = getattr(self, name)
             missing = [c for c in cols if c not in df.columns]
             if missing:
-                raise ValueError(f"{f.name}: missing columns {missing}")
-            out[f.name] = df.select(*[F.col(c).cast(t).alias(c) for c, t in cols.items()])
-        return ShopTables(**out)
+                raise ValueError(f"{name}: missing columns {missing}")
+            out[name] = df.select(*[F.col(c).cast(_type_of(df, c, t)).alias(c) for c, t in cols.items()])
+        return replace(self, **out)
+
+
+def _type_of(df: DataFrame, column: str, wanted: str):
+    stored = df.schema[column].dataType
+    if wanted == MONEY and isinstance(stored, DecimalType) and (stored.scale > 2 or stored.precision - stored.scale > 16):
+        return stored
+    return wanted
 
 
 def derive_shop(events: DataFrame) -> ShopTables:
@@ -118,9 +149,10 @@ def _from_tagged(views: DataFrame, blocks: DataFrame) -> ShopTables:
     ).conform()
 
 
-# tables staged by stage_shop in this process: (app id, source) -> folder
+# what this process knows of its inputs, by application and tag: staged folders, and tables whose ids are unique
 _STAGED: dict[tuple[str, str], str] = {}
-_STAGE_LOCK = threading.Lock()
+_UNIQUE: set[tuple[str, str, str]] = set()
+_STAGE_LOCK = threading.RLock()
 
 
 def _code_hash(*modules) -> str:
@@ -151,26 +183,84 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def _fingerprint(spark: SparkSession, path: str) -> tuple[str, int]:
-    """Tag of the events input (path, size, modification time, derivation
-    code) and its size in bytes."""
-    fs, jpath = _fs(spark, path)
-    status = fs.getFileStatus(jpath)
-    size = int(fs.getContentSummary(jpath).getLength())
-    raw = f"{path}|{size}|{status.getModificationTime()}|{DERIVATION_VERSION}"
-    return hashlib.sha1(raw.encode()).hexdigest()[:16], size
+def _tag(spark: SparkSession, paths: Iterable[str]) -> tuple[str, int]:
+    """Digest over every file below ``paths`` (name, length, modification
+    time) and the derivation code, and the files' bytes. Any rewritten,
+    added or removed file gives another tag."""
+    files, size = [], 0
+    for path in paths:
+        fs, jpath = _fs(spark, path)
+        found = fs.listFiles(jpath, True)
+        while found.hasNext():
+            status = found.next()
+            files.append(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}")
+            size += int(status.getLen())
+    raw = "\n".join([DERIVATION_VERSION, *sorted(files)])
+    return hashlib.sha1(raw.encode()).hexdigest()[:20], size
 
 
 # target size of one staged page-view file (compressed parquet)
 STAGED_FILE_BYTES = 256 * 1024 * 1024
 
 
-def _stored(spark: SparkSession, root: str) -> ShopTables:
-    dfs = {field: spark.read.parquet(_join(root, f"{name}.parquet")) for name, field in TABLE_FILES.items()}
-    facts_path = _join(root, f"{FACTS_FILE}.parquet")
-    if _exists(spark, facts_path):
-        dfs["session_facts"] = spark.read.parquet(facts_path)
-    return ShopTables(**dfs).conform()
+def _tables_at(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {field: spark.read.parquet(_join(root, f"{name}.parquet")) for name, field in TABLE_FILES.items()}
+
+
+def _staged_shop(spark: SparkSession, root: str) -> ShopTables:
+    """The tables of a staged folder; its ids are unique by derivation."""
+    tables = _tables_at(spark, root)
+    return ShopTables(**tables, facts=lambda: _facts_at(spark, root, tables["pageviews"])).conform()
+
+
+def _facts_at(spark: SparkSession, root: str, views: DataFrame) -> DataFrame:
+    """The session facts written beside staged tables, or below ``root``, by the first report that reads them."""
+    path, mark = _join(root, f"{FACTS_FILE}.parquet"), _join(root, f"_{FACTS_FILE}{COMPLETE_MARK}")
+    with _STAGE_LOCK:
+        if not _exists(spark, mark):
+            session_facts(views).sortWithinPartitions("website_session_id").write.mode("overwrite").parquet(path)
+            _touch(spark, mark)
+    return spark.read.parquet(path)
+
+
+def _touch(spark: SparkSession, path: str) -> None:
+    fs, jpath = _fs(spark, path)
+    fs.create(jpath, True).close()
+
+
+def _given_shop(spark: SparkSession, tables: dict[str, DataFrame], files: Callable[[str], list[str]], stage: bool) -> ShopTables:
+    """Tables that somebody else wrote: checked and given facts when a report first uses them.
+
+    ``files`` lists the paths of a table's files; a table without files
+    (a view over something else) is checked at each use and has no facts.
+    """
+    shop = ShopTables(**tables).conform()
+    base = _shared_folder(spark)
+
+    def check(name: str) -> None:
+        paths = files(name)
+        key = (spark.sparkContext.applicationId, name, _tag(spark, paths)[0]) if paths else None
+        if key in _UNIQUE:
+            return
+        mark = _join(base, f"unique-{name}-{key[2]}") if key and base else None
+        if mark is None or not _exists(spark, mark):
+            column = KEYS[name]
+            twice = tables[name].filter(F.col(column).isNotNull()).groupBy(column).count().filter("count > 1").select(column).limit(1).collect()
+            if twice:
+                raise RepeatedIds(f"{name}: {column} {twice[0][0]} occurs more than once; remove the repeated rows")
+            if mark is not None:
+                _touch(spark, mark)
+        if key is not None:
+            _UNIQUE.add(key)
+
+    def facts() -> DataFrame | None:
+        paths = files("pageviews")
+        if not (stage and base and paths):
+            return None
+        check("pageviews")
+        return _facts_at(spark, _join(base, f"facts-{_tag(spark, paths)[0]}"), object.__getattribute__(shop, "pageviews"))
+
+    return replace(shop, facts=facts, before_use=check)
 
 
 def _reusable(spark: SparkSession, base: str, tag: str) -> str | None:
@@ -191,78 +281,59 @@ def _reusable(spark: SparkSession, base: str, tag: str) -> str | None:
 STAGE_CONF = "spark.cartwheel.stage"
 
 
-def catalog_shop(spark: SparkSession, database: str | None = None) -> ShopTables:
+def catalog_shop(spark: SparkSession, database: str | None = None, stage: bool | None = None) -> ShopTables:
     """The shop tables from the Spark catalog: ``database.website_sessions``
     and so on, or -- without a database -- the current database and temp
-    views of those names (the ``use <schema>`` of a SQL session).
+    views of those names (the ``use <schema>`` of a SQL session). Tables
+    over files are checked and get session facts as in ``open_shop``.
     """
     prefer_settings(spark)
     prefix = f"{database}." if database else ""
-    return ShopTables(**{field: spark.table(prefix + name) for name, field in TABLE_FILES.items()}).conform()
+    tables = {field: spark.table(prefix + name) for name, field in TABLE_FILES.items()}
+    return _given_shop(spark, tables, lambda name: tables[name].inputFiles(), _wanted(spark, stage))
+
+
+def _wanted(spark: SparkSession, stage: bool | None) -> bool:
+    return spark.conf.get(STAGE_CONF, "auto") != "off" if stage is None else stage
+
+
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The shared checkpoint folder, or None (with a warning) on a cluster that names none."""
+    try:
+        return checkpoint_dir(spark)
+    except NoSharedFolder as err:
+        warnings.warn(f"cartwheel: nothing is staged: {err}", stacklevel=3)
+        return None
 
 
 def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> ShopTables:
     """The shop tables of ``path``: stored, staged, or derived from events.
 
-    When the tables have to be derived, the first call of an application
-    stages them (``stage_shop``) and later calls read the written copy:
-    the click stream is sessionised once per application, and every
-    report starts from written tables (short lineage, cheap recovery of
-    lost executors). ``stage=False`` or the session setting
-    ``spark.cartwheel.stage=off`` keep the lazy plan; without a usable
-    shared checkpoint folder the plan stays lazy as well.
+    Stored tables are read as they are: the first report that uses one
+    checks once per state of its files that its ids are unique
+    (``RepeatedIds`` otherwise), and the first report that needs session
+    facts writes them.
+
+    When the tables have to be derived, the first call stages them
+    (``stage_shop``) and later calls read the written copy, as long as
+    every input file is what it was: the files are listed on each call.
+    ``stage=False`` or the session setting ``spark.cartwheel.stage=off``
+    keep the lazy plan, and so does a cluster without a shared checkpoint
+    folder. Any error while staging is raised.
     """
     path = path.rstrip("/")
     prefer_settings(spark)
-    if stage is None:
-        stage = spark.conf.get(STAGE_CONF, "auto") != "off"
+    stage = _wanted(spark, stage)
     if all(_exists(spark, _join(path, f"{name}.parquet")) for name in TABLE_FILES):
-        shop = _stored(spark, path)
-        if stage and shop.session_facts is None:
-            with _STAGE_LOCK:
-                try:
-                    facts_root = _stage_facts(spark, path)
-                    shop = replace(shop, session_facts=spark.read.parquet(_join(facts_root, f"{FACTS_FILE}.parquet")))
-                except Exception as err:  # noqa: BLE001 -- no usable shared folder: views only
-                    warnings.warn(f"cartwheel: session facts for {path} not staged ({type(err).__name__})", stacklevel=2)
-        return shop
-    if stage:
+        names = {field: _join(path, f"{name}.parquet") for name, field in TABLE_FILES.items()}
+        return _given_shop(spark, _tables_at(spark, path), lambda name: [names[name]], stage)
+    if stage and _shared_folder(spark) is not None:
         # reports started from several threads stage a source only once
         with _STAGE_LOCK:
-            staged = _STAGED.get((spark.sparkContext.applicationId, path))
-            if staged is not None:
-                return _stored(spark, staged)
-            try:
-                return _stored(spark, stage_shop(spark, path))
-            except Exception as err:  # noqa: BLE001 -- no usable shared folder: stay lazy
-                warnings.warn(f"cartwheel: staging {path} failed ({type(err).__name__}); deriving lazily", stacklevel=2)
-    else:
-        staged = _STAGED.get((spark.sparkContext.applicationId, path))
-        if staged is not None:
-            return _stored(spark, staged)
+            return _staged_shop(spark, stage_shop(spark, path))
     return derive_shop(spark.read.parquet(_join(path, "events.parquet")))
 
 
-def _stage_facts(spark: SparkSession, path: str) -> str:
-    """Per-session facts of stored page views, written once per input (and
-    reused by later applications) under the checkpoint folder."""
-    views_path = _join(path, "website_pageviews.parquet")
-    base = checkpoint_dir(spark)
-    tag, input_bytes = _fingerprint(spark, views_path)
-    found = _reusable(spark, base, tag)
-    if found is not None:
-        return found
-    root = _join(base, f"shop-{tag}-{spark.sparkContext.applicationId}")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // (4 * STAGED_FILE_BYTES)))
-    views = spark.read.parquet(views_path)
-    session_facts(views).repartitionByRange(n, "website_session_id").sortWithinPartitions(
-        "website_session_id"
-    ).write.mode("overwrite").parquet(_join(root, f"{FACTS_FILE}.parquet"))
-    fs, mark = _fs(spark, _join(root, COMPLETE_MARK))
-    fs.create(mark, True).close()
-    return root
-
-
 def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = None, reuse: bool = True) -> str:
     """Derive the tables of ``path`` once and write them as parquet.
 
@@ -271,29 +342,46 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     statistics let date filters skip data), page views sorted by session
     then view id inside each file. The folder lives under the session's
     checkpoint directory, with about 256 MB per page-view file unless
-    ``files_per_table`` says otherwise, and is marked complete when every table is
-    written; with ``reuse`` a complete copy of the same input (same path,
-    size and modification time), left by any earlier application, is
-    used instead of staging again.
+    ``files_per_table`` says otherwise, and is marked complete when every
+    table is written; with ``reuse`` a complete copy of the same input (the
+    same files with the same lengths and modification times), left by any
+    application, is used instead of staging again. An incomplete folder is
+    removed when staging fails, and so is a copy of input that changed
+    meanwhile.
     """
     path = path.rstrip("/")
     events_path = _join(path, "events.parquet")
     base = checkpoint_dir(spark)
-    tag, input_bytes = _fingerprint(spark, events_path)
+    tag, input_bytes = _tag(spark, [events_path])
+    known = (spark.sparkContext.applicationId, tag)
     if reuse:
-        found = _reusable(spark, base, tag)
+        found = _STAGED.get(known) or _reusable(spark, base, tag)
         if found is not None:
-            _STAGED[(spark.sparkContext.applicationId, path)] = found
+            _STAGED[known] = found
             return found
-    root = _join(base, f"shop-{tag}-{spark.sparkContext.applicationId}")
+    root = _join(base, f"shop-{tag}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}")
     # files per table: enough that a page-view file stays near
     # STAGED_FILE_BYTES (the views are about as large as the events)
     n = files_per_table or max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // STAGED_FILE_BYTES)
     )
+    fs, folder = _fs(spark, root)
+    try:
+        _write_tables(spark, events_path, root, n)
+        if _tag(spark, [events_path])[0] != tag:
+            raise RuntimeError(f"{events_path} changed while it was staged")
+    except BaseException:
+        fs.delete(folder, True)
+        raise
+    _touch(spark, _join(root, COMPLETE_MARK))
+    _STAGED[known] = root
+    return root
+
+
+def _write_tables(spark: SparkSession, events_path: str, root: str, n: int) -> None:
     # tag the events once and cut the lineage there: the five tables are
     # then projections of one written table (a block's first view carries
-    # everything its session row needs)
+    # everything its session row needs), which goes when they are written
     views, _ = E.tag_events(spark.read.parquet(events_path))
     tagged_path = _join(root, "_tagged_events.parquet")
     views.write.mode("overwrite").parquet(tagged_path)
@@ -312,12 +400,5 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     }
     for name, df in layout.items():
         df.write.mode("overwrite").parquet(_join(root, f"{name}.parquet"))
-    # per-session answers, from the written page views
-    views = spark.read.parquet(_join(root, "website_pageviews.parquet"))
-    session_facts(views).repartitionByRange(n, "website_session_id").sortWithinPartitions(
-        "website_session_id"
-    ).write.mode("overwrite").parquet(_join(root, f"{FACTS_FILE}.parquet"))
-    fs, mark = _fs(spark, _join(root, COMPLETE_MARK))
-    fs.create(mark, True).close()
-    _STAGED[(spark.sparkContext.applicationId, path)] = root
-    return root
+    fs, tagged_folder = _fs(spark, tagged_path)
+    fs.delete(tagged_folder, True)
