@@ -14,6 +14,7 @@ from cartwheel.operators.common import (
     VIEW,
     created_after,
     created_before,
+    each_order,
     n_orders,
     n_sessions,
     sessions_with_orders,
@@ -35,9 +36,12 @@ def billing_test_views(
     pages: Sequence[str] = (V.BILLING, V.BILLING_2),
     test_page: str = V.BILLING_2,
 ) -> DataFrame:
-    """Billing views since the test began, each with its session's orders."""
-    views = _test_views(pageviews, until, pages, test_page).select(SESSION, "pageview_url")
-    return views.join(orders.select(SESSION, "order_id"), SESSION, "left")
+    """Billing pages seen since the test began with their session's orders; ``n_rows`` is the number of views.
+
+    The original lists every view with every order; equal rows are returned once with their number.
+    """
+    views = _test_views(pageviews, until, pages, test_page).groupBy(SESSION, "pageview_url").agg(F.count(F.lit(1)).alias("n_rows"))
+    return each_order(views, orders, "order_id")
 
 
 def billing_conversion(

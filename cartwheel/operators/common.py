@@ -99,29 +99,55 @@ def first_view_where(cond: Column, *extra: str) -> Column:
     return F.min(F.when(cond, F.struct(VIEW, *extra)))
 
 
-def later_view(
+def next_view(
     anchors: DataFrame, pageviews: DataFrame, keys: Sequence[str], anchor: str = "anchor", with_url: bool = True
 ) -> DataFrame:
-    """For each anchor row, the session's least view id above ``anchor``.
+    """``keys`` of every anchor row with the session's least view id above it.
 
     ``anchors`` has ``keys`` (which include the session id) and the view id
-    ``anchor``. Returns ``keys`` + ``next_id`` (+ ``next_url``) for the
-    anchors that have a later view (inner semantics).
-
-    The range condition rides on an equi-join on the session id. Each view
-    meets at most as many anchors as its session has (two periods at
-    most), so the join stays linear; a skewed session partition is split
-    by AQE because the join is inner. The minimum is a partial + final
+    ``anchor`` of one of the session's views. Returns ``keys`` + ``next_id``
+    (+ ``next_url``), NULL where no view follows.
+
+    The range condition rides on an equi-join on the session id and includes
+    the anchor itself, so the inner join loses no anchor and no join back is
+    needed. Each view meets at most as many anchors as its session has (two
+    periods at most), so the join stays linear; a skewed session is split by
+    AQE because the join is inner. The minimum is a partial + final
     aggregate -- a hash aggregate when only the id is wanted.
     """
     views = pageviews.select(F.col(SESSION).alias("_vs"), F.col(VIEW).alias("_vid"), F.col("pageview_url").alias("_vurl"))
-    joined = anchors.join(views, (F.col(SESSION) == F.col("_vs")) & (F.col("_vid") > F.col(anchor)), "inner")
+    joined = anchors.join(views, (F.col(SESSION) == F.col("_vs")) & (F.col("_vid") >= F.col(anchor)), "inner")
+    later = F.col("_vid") > F.col(anchor)
     if not with_url:
-        return joined.groupBy(*keys).agg(F.min("_vid").alias("next_id"))
-    nxt = F.min(F.struct(F.col("_vid").alias("id"), F.col("_vurl").alias("url"))).alias("_n")
+        return joined.groupBy(*keys).agg(F.min(F.when(later, F.col("_vid"))).alias("next_id"))
+    nxt = F.min(F.when(later, F.struct(F.col("_vid").alias("id"), F.col("_vurl").alias("url")))).alias("_n")
     return joined.groupBy(*keys).agg(nxt).select(*keys, F.col("_n.id").alias("next_id"), F.col("_n.url").alias("next_url"))
 
 
+def each_order(rows: DataFrame, orders: DataFrame, *order_cols: str) -> DataFrame:
+    """Left join of ``rows`` with their session's orders, safe for a session with very many.
+
+    A left outer join cannot split its right side, so the matches are an
+    inner join and the rows without an order are added by an anti join.
+    """
+    matched = rows.join(orders.select(SESSION, *order_cols), SESSION)
+    kinds = {f.name: f.dataType for f in orders.schema}
+    without = rows.join(orders.select(SESSION).distinct(), SESSION, "left_anti")
+    return matched.unionByName(without.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in order_cols]))
+
+
+def of_sessions(pageviews: DataFrame, ids: DataFrame) -> DataFrame:
+    """The views of the sessions ``ids``.
+
+    The least and greatest id, two scalar subqueries, are a filter that
+    reaches the scan: staged views are sorted by session, so files and row
+    groups outside are skipped. The semi-join decides exactly.
+    """
+    least = ids.agg(F.min(SESSION)).scalar()
+    greatest = ids.agg(F.max(SESSION)).scalar()
+    return pageviews.filter((F.col(SESSION) >= least) & (F.col(SESSION) <= greatest)).join(ids, SESSION, "left_semi")
+
+
 def sorted_small(df: DataFrame, *cols) -> DataFrame:
     """Order a report whose size is bounded by calendar or segment keys
     (months, weeks, hours, products, segments).

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cartwheel.functions import count_when, ratio
 from cartwheel.functions import vocab as V
 from cartwheel.sources.facts import FACT_PAGES, seen_column
-from cartwheel.operators.common import SESSION, created_after, created_before, created_between, paid_search
+from cartwheel.operators.common import SESSION, created_after, created_before, created_between, of_sessions, paid_search
 
 
 def _page_flag(page: str) -> Column:
@@ -40,9 +40,13 @@ def pageview_flags(
     ses = _window_sessions(sessions, created_between(start, end), source, campaign).select(
         SESSION, F.col("created_at").alias("_session_start")
     )
-    views = pageviews.join(ses.select(SESSION), SESSION, "left_semi").select(SESSION, "pageview_url", "website_pageview_id")
+    views = of_sessions(pageviews, ses.select(SESSION)).select(SESSION, "pageview_url", "website_pageview_id")
+    # a left outer join could not split the views of a very long session: matches, then sessions without a view
+    silent = ses.join(views.select(SESSION).distinct(), SESSION, "left_anti")
+    nothing = [F.lit(None).cast(views.schema[c].dataType).alias(c) for c in ("pageview_url", "website_pageview_id")]
     return (
-        ses.join(views, SESSION, "left")
+        ses.join(views, SESSION)
+        .unionByName(silent.select(SESSION, "_session_start", *nothing))
         .select(SESSION, "pageview_url", *[_page_flag(p).alias(name) for p, name in steps], "_session_start", "website_pageview_id")
         .orderBy(SESSION, "_session_start", "website_pageview_id")
         .drop("_session_start", "website_pageview_id")
@@ -70,7 +74,7 @@ def session_flags(
         )
     else:
         seen = (
-            pageviews.join(ids, SESSION, "left_semi")
+            of_sessions(pageviews, ids)
             .groupBy(SESSION)
             .agg(*[F.max(_page_flag(p)).alias(name) for p, name in steps])
         )

@@ -27,10 +27,12 @@ from cartwheel.operators.common import (
     VIEW,
     created_after,
     created_before,
+    each_order,
     first_view,
     first_view_where,
     n_orders,
     n_sessions,
+    of_sessions,
     paid_search,
     sessions_with_orders,
     sorted_small,
@@ -135,16 +137,16 @@ def _test_sessions(
 ) -> DataFrame:
     """Per test session: first view from the test's first id on, and view count.
 
-    Sessions are filtered first and semi-joined to the views, so a
-    narrow test window shuffles only its own views (the session set is
-    broadcast when AQE measures it small). Without ``with_url`` the first
+    Sessions are filtered first and semi-joined to the views of their id
+    range, so a narrow test window reads and shuffles only its own views
+    (the session set is broadcast when AQE measures it small). Without ``with_url`` the first
     view is a plain ``min`` (hash aggregate) in ``f.website_pageview_id``.
     """
     start_id = _first_id_of(pageviews, test_page)
     in_test = (F.col(VIEW) >= start_id) if inclusive else (F.col(VIEW) > start_id)
     ids = sessions.filter(created_before(until) & paid_search(source, campaign)).select(SESSION)
     first = first_view_where(in_test, "pageview_url") if with_url else F.min(F.when(in_test, F.col(VIEW)))
-    per = pageviews.join(ids, SESSION, "left_semi").groupBy(SESSION).agg(first.alias("f"), F.count(F.lit(1)).alias("n_views"))
+    per = of_sessions(pageviews, ids).groupBy(SESSION).agg(first.alias("f"), F.count(F.lit(1)).alias("n_views"))
     if not with_url:
         per = per.withColumn("f", F.when(F.col("f").isNotNull(), F.struct(F.col("f").alias(VIEW))))
     return per.filter(F.col("f").isNotNull())
@@ -200,7 +202,7 @@ def ab_bounce(pageviews: DataFrame, sessions: DataFrame, **test) -> DataFrame:
 def test_orders(pageviews: DataFrame, sessions: DataFrame, orders: DataFrame, **test) -> DataFrame:
     """Test sessions with their landing page and orders (one row per order)."""
     land = test_landing(pageviews, sessions, **test).select(SESSION, "landing_page")
-    return land.join(orders.select(SESSION, "order_id"), SESSION, "left")
+    return each_order(land, orders, "order_id")
 
 
 def ab_conversion(pageviews: DataFrame, sessions: DataFrame, orders: DataFrame, **test) -> DataFrame:
@@ -235,7 +237,7 @@ def session_first_and_count(
         if with_landing:
             cols += [F.col("first_url").alias("pageview_url"), F.col("first_at").alias(CREATED)]
         return facts.join(ids, SESSION, "left_semi").select(*cols)
-    views = pageviews.join(ids, SESSION, "left_semi").groupBy(SESSION)
+    views = of_sessions(pageviews, ids).groupBy(SESSION)
     if not with_landing:
         # the first id alone is a hash aggregate; the URL needs the sort-based struct minimum
         return views.agg(F.min(VIEW).alias("first_page"), F.count(VIEW).alias("count_pv"))
@@ -288,7 +290,8 @@ def last_session_seeing(
     if facts is not None and page in FACT_PAGES:
         seen = facts.filter(F.col(seen_column(page)) == 1).select(SESSION)
     else:
-        seen = pageviews.filter(F.col("pageview_url") == page).select(SESSION)
+        # one row per session, so that a session with very many views is no hot key of the join
+        seen = pageviews.filter(F.col("pageview_url") == page).select(SESSION).distinct()
     return (
         sessions.filter(created_before(until) & paid_search(source, campaign))
         .join(seen, SESSION, "left_semi")

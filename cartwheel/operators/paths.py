@@ -6,7 +6,7 @@ view of its session (quadratic in the session's length) and takes the
 minimum. Here the anchor of a (period, session) is its *first* anchor
 view -- the least id above any of the anchors is the least id above the
 first one -- so each view meets at most one anchor per period and the
-join stays linear (``common.later_view``).
+join stays linear (``common.next_view``).
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from cartwheel.operators.common import (
     created_after,
     created_before,
     created_between,
-    later_view,
     n_orders,
     n_sessions,
+    next_view,
     sessions_with_orders,
     sorted_small,
 )
@@ -55,10 +55,8 @@ def _next_after_first(
 ) -> DataFrame:
     keys = ["time_period", SESSION]
     anchors = anchor_views.groupBy(*keys).agg(F.min(VIEW).alias("anchor"))
-    nxt = later_view(anchors, pageviews, keys, with_url=with_url)
-    if not keep_without_next:
-        return nxt
-    return anchors.join(nxt, keys, "left").drop("anchor")
+    nxt = next_view(anchors, pageviews, keys, with_url=with_url)
+    return nxt if keep_without_next else nxt.filter(F.col("next_id").isNotNull())
 
 
 def next_pageview(pageviews: DataFrame, **window) -> DataFrame:
@@ -127,14 +125,18 @@ def cart_next(pageviews: DataFrame, **window) -> DataFrame:
 
 
 def cart_orders(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
-    """Every cart view of a session that ordered, with each of its orders."""
-    return cart_views(pageviews, **window).join(
-        orders.select(SESSION, "order_id", "items_purchased", "price_usd"), SESSION, "inner"
-    ).select("time_period", SESSION, "order_id", "items_purchased", F.col("price_usd").cast("double").alias("price_usd"))
+    """Per period, the orders of sessions that saw the cart; ``n_rows`` is the session's cart views.
+
+    The original lists an order once per cart view; equal rows are returned once with their number.
+    """
+    views = cart_views(pageviews, **window).groupBy("time_period", SESSION).agg(F.count(F.lit(1)).alias("n_rows"))
+    return views.join(orders.select(SESSION, "order_id", "items_purchased", "price_usd"), SESSION, "inner").select(
+        "time_period", SESSION, "order_id", "items_purchased", F.col("price_usd").cast("double").alias("price_usd"), "n_rows"
+    )
 
 
-def _cart_cells(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
-    """Cart-view level rows of the cross-sell drill-down, with multiplicity.
+def _cart_cells(pageviews: DataFrame, **window) -> DataFrame:
+    """Per period and session: what multiplies the rows of the cross-sell drill-down.
 
     The drill-down joins each cart view ``s`` with the session's rows of
     "went past the cart" (one per period, ``m`` of them) and each of those
@@ -142,7 +144,7 @@ def _cart_cells(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
     orders). All joins are on the session only, so a session with ``c``
     cart views gives ``c_p * m * c`` copies of each order row: quadratic in
     ``c``. Instead of emitting the copies, each distinct row is returned
-    once with ``n_rows``, its number of copies:
+    once with its number of copies:
 
     * no later view (``m = 0``): ``c_p`` rows, nothing clicked;
     * later view, no order: ``c_p * m`` rows, clicked;
@@ -158,42 +160,39 @@ def _cart_cells(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("c_p"), F.min(VIEW).alias("anchor"))
     )
-    went_on = later_view(per_period.select(*keys, "anchor"), pageviews, keys, with_url=False).select(
-        *keys, F.lit(1).alias("went")
-    )
+    went = next_view(per_period, pageviews, [*keys, "c_p"], with_url=False)
     by_session = Window.partitionBy(SESSION)
-    cells = (
-        per_period.join(went_on, keys, "left")
-        .withColumn("c", F.sum("c_p").over(by_session))
-        .withColumn("m", F.sum(F.coalesce(F.col("went"), F.lit(0))).over(by_session))
-    )
-    ses_orders = orders.select(
-        F.col(SESSION).alias("_os"), "order_id", "items_purchased", "price_usd"
-    ).join(cells.select(SESSION).distinct(), F.col("_os") == F.col(SESSION), "left_semi")
-    # a session's orders matter only when it went past the cart (m > 0)
-    joined = cells.join(ses_orders, (F.col(SESSION) == F.col("_os")) & (F.col("m") > 0), "left")
-    no_order = F.col("order_id").isNull()
-    return joined.select(
-        "time_period",
-        SESSION,
-        (F.col("m") > 0).cast("int").alias("click_to_anoter_page"),
-        F.when(no_order, 0).otherwise(1).alias("placed_order"),
-        "items_purchased",
-        "price_usd",
-        F.when(F.col("m") == 0, F.col("c_p"))
-        .when(no_order, F.col("c_p") * F.col("m"))
-        .otherwise(F.col("c_p") * F.col("m") * F.col("c"))
-        .cast("bigint")
-        .alias("n_rows"),
+    return went.select(
+        *keys, "c_p", F.sum("c_p").over(by_session).alias("c"), F.count("next_id").over(by_session).alias("m")
     )
 
 
 def cart_flags(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
-    """Distinct cart drill-down rows with their number of copies ``n_rows``."""
-    cells = _cart_cells(pageviews, orders, **window)
+    """Distinct cart drill-down rows with their number of copies ``n_rows``.
+
+    A session's orders matter only when it went past the cart. The order
+    rows come from an inner join, which Spark can split at a session with
+    very many orders; the other rows keep one row per period and session.
+    """
+    cells = _cart_cells(pageviews, **window)
+    has_order = orders.select(F.col(SESSION).alias("_os")).distinct()
+    marked = cells.join(has_order, F.col(SESSION) == F.col("_os"), "left").withColumn(
+        "ordered", F.col("_os").isNotNull() & (F.col("m") > 0)
+    )
     keys = ["time_period", SESSION, "click_to_anoter_page", "placed_order", "items_purchased", "price_usd"]
+    kinds = {f.name: f.dataType for f in orders.schema}
+    plain = marked.filter(~F.col("ordered")).select(
+        "time_period", SESSION, (F.col("m") > 0).cast("int").alias("click_to_anoter_page"), F.lit(0).alias("placed_order"),
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in keys[4:]],
+        (F.col("c_p") * F.greatest(F.col("m"), F.lit(1))).alias("n_rows"),
+    )
+    bought = cells.filter("m > 0").join(orders.select(SESSION, "items_purchased", "price_usd"), SESSION, "inner").select(
+        "time_period", SESSION, F.lit(1).alias("click_to_anoter_page"), F.lit(1).alias("placed_order"),
+        "items_purchased", "price_usd", (F.col("c_p") * F.col("m") * F.col("c")).alias("n_rows"),
+    )
     return (
-        cells.groupBy(*keys)
+        plain.unionByName(bought)
+        .groupBy(*keys)
         .agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
         .select(*keys[:5], F.col("price_usd").cast("double").alias("price_usd"), "n_rows")
         .orderBy(SESSION, "time_period")
@@ -203,17 +202,21 @@ def cart_flags(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
 def cart_metrics(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
     """Per period: cart sessions, click-through, orders, products and revenue.
 
-    Sums run over the drill-down rows including their copies (weights
-    ``n_rows``), exactly as the original sums over the fanned-out join.
+    Sums run over the drill-down rows including their copies, exactly as
+    the original sums over the fanned-out join. The orders are folded per
+    session first, so each (period, session) meets one row.
     """
-    cells = _cart_cells(pageviews, orders, **window)
-    n = F.col("n_rows")
-    agg = cells.groupBy("time_period").agg(
-        F.count_distinct(SESSION).alias("cart_sessions"),
-        F.sum(F.col("click_to_anoter_page") * n).alias("ctr"),
-        F.sum(F.col("placed_order") * n).alias("cart_ctr"),
-        F.sum(F.col("items_purchased") * n).alias("_items"),
-        F.sum(F.col("price_usd") * n).alias("_rev"),
+    cells = _cart_cells(pageviews, **window)
+    rows = sessions_with_orders(cells, orders, _items=F.sum("items_purchased"))
+    m, n = F.col("m"), F.col("_orders")
+    copies = F.col("c_p") * m * F.when(n > 0, F.col("c")).otherwise(1)
+    ordered = (m > 0) & (n > 0)
+    agg = rows.groupBy("time_period").agg(
+        F.count(F.lit(1)).alias("cart_sessions"),
+        F.sum(copies * F.greatest(n, F.lit(1))).alias("ctr"),
+        F.coalesce(F.sum(F.when(ordered, copies * n)), F.lit(0)).alias("cart_ctr"),
+        F.sum(F.when(ordered, copies * F.col("_items"))).alias("_items"),
+        F.sum(F.when(ordered, copies * F.col("_revenue"))).alias("_rev"),
     )
     return agg.select(
         "time_period",
