@@ -130,12 +130,25 @@ def each_order(rows: DataFrame, orders: DataFrame, *order_cols: str) -> DataFram
     A left outer join cannot split its right side, so the matches are an
     inner join and the rows without an order are added by an anti join.
     """
-    matched = rows.join(orders.select(SESSION, *order_cols), SESSION)
+    matched = orders_of(rows, orders, *order_cols)
     kinds = {f.name: f.dataType for f in orders.schema}
     without = rows.join(orders.select(SESSION).distinct(), SESSION, "left_anti")
     return matched.unionByName(without.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in order_cols]))
 
 
+def orders_of(rows: DataFrame, orders: DataFrame, *order_cols: str) -> DataFrame:
+    """Inner join of ``rows`` with their session's orders.
+
+    The key is the id as text: ``rows`` that were grouped by the session id
+    are then shuffled anew instead of joined where the grouping left them,
+    and only a join of two plain shuffles lets AQE split a session with
+    very many orders.
+    """
+    mine = rows.withColumn("_key", F.col(SESSION).cast("string"))
+    theirs = orders.select(F.col(SESSION).cast("string").alias("_key"), *order_cols)
+    return mine.join(theirs, "_key").drop("_key")
+
+
 def of_sessions(pageviews: DataFrame, ids: DataFrame) -> DataFrame:
     """The views of the sessions ``ids``.
 

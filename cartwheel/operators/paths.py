@@ -26,6 +26,7 @@ from cartwheel.operators.common import (
     n_orders,
     n_sessions,
     next_view,
+    orders_of,
     sessions_with_orders,
     sorted_small,
 )
@@ -186,7 +187,7 @@ def cart_flags(pageviews: DataFrame, orders: DataFrame, **window) -> DataFrame:
         *[F.lit(None).cast(kinds[c]).alias(c) for c in keys[4:]],
         (F.col("c_p") * F.greatest(F.col("m"), F.lit(1))).alias("n_rows"),
     )
-    bought = cells.filter("m > 0").join(orders.select(SESSION, "items_purchased", "price_usd"), SESSION, "inner").select(
+    bought = orders_of(cells.filter("m > 0"), orders, "items_purchased", "price_usd").select(
         "time_period", SESSION, F.lit(1).alias("click_to_anoter_page"), F.lit(1).alias("placed_order"),
         "items_purchased", "price_usd", (F.col("c_p") * F.col("m") * F.col("c")).alias("n_rows"),
     )

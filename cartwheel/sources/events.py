@@ -20,7 +20,10 @@ block to one task:
   which is joined back to the events (a skewed join partition is split by
   AQE, the block side is one row per key).
 
-The events are shuffled in full exactly once.
+The full events cross an exchange for the ranks (cut to ten rows per block
+and map task) and, where the blocks are too many to broadcast, one for the
+join with them; the raw events are scanned once for the ids, once for the
+ranks and once for that join.
 """
 
 from __future__ import annotations
