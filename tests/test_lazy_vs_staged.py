@@ -6,7 +6,7 @@ import pytest
 from cartwheel.plans.catalog import REPORTS
 from cartwheel.sources import derive_shop, open_shop, stage_shop
 
-from conftest import SF_SMALL
+from compare import SF_SMALL
 
 
 @pytest.fixture(scope="module")

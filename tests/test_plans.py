@@ -55,7 +55,7 @@ def test_scan_prunes_columns(staged_check):
 def test_derivation_limits_ranks_before_the_shuffle(spark):
     from cartwheel.sources import derive_shop
 
-    from conftest import SF_CHECK
+    from compare import SF_CHECK
 
     plan = _plan(derive_shop(spark.read.parquet(f"{SF_CHECK}/events.parquet")).pageviews)
     # Spark plans row_number() <= 10 with a partial limit below the exchange

@@ -7,7 +7,7 @@ from cartwheel.plans.oracle import with_tables
 from cartwheel.sources import SCHEMAS, derive_shop, open_shop
 from compare import rows_of
 
-from conftest import SF_CHECK
+from compare import SF_CHECK
 
 ORACLE_NAMES = {
     "sessions": "website_sessions",
