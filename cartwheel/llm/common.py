@@ -17,6 +17,18 @@ from pyspark.sql import types as T
 from cartwheel.session import checkpoint_dir
 
 
+#: rows per Arrow batch where the session does not say: a batch of whole texts stays a few megabytes.
+TEXT_BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the queries want of a session: the package on the executors, and small batches where none are set."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, TEXT_BATCH_ROWS)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once per application, as ``--py-files`` would.
 

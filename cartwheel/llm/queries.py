@@ -142,7 +142,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            common.ship(spark)
+            common.prepare(spark)
             return query(spark, sf_dir)
 
         return run

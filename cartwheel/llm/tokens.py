@@ -15,7 +15,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: chunks remembered per Python worker: about 100 bytes each, and as much again for the dict.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 500_000
 
 # fixed values: white space as both vocabularies' patterns know it, and the
 # two patterns themselves, for ASCII text

@@ -29,27 +29,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return quality.keep_good(docs, quality_trees(docs, common.table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return simhash_dedup.keep_one(docs, shingle=3, max_bits=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return mixing.repeat_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     pieces = packing.pack(docs, tokens.vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
