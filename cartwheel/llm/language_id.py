@@ -61,22 +61,30 @@ def letter_pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """Piece numbers of all spans of words; words of a length are worked on together."""
+    """Piece numbers of all spans of words; words of a length are worked on together.
+
+    Spans are looked up by a 64-bit polynomial hash of their characters, which
+    grows with the span, so a column of spans is a few numpy operations.
+    """
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: i for i, p in enumerate(pieces)}
         self.unknown, self.none = len(pieces), len(pieces) + 1
+        hashes = np.array([span_hashes(code_points([p], len(p)))[-1][0] for p in pieces], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        if len(np.unique(hashes)) < len(pieces):
+            raise ValueError("two pieces share a hash")
 
     def spans(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """(start, end) -> the piece number of that span in each word; all words have one length."""
-        get, n = self.number.get, len(words[0])
-        out = {}
-        for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
-                missing = self.unknown if end - start == 1 else self.none
-                numbers = [get(w[start:end], missing) for w in words]
-                if end - start == 1 or min(numbers) < self.none:
-                    out[start, end] = np.array(numbers)
+        n = len(words[0])
+        codes, out = code_points(words, n), {}
+        for start in range(n):
+            for size, found in enumerate(span_hashes(codes[:, start : start + LONGEST]), 1):
+                at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+                known = self.hashes[at] == found
+                if size == 1 or known.any():
+                    out[start, start + size] = np.where(known, self.order[at], self.unknown if size == 1 else self.none)
         return out
 
     def log_sums(self, words: list[str], table: np.ndarray) -> np.ndarray:
@@ -129,6 +137,22 @@ def by_length(words: list[str]) -> dict[int, np.ndarray]:
     return {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
 
 
+def code_points(words: list[str], n: int) -> np.ndarray:
+    """(words, n) character codes of words of ``n`` characters."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64)
+
+
+def span_hashes(codes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the first 1, 2, ... columns."""
+    out, h = [], np.zeros(len(codes), np.uint64)
+    with np.errstate(over="ignore"):
+        for column in range(codes.shape[1]):
+            h = (h + codes[:, column] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            out.append(h)
+    return out
+
+
 class Model(NamedTuple):
     languages: list[str]
     pieces: list[str]
