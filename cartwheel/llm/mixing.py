@@ -135,8 +135,19 @@ def mix(
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **limits) -> DataFrame:
-    """``docs`` with every row as often as the mix draws its document, with their own columns."""
+    """``docs`` with every row once per draw of its document, in the order of the mix, with their own columns.
+
+    Partitions are stretches of the mix, sorted within, so what reads them in
+    their order meets the target weights throughout. The rows of a document
+    with several are spread by hash over the stretch of its tokens; only rows
+    that share the text too keep one place.
+    """
     drawn = mix(docs, id_col, text_col, source_col, **limits)
-    times = common.staged(drawn.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.count("*").cast("int").alias("_times")))
+    drawn = common.staged(drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("pass").alias("_pass"), F.col("n_tokens").alias("_n"), F.col("start").alias("_start"), F.col("turn").alias("_turn")))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    return docs.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.withColumn("_own", word_count(F.col(text_col))).join(drawn, same)
+    # turn / (start + n / 2) is one token's part of the source's sequence
+    aside = F.pmod(F.xxhash64(text_col, "_pass"), F.lit(2**30)) / F.lit(float(2**30)) - 0.5
+    spread = F.col("_turn") * (1 + (F.col("_n") - F.col("_own")) / (F.col("_start") + F.col("_n") / 2) * aside)
+    placed = rows.withColumn("_place", F.when(F.col("_n") > F.col("_own"), spread).otherwise(F.col("_turn")))
+    return placed.repartitionByRange("_place", id_col).sortWithinPartitions("_place", id_col).select(*docs.columns)

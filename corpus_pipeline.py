@@ -9,7 +9,8 @@ last return the columns of ``documents``.
 3. near_dedup: of each SimHash component (three-word shingles, three bits)
    the smallest id stays.
 4. mixing: sources are brought to temperature weights by repeating
-   documents of smaller sources; every document is passed over at least once.
+   documents of smaller sources; every document is passed over at least once,
+   and rows come in the order of the mix.
 5. packing: token sequences of at most 2048 ids, one row per piece.
 """
 

@@ -94,3 +94,53 @@ def test_awkward(spark, awkward, no_docs):
 def test_word_count(spark):
     df = spark.createDataFrame([(None,), ("",), (" \n ",), ("a",), (" a  b\tc\n",)], "t string")
     assert [r[0] for r in df.select(M.word_count(df.t)).collect()] == [0, 0, 0, 1, 3]
+
+
+def stretches(rows, n, tokens):
+    """The rows cut into ``n`` stretches of about as many tokens."""
+    whole, at, out = sum(map(tokens, rows)), 0, [[] for _ in range(n)]
+    for r in rows:
+        out[min(n - 1, at * n // whole)].append(r)
+        at += tokens(r)
+    return out
+
+
+def assert_shares(got, drawn, n):
+    def tokens(r):
+        return len(r.text.split())
+
+    whole = collections.Counter()
+    for r in drawn:
+        whole[r.source] += r.n_tokens
+    for part in stretches(got, n, tokens):
+        here = collections.Counter()
+        for r in part:
+            here[r.source] += tokens(r)
+        assert all(abs(here[s] / sum(here.values()) - whole[s] / sum(whole.values())) < 0.05 for s in whole)
+
+
+def test_repeated_documents_come_in_the_order_of_the_mix(spark, tmp_path):
+    rows, _ = docs_of(spark, {"big": 900, "mid": 300, "small": 120})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)  # sorted by source
+    limits = {"entropy_share": 1.0, "max_passes": 3.0}
+    drawn = M.mix(docs, **limits).collect()
+    again = M.repeat_documents(docs, **limits)
+    got = again.collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in sorted(drawn, key=lambda r: (r.turn, r.doc_id))]
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r.doc_id for r in drawn)
+    assert {(r.doc_id, r.text, r.source) for r in got} == set(rows)
+    assert len(got) > len(rows) and all(a.doc_id != b.doc_id for a, b in zip(got, got[1:], strict=False))
+    assert_shares(got, drawn, 10)
+    again.write.parquet(str(tmp_path / "mixed"))  # as the pipeline does
+    files = sorted((tmp_path / "mixed").glob("part-*"))
+    assert [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()] == [r.doc_id for r in got]
+
+
+def test_rows_that_share_an_id_are_spread_over_their_stretch(spark):
+    rows = [(None, f"w{i} " * (1 + i % 5), "a") for i in range(600)] + [(i, f"v{i} " * (1 + i % 5), "a" if i % 2 else "b") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    drawn = M.mix(docs).collect()
+    times = collections.Counter((r.doc_id, r.source) for r in drawn)
+    got = M.repeat_documents(docs).collect()
+    assert collections.Counter(got) == collections.Counter({r: times[r[0], r[2]] for r in rows})
+    assert_shares(got, drawn, 8)
