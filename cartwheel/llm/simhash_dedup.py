@@ -223,25 +223,49 @@ def halves(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (prints & np.uint64(0xFFFFFFFF)).astype(np.uint32), (prints >> np.uint64(32)).astype(np.uint32)
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (least id reachable over links)."""
-    rows = common.staged(fingerprints(docs, id_col, text_col, shingle))
+def components(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint in ``rows``; ``root`` tells components apart where ids repeat or are null."""
     points = common.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = common.staged(connected_components(near_links(points.select("fp"), max_bits)))
     placed = points.join(roots, points["fp"] == roots["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return placed.join(least, "root").select("fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id.
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """One row per document: doc_id, fp (signed long), component_id (least id reachable over links)."""
+    rows = common.staged(fingerprints(docs, id_col, text_col, shingle))
+    return rows.join(components(rows, max_bits).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
 
-    An id goes only if all rows that carry it are to go; rows with a null id
-    cannot be named and stay.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_bits: int = 3, keep_null_ids: bool = True,
+) -> DataFrame:
+    """``docs`` with one row of each component: one with the least id, of several the one with the least digest of its text.
+
+    Rows with a null id all stay, or, without ``keep_null_ids``, come after
+    all ids: one stays of a component whose members have no id.
     """
-    found = simhash_dedup(docs, id_col, text_col, shingle=shingle, max_bits=max_bits)
-    gone = found.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone")
-    return docs.join(common.staged(gone.select(F.col("doc_id").alias("_gone"))), F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = common.staged(fingerprints(docs, id_col, text_col, shingle))
+    named = common.staged(components(rows, max_bits))
+    ids = rows.join(named, "fp").groupBy(F.col("doc_id").alias("_id")).agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
+    # ids without a row to keep, and those whose rows must be told apart; the others have one row, which stays
+    special = common.staged(ids.filter("gone or n > 1 or _id is null"))
+    plain = docs.join(special.select("_id"), F.col(id_col) == F.col("_id"), "left_anti")
+    several = special.filter("_id is null or not gone")
+    if keep_null_ids:
+        several = several.filter("_id is not null")
+    else:
+        plain = plain.filter(F.col(id_col).isNotNull())
+    if several.isEmpty():
+        return plain
+    marked = docs.join(several.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    marked = marked.withColumn("_digest", F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit("")))
+    keyed = marked.select(F.struct(F.col(id_col).alias("id"), F.col("_digest").alias("digest")).alias("_key"), text_col)
+    found = fingerprints(keyed, "_key", text_col, shingle).select("fp", "doc_id.id", "doc_id.digest").join(named, "fp")
+    least = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id").agg(F.min("digest").alias("digest"))
+    least = common.staged(least.select(F.col("id").alias("_least_id"), F.col("digest").alias("_least")))
+    chosen = marked.join(least, F.col(id_col).eqNullSafe(F.col("_least_id")) & (F.col("_digest") == F.col("_least")), "left_semi")
+    return plain.unionByName(chosen.dropDuplicates([id_col, "_digest"]).select(*docs.columns))

@@ -41,7 +41,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    return simhash_dedup.keep_one(docs, shingle=3, max_bits=3)
+    return simhash_dedup.keep_one(docs, shingle=3, max_bits=3, keep_null_ids=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,31 @@ def test_keep_one(awkward):
     assert kept.columns == awkward.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert 2 not in ids and 1 in ids and 6 not in ids and ids.count(None) == 2
+
+
+def test_keep_one_goes_by_row(spark):
+    """One row of each component, also where ids are null or repeated."""
+    words = [f"word{i}" for i in range(400)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"])]
+    assert bin(plain_fingerprint(near[0]) ^ plain_fingerprint(near[1])).count("1") <= 3
+    far = [" ".join(f"{w}{i}" for i in range(50)) for w in ("far", "off", "out")]
+    rows = [(1, near[0]), (2, near[1]), (2, far[0]), (3, far[1]), (3, far[1]), (3, far[1] + " "), (3, far[2]), (4, far[2]), (None, near[1]), (None, far[2])]
+    rows += [(None, "alone here with no id at all"), (None, "alone here with no id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def brute(rows):
+        comp, kept = plain_components([plain_fingerprint(t) for _, t in rows], 3), {}
+        for (doc_id, _), c in zip(rows, comp, strict=True):
+            at = (doc_id is None, doc_id or 0)
+            kept[c] = min(at, kept.get(c, at))
+        return sorted((c, *at) for c, at in kept.items())
+
+    def found(kept):
+        where = dict(zip([t for _, t in rows], plain_components([plain_fingerprint(t) for _, t in rows], 3), strict=True))
+        return sorted((where[r.text], r.doc_id is None, r.doc_id or 0) for r in kept)
+
+    assert found(S.keep_one(docs, keep_null_ids=False).collect()) == brute(rows)
+    named = [r for r in rows if r[0] is not None]
+    kept = S.keep_one(docs).collect()
+    assert found(r for r in kept if r.doc_id is not None) == [r for r in brute(rows) if not r[1]] == brute(named)
+    assert sum(r.doc_id is None for r in kept) == 4
