@@ -3,25 +3,31 @@
 Both vocabularies split text before their merges, never across a change
 from a non-space to a space character. So the ids of a text are the ids of
 its chunks (each with the white space before it) in a row, and a chunk's
-ids are computed by the library's own model once per worker, up to a
-bounded number of remembered chunks.
+ids are computed by the library's own model once per worker. Chunks that
+differ only in punctuation share their words, so the pieces inside chunks
+are remembered as well. Both memories are bounded and forget what was not
+used lately.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-#: chunks remembered per Python worker: about 100 bytes each, and as much again for the dict.
-MEMO_CHUNKS = 500_000
+#: chunks remembered per Python worker, in two generations of this size; about 200 bytes each with the dict.
+MEMO_CHUNKS = 300_000
 
 # fixed values: white space as both vocabularies' patterns know it, and the
-# two patterns themselves, for ASCII text
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII)
+# two patterns themselves, for text of ASCII and the letters of Latin-1 and
+# Latin Extended A (but for U+0130, whose lower case is two characters)
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+LATIN = re.compile(rf"[\x00-\x7f{LETTERS}]*")
+BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+", re.ASCII)
+WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+", re.ASCII)
 
 CHUNK = re.compile(f"[{re.escape(SPACE)}]*[^{re.escape(SPACE)}]+|[{re.escape(SPACE)}]+")
 RARE_SPACE = [c for c in SPACE if c not in " \n"]
@@ -38,16 +44,26 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Memo(dict):
-    """Chunk -> ids as little-endian bytes; computes what is missing, keeps a bounded number."""
+    """Key -> ids as little-endian bytes; computes what is missing and keeps the lately used.
+
+    Two generations of at most ``limit`` keys: when the young one is full
+    it becomes the old one, and a key found there moves back. So a key
+    used again within ``limit`` others stays, on any length of input.
+    """
 
     def __init__(self, compute: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.compute(chunk)
-        if len(self) < self.limit and len(chunk) <= 64:
-            self[chunk] = ids
+        self.compute, self.limit, self.old = compute, max(1, limit), {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.compute(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
         return ids
 
 
@@ -63,6 +79,8 @@ class Encoder:
         self.lowers = self.tokenizer.normalizer is not None
         self.chunks = Memo(self._chunk, memo_chunks // 10 if not self.lowers else memo_chunks)
         self.spaced = Memo(lambda c: self._chunk(c if c[:1] == "\n" else " " + c), memo_chunks)
+        tokenize, code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        self.pieces = Memo(lambda p: array(code, [t.id for t in tokenize(p)]).tobytes(), memo_chunks)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -79,15 +97,20 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         if "<|" in chunk:  # may hold a special token
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        tokenize = self.tokenizer.model.tokenize
-        if chunk.isascii():
-            pieces = WORD_PIECES.findall(chunk.lower()) if self.lowers else BYTE_PIECES.findall(chunk)
-            pieces = [p.translate(self.alphabet) for p in pieces]
+        if LATIN.fullmatch(chunk):
+            if self.lowers:
+                chunk = chunk.lower()
+            word = chunk[1:] if chunk[:1] == " " else chunk
+            if word.isalpha():
+                pieces = [word if self.lowers else chunk]
+            else:
+                pieces = (WORD_PIECES if self.lowers else BYTE_PIECES).findall(chunk)
+            pieces = [p.encode().decode("latin-1").translate(self.alphabet) for p in pieces]
         else:
             if self.lowers:
                 chunk = self.tokenizer.normalizer.normalize_str(chunk)
             pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
-        return np.array([t.id for p in pieces for t in tokenize(p)], self.dtype).tobytes()
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 _ENCODERS: dict[str, Encoder] = {}

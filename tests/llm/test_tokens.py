@@ -45,6 +45,13 @@ def test_any_text(text):
         same(_pair(name), text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.characters(min_codepoint=0x20, max_codepoint=0x25F), max_size=40))
+def test_latin_text(text):
+    for name in NAMES:
+        same(_pair(name), text)
+
+
 _PAIRS = {}
 
 
@@ -62,8 +69,10 @@ def test_special_token_in_text(pair):
         same(pair, text)
 
 
-def test_memo_is_bounded():
-    memo = tokens.Memo(lambda c: c.encode(), 3)
+def test_memo_is_bounded_and_keeps_what_is_used():
+    asked = []
+    memo = tokens.Memo(lambda c: asked.append(c) or c.encode(), 3)
     for c in "abcdefgh" * 2:
-        assert memo[c] == c.encode()
-    assert len(memo) == 3
+        assert memo[c] == c.encode() and memo["a"] == b"a"
+        assert len(memo) <= 3 and len(memo.old) <= 3
+    assert asked.count("a") == 1 and asked.count("h") == 2
