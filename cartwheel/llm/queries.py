@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.llm import common, exact_dedup, language_id, line_dedup, mixing, packing, quality, simhash_dedup, token_files, tokens, topk, toxicity
+from cartwheel.llm import (
+    common, exact_dedup, language_id, line_dedup, mixing, packing, quality, ranked_search, simhash_dedup, token_files, tokens, topk, toxicity,
+)
 from cartwheel.session import checkpoint_dir
 
 
@@ -133,9 +135,42 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), size AS (
+  SELECT doc_id, len(words)::BIGINT AS n FROM d WHERE len(words) > 0
+), totals AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS occurrences FROM size
+), tf AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(words) AS term FROM d) GROUP BY doc_id, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term
+), asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), scored AS (
+  SELECT a.item_id, tf.doc_id,
+         sum(a.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * s.n * t.docs) // t.occurrences))))::BIGINT AS score
+  FROM asked a JOIN weight w USING (term) JOIN tf USING (term) JOIN size s ON s.doc_id = tf.doc_id CROSS JOIN totals t
+  GROUP BY a.item_id, tf.doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_line_dedup, op2_language_id, op3_simhash_dedup, op4_quality, op5_mixing, op6_packing,
-    op7_token_files, op8_top_k, op9_exact_dedup, op10_toxicity,
+    op7_token_files, op8_top_k, op9_exact_dedup, op10_toxicity, op13_ranked_search,
 )
 
 
@@ -151,4 +186,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_top_k": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op13_ranked_search": OP13_SQL}
