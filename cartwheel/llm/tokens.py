@@ -78,9 +78,9 @@ class Encoder:
         self.alphabet = byte_alphabet()
         self.lowers = self.tokenizer.normalizer is not None
         self.chunks = Memo(self._chunk, memo_chunks // 10 if not self.lowers else memo_chunks)
-        self.spaced = Memo(lambda c: self._chunk(c if c[:1] == "\n" else " " + c), memo_chunks)
-        tokenize, code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        self.pieces = Memo(lambda p: array(code, [t.id for t in tokenize(p)]).tobytes(), memo_chunks)
+        self.spaced = Memo(self._after_space, memo_chunks)
+        self.tokenize, self.code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        self.pieces = Memo(self._piece, memo_chunks // 4)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -94,23 +94,34 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return (self.chunks[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
+    def _model(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one match of the vocabulary's pattern."""
+        return self._model(piece.encode().decode("latin-1").translate(self.alphabet))
+
+    def _after_space(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():
+            return self._model(self.alphabet[0x20] + chunk)
+        return self._chunk(chunk if chunk[:1] == "\n" else " " + chunk)
+
     def _chunk(self, chunk: str) -> bytes:
         if "<|" in chunk:  # may hold a special token
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        if LATIN.fullmatch(chunk):
-            if self.lowers:
-                chunk = chunk.lower()
-            word = chunk[1:] if chunk[:1] == " " else chunk
-            if word.isalpha():
-                pieces = [word if self.lowers else chunk]
-            else:
-                pieces = (WORD_PIECES if self.lowers else BYTE_PIECES).findall(chunk)
-            pieces = [p.encode().decode("latin-1").translate(self.alphabet) for p in pieces]
-        else:
+        if not LATIN.fullmatch(chunk):
             if self.lowers:
                 chunk = self.tokenizer.normalizer.normalize_str(chunk)
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
-        return b"".join(map(self.pieces.__getitem__, pieces))
+            return b"".join([self._model(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
+        # a word among the pieces is a chunk that may be remembered
+        if self.lowers:
+            low = chunk.lower()
+            if low.isalpha():
+                return self._piece(low) if low == chunk else self.chunks[low]
+            return b"".join([self.chunks[p] if p.isalpha() else self.pieces[p] for p in WORD_PIECES.findall(low)])
+        return b"".join(
+            [self.spaced[p[1:]] if p != chunk and p[0] == " " and p[1:].isalpha() else self.pieces[p] for p in BYTE_PIECES.findall(chunk)]
+        )
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -85,7 +85,7 @@ def test_awkward_documents_and_items(spark, awkward, group_terms, counted, monke
     texts = [(1, "quick Brown fox"), (2, None), (3, ""), (4, "!?"), (1, "the lazy dog the river"), (None, "schöner Ende élan"), (5, "absent"), (6, "alpha1 beta2 alpha1")]
     items = items_of(spark, texts)
     docs = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()]
-    for k in (1, 3, 20):
+    for k in (2, 20):
         assert rows_of(R.search(awkward, items, k, group_terms=group_terms, counted_terms=counted)) == brute(docs, texts, k)
 
 
