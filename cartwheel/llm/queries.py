@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.llm import (
-    alignment, common, exact_dedup, language_id, line_dedup, mixing, packing, quality, ranked_search, simhash_dedup, token_files, tokens, topk, toxicity,
+    alignment, common, exact_dedup, language_id, line_dedup, mixing, packing, quality, ranked_search, simhash_dedup, suffix_dedup, token_files, tokens, topk, toxicity,
 )
 from cartwheel.session import checkpoint_dir
 
@@ -135,6 +135,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup(common.table(spark, sf_dir, "documents"), window=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     rows = alignment.align(docs, tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model"))
@@ -176,7 +181,7 @@ SELECT * FROM ranked WHERE rank <= 20
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_line_dedup, op2_language_id, op3_simhash_dedup, op4_quality, op5_mixing, op6_packing,
-    op7_token_files, op8_top_k, op9_exact_dedup, op10_toxicity, op12_alignment, op13_ranked_search,
+    op7_token_files, op8_top_k, op9_exact_dedup, op10_toxicity, op11_suffix_dedup, op12_alignment, op13_ranked_search,
 )
 
 
