@@ -10,9 +10,10 @@ from the tokens' decoded bytes. Byte offsets where both end a token cut
 the text into groups; the two tokens that end there are a link.
 
 Both vocabularies always cut where a line feed or a space follows a
-character that is no white space, so texts are aligned chunk by chunk
-between such places, and chunks are remembered as in ``tokens``. The ids
-equal those of whole texts (tested).
+character that is no white space, and between a Latin letter and
+punctuation, so texts are aligned chunk by chunk between such places, and
+chunks are remembered as in ``tokens``. The ids equal those of whole texts
+(tested); a piece vocabulary that joins such characters is read in whole texts.
 
 Counts of linked id pairs are over the whole corpus and grow with it, so
 they are never broadcast: the first pass writes documents in blocks of
@@ -41,19 +42,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.llm import common
-from cartwheel.llm.tokens import byte_alphabet
+from cartwheel.llm.tokens import LETTERS, byte_alphabet
 
 #: links after which a block is closed (4 bytes each).
 BLOCK_LINKS = 1_000_000
 MEMO_CHUNKS = 200_000
 
-# before a space or a line feed that follows no white space
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+# before a space or a line feed that follows no white space, and between a letter and ASCII punctuation
+_CUT = re.compile(rf"(?<=\S)(?=[ \n])|(?<=[{LETTERS}])(?=[!-/:-@\[-`{{-~])")
 
 
+# white space that is not a single space or line feed between two words
+_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]")
+
 Aligned = tuple  # (groups, links, tokens of A, tokens of B)
 
 
+class Generations:
+    """What was computed lately, in two generations of about ``limit`` keys; long keys are not kept."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that have to be computed; the others are in ``young`` then."""
+        new = [k for k in keys if k not in self.young]
+        self.young.update((k, self.old[k]) for k in new if k in self.old)
+        return [k for k in new if k not in self.young]
+
+    def turn(self) -> None:
+        if len(self.young) > self.limit:
+            self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= 64}, {}
+
+
+def joined(parts: list[Aligned | None]) -> Aligned | None:
+    """The alignment of texts in a row."""
+    if None in parts:
+        return None
+    groups, links, n_a, n_b = zip(*parts, strict=True)
+    return ";".join(groups), b"".join(links), sum(n_a), sum(n_b)
+
+
 class Aligner:
     """``texts(texts)``: per text its ``Aligned``, or None where the bytes do not agree."""
 
@@ -72,51 +101,60 @@ class Aligner:
         }
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], np.int64)
+        self.b_sizes = np.array([len(b) for b in self.b_bytes], np.int64)
         self.space = self.b.piece_to_id("▁")
         # a piece that crosses such a place would make chunks differ from whole texts
-        self.chunked = not any(_CUT.search(p.replace("▁", " ")) or (len(p) > 1 and "\n" in p) for p in names)
+        plain = [p.replace("▁", " ") for i, p in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.chunked = not any(_CUT.search(p) or "\n" in p for p in plain)
         # an id and what follows it in the digest's text
         self.written = [f"{i}{mark}" for i in range(1 << 16) for mark in ",|;\n"]
-        self.limit, self.young, self.old = memo_chunks, {}, {}
+        self.words, self.parts = Generations(memo_chunks), Generations(memo_chunks // 2)
 
     def texts(self, texts: list[str | None]) -> list[Aligned | None]:
-        split = [None if not t else _CUT.split(" " + t) if self.chunked else [" " + t] for t in texts]
-        wanted = set().union(*filter(None, split))
-        young, old = self.young, self.old
-        young.update((c, old[c]) for c in wanted if c in old and c not in young)
-        new = [c for c in wanted if c not in young]
+        # most texts are words with one space or line feed before each; their words are looked up whole
+        words = [text.replace("\n", " \n").split(" ") if text and self.chunked and not _UNEVEN.search(text) else None for text in texts]
+        rest = [(_CUT.split(" " + text) if self.chunked else [" " + text]) if text and word is None else None for text, word in zip(texts, words, strict=True)]
+        new = {w: _CUT.split(w if w[:1] == "\n" else " " + w) for w in self.words.missing(set().union(*filter(None, words)))}
+        cut = self.parts.missing(set().union(*new.values(), *filter(None, rest)))
         at, size = 0, 0
-        for k, chunk in enumerate(new, 1):
+        for k, chunk in enumerate(cut, 1):
             size += len(chunk)
-            if size > 1_000_000 or k == len(new):
-                young.update(zip(new[at:k], self.chunks(new[at:k]), strict=True))
+            if size > 1_000_000 or k == len(cut):
+                self.parts.young.update(zip(cut[at:k], self.chunks(cut[at:k]), strict=True))
                 at, size = k, 0
+        known = self.parts.young
+        self.words.young.update((w, known[c[0]] if len(c) == 1 else joined(list(map(known.__getitem__, c)))) for w, c in new.items())
         out = []
-        for chunks in split:
-            parts = [None] if chunks is None else list(map(young.__getitem__, chunks))
-            if None in parts:
+        for word, chunks in zip(words, rest, strict=True):
+            if word is None and chunks is None:
                 out.append(None)
                 continue
-            groups, links, n_a, n_b = zip(*parts, strict=True)
-            out.append((";".join(groups).encode(), b"".join(links), sum(n_a), sum(n_b)))
-        for chunk in wanted:
-            if len(chunk) > 64:
-                del young[chunk]
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
+            whole = joined(list(map(self.words.young.__getitem__, word)) if word is not None else list(map(known.__getitem__, chunks)))
+            out.append(whole and (whole[0].encode(), *whole[1:]))
+        self.words.turn()
+        self.parts.turn()
         return out
 
     def chunks(self, chunks: list[str]) -> list[Aligned | None]:
         raw = [c.encode() for c in chunks]
-        a, b = self._a_cuts(chunks, raw), self._b_cuts(chunks, raw)
-        good = [k for k in range(len(chunks)) if a[k] is not None and b[k] is not None]
-        out: list[Aligned | None] = [None] * len(chunks)
-        if not good:
+        sides = [self._a_spans(chunks, raw), self._b_spans(chunks)]
+        good = np.ones(len(chunks), bool)
+        for (ids, _, _, sizes), table in zip(sides, (self.a_bytes, self.b_bytes), strict=True):
+            good &= agree(ids, sizes, table, raw)
+        if not good.all():  # seldom: the others again without these
+            out: list[Aligned | None] = [None] * len(chunks)
+            again = np.flatnonzero(good).tolist()
+            for k, found in zip(again, self.chunks([chunks[k] for k in again]) if again else [], strict=True):
+                out[k] = found
             return out
         # all chunks in a row, offsets counted on
-        base = np.cumsum([0, *(len(raw[k]) for k in good)])
-        a_ids, a_ends, a_sizes = _in_a_row([a[k] for k in good], base)
-        b_ids, b_ends, b_sizes = _in_a_row([b[k] for k in good], base)
+        base = np.cumsum([0, *map(len, raw)])
+        rows = []
+        for (ids, starts, ends, sizes), lengths in zip(sides, (self.a_sizes, self.b_sizes), strict=True):
+            ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+            rows.append((ids, refine(np.array(starts, np.int64), np.array(ends, np.int64), lengths[ids], sizes) + np.repeat(base[:-1], sizes), sizes.tolist()))
+        (a_ids, a_ends, a_sizes), (b_ids, b_ends, b_sizes) = rows
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         links = (a_ids[np.searchsorted(a_ends, cuts)] << 16 | b_ids[np.searchsorted(b_ends, cuts)]).astype("<u4").tobytes()
         side = np.concatenate([2 * np.searchsorted(cuts, a_ends), 2 * np.searchsorted(cuts, b_ends) + 1])
@@ -125,67 +163,73 @@ class Aligner:
         last_of_chunk = np.isin(cuts, base)
         mark = np.where(np.append(side[1:] == side[:-1], False), 0, np.where(side % 2 == 0, 1, 2 + last_of_chunk[side // 2]))
         groups = "".join(map(self.written.__getitem__, (ids * 4 + mark).tolist())).split("\n")
-        at = 4 * np.searchsorted(cuts, base, side="right")
-        for j, k in enumerate(good):
-            out[k] = (groups[j], links[at[j] : at[j + 1]], a_sizes[j], b_sizes[j])
-        return out
+        at = (4 * np.searchsorted(cuts, base, side="right")).tolist()
+        return [(groups[j], links[at[j] : at[j + 1]], a_sizes[j], b_sizes[j]) for j in range(len(chunks))]
 
-    def _a_cuts(self, chunks: list[str], raw: list[bytes]) -> list:
-        """Per chunk A's ids and the byte offset at which each ends."""
-        out = []
+    def _a_spans(self, chunks: list[str], raw: list[bytes]) -> Spans:
+        """A's tokens with the bytes of the characters that they touch."""
+        ids, starts, ends, sizes = [], [], [], []
         for chunk, data, found in zip(chunks, raw, self.a.encode_batch(chunks, add_special_tokens=False), strict=True):
-            ids, spans = found.ids, found.offsets  # of characters
+            mine = found.ids
+            ids += mine
+            sizes.append(len(mine))
+            spans = found.offsets  # of characters
             if len(data) != len(chunk):
                 place = np.cumsum([0, *(len(c.encode()) for c in chunk)]).tolist()
                 spans = [(place[s], place[e]) for s, e in spans]
-            out.append(refine(ids, spans, list(map(self.a_bytes.__getitem__, ids)), data))
-        return out
-
-    def _b_cuts(self, chunks: list[str], raw: list[bytes]) -> list:
-        """Per chunk B's ids and the byte offset at which each ends; the space before the text counts as one byte."""
-        found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], return_type="proto", num_threads=1)
-        out = []
-        for chunk, data, proto in zip(chunks, raw, found, strict=True):
-            ids, spans = [self.space], [(0, 1)]
-            if chunk[0] == " ":  # B's spans do not count the space that it adds
-                if len(chunk) > 1:
-                    ids, spans = [], []
-                    for p in proto.pieces:
-                        ids.append(p.id)
-                        spans.append((p.begin + 1 if spans else 0, p.end + 1))
-            else:  # the added space stands alone before a line feed
-                ids, spans = [p.id for p in proto.pieces], [(p.begin, p.end) for p in proto.pieces]
-                if ids[0] != self.space:
-                    out.append(None)
-                    continue
-                ids, spans = ids[1:], spans[1:]
-            out.append(refine(ids, spans, list(map(self.b_bytes.__getitem__, ids)), data))
-        return out
-
-
-def _in_a_row(cuts: list, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    sizes = [len(ids) for ids, _ in cuts]
-    ids = np.fromiter((i for ids, _ in cuts for i in ids), np.int64, sum(sizes))
-    ends = np.fromiter((e for _, ends in cuts for e in ends), np.int64, sum(sizes))
-    return ids, ends + np.repeat(base[:-1], sizes), sizes
-
-
-def refine(ids: list[int], spans: list[tuple[int, int]], decoded: list[bytes], raw: bytes) -> tuple[list[int], list[int]] | None:
-    """Ends of tokens from coarse byte spans; None where the tokens' bytes are not ``raw``.
+            starts += [s for s, _ in spans]
+            ends += [e for _, e in spans]
+        return ids, starts, ends, sizes
+
+    def _b_spans(self, chunks: list[str]) -> Spans:
+        """B's pieces with their byte spans; the space before the text counts as one byte."""
+        # the space that B adds is a chunk's own, or goes with a line feed, which no piece joins
+        found = self.b.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], return_type="proto", num_threads=1)
+        ids, starts, ends, sizes = [], [], [], []
+        for chunk, proto in zip(chunks, found, strict=True):
+            if chunk == " ":
+                mine, stops = [self.space], [1]
+            else:
+                mine, stops = [p.id for p in proto.pieces], [p.end for p in proto.pieces]
+                if chunk[0] == " ":
+                    stops = [e + 1 for e in stops]
+                else:
+                    mine, stops = mine[2:], [e - 1 for e in stops[2:]]
+            ids += mine
+            sizes.append(len(mine))
+            starts.append(0)
+            starts += stops[:-1]  # spans follow one another
+            ends += stops
+        return ids, starts, ends, sizes
+
+
+Spans = tuple  # (ids, starts, ends, tokens per chunk)
+
+
+def agree(ids: list[int], sizes: list[int], table, raw: list[bytes]) -> np.ndarray:
+    """Per chunk, whether its tokens' bytes are its own."""
+    decoded = list(map(table.__getitem__, ids))
+    at = np.cumsum([0, *sizes]).tolist()
+    lengths = np.cumsum([0, *map(len, decoded)])[at]
+    if b"".join(decoded) == b"".join(raw) and np.array_equal(np.diff(lengths), [len(r) for r in raw]):
+        return np.ones(len(raw), bool)
+    return np.array([b"".join(decoded[a:b]) == r for a, b, r in zip(at[:-1], at[1:], raw, strict=True)], bool)
+
+
+def refine(starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ends of tokens in their chunk from coarse byte spans and the lengths of their decoded bytes.
 
     A span is a cut where the next token starts at its end or later and it
     is not empty. Tokens that share a character report the character's
     span (or an empty one), and end where their decoded bytes do.
     """
-    if b"".join(decoded) != raw:
-        return None
-    ends, at = [], 0
-    following = [s for s, _ in spans[1:]]
-    following.append(len(raw))
-    for (start, end), after, token in zip(spans, following, decoded, strict=True):
-        at = end if start <= at < end <= after else at + len(token)
-        ends.append(at)
-    return ids, ends
+    before = np.cumsum(lengths) - lengths
+    first = np.cumsum(sizes) - sizes
+    at = before - np.repeat(before[np.minimum(first, len(before) - 1)], sizes)
+    following = np.append(starts[1:], 0)
+    following[(first + sizes - 1)[sizes > 0]] = np.iinfo(np.int64).max
+    clean = (starts <= at) & (at < ends) & (ends <= following)
+    return np.where(clean, ends, at + lengths)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}

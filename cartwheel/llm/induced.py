@@ -37,10 +37,9 @@ import numpy as np
 #: entries taken from the queue at once, at most.
 BATCH = 1 << 17
 #: ranges of the queue at most, and suffixes in a range at least.
-RANGES, RANGE_SIZE = 512, 1024
+RANGES, RANGE_SIZE = 256, 4096
 #: elements of an array handled at once, at least.
 PART = 1024
-FAR = np.iinfo(np.int64).max
 
 
 class Scratch:
@@ -83,6 +82,14 @@ def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
     return out
 
 
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it; the first does."""
+    out = np.empty(len(values), bool)
+    out[:1] = True
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
 class Text:
     """A text whose last symbol is 0 and occurs nowhere else, with the types and runs of its positions."""
 
@@ -139,10 +146,10 @@ class Queue:
     def put(self, symbols: np.ndarray, entries: np.ndarray) -> None:
         if not len(entries):
             return
-        where = np.searchsorted(self.edges, symbols, side="right") - 1
+        where = (np.searchsorted(self.edges, symbols, side="right") - 1).astype(np.uint16)
         order = np.argsort(where, kind="stable")
         where, entries = where[order], entries[order]
-        cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])).tolist()
+        cuts = np.flatnonzero(starts_of(where)).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True):
             buffer = self.buffers[where[a]]
             buffer.append(entries[a:b])
@@ -187,40 +194,49 @@ class Induction:
     """
 
     def __init__(self, text: Text, seeds: np.ndarray, seed_prefix: np.ndarray, mirrored: bool):
-        self.text, self.seeds, self.seed_prefix, self.mirrored = text, seeds, seed_prefix, mirrored
-        counts = text.counts[::-1] if mirrored else text.counts
+        self.text, self.seeds, self.seed_prefix = text, seeds, seed_prefix
+        counts, self.values = text.counts, text.symbols
+        if mirrored:
+            counts, self.values = counts[::-1], text.scratch.empty(text.n, text.symbols.dtype)
+            for part in text.scratch.parts(text.n):
+                self.values[part] = text.sigma - 1 - text.symbols[part]
+        # stands for no symbol: the text's end is 0, and the greatest value is not used
+        self.none = np.iinfo(self.values.dtype).max
         # ranges of about equal counts; a frequent symbol is a range of its own
-        size = max(RANGE_SIZE, int(RANGE_SIZE / 512 * text.n**0.5), text.n // RANGES)
+        size = max(RANGE_SIZE, int(RANGE_SIZE / 1024 * text.n**0.5), text.n // RANGES)
         before = np.cumsum(counts) - counts
         firsts = np.flatnonzero(np.append(True, before[1:] // size != before[:-1] // size))
         often = np.flatnonzero(counts > size)
         edges = np.unique(np.concatenate([firsts, often, often + 1, [0, len(counts)]]))
-        self.queue = Queue(edges[edges <= len(counts)], text.scratch)
+        self.queue = Queue(edges[edges <= len(counts)].astype(self.values.dtype), text.scratch)
         # per symbol: the symbol from which it was last put in, and the least common prefix since then
         self.origin = np.full(text.sigma, -1, np.int64)
         self.least = np.zeros(text.sigma, np.uint16)
         self.active, self.active_symbol = np.zeros(0, np.int64), -1
         self.last = (0, -1, True)  # position, symbol, seed? of the entry taken last
 
-    def symbol(self, positions: np.ndarray) -> np.ndarray:
-        s = self.text.symbols[positions].astype(np.int64)
-        return self.text.sigma - 1 - s if self.mirrored else s
-
     def before(self, positions: np.ndarray, symbols: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        """Symbol before each position, FAR where the suffix there is not put in."""
-        s = self.symbol(np.maximum(positions - 1, 0))
-        wanted = (positions > 0) & ((s > symbols) | ((s == symbols) & ~seed))
-        return np.where(wanted, s, FAR)
+        """Symbol before each position, ``none`` where the suffix there is not put in."""
+        s = self.values[np.maximum(positions - 1, 0)]
+        wanted = s > symbols
+        wanted |= (s == symbols) & ~seed
+        wanted &= positions > 0
+        s[~wanted] = self.none
+        return s
+
+    def close(self) -> None:
+        if self.values is not self.text.symbols:
+            self.text.scratch.drop(self.values)
 
     def run(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         at = 0
         for k, (low, high) in enumerate(zip(self.queue.edges[:-1], self.queue.edges[1:], strict=True)):
             if high - low == 1:
                 for entries in self.queue.take(k):
-                    yield self.step(entries >> 16, np.full(len(entries), low), (entries & 0xFFFF), np.zeros(len(entries), bool))
+                    yield self.step(entries >> 16, np.full(len(entries), low), entries & 0xFFFF, np.zeros(len(entries), bool))
                 while at < len(self.seeds):
                     mine = np.asarray(self.seeds[at : at + BATCH])
-                    n = int(np.count_nonzero(self.symbol(mine) < high))
+                    n = int(np.count_nonzero(self.values[mine] < high))
                     if n:
                         yield self.step(mine[:n], np.full(n, low), np.asarray(self.seed_prefix[at : at + n]), np.ones(n, bool))
                         at += n
@@ -230,7 +246,7 @@ class Induction:
             held = np.concatenate([np.zeros(0, np.int64), *self.queue.take(k)])
             end = at
             while end < len(self.seeds):
-                mine = self.symbol(np.asarray(self.seeds[end : end + BATCH]))
+                mine = self.values[np.asarray(self.seeds[end : end + BATCH])]
                 n = int(np.count_nonzero(mine < high))
                 end += n
                 if n < len(mine):
@@ -238,59 +254,78 @@ class Induction:
             positions = np.concatenate([held >> 16, self.seeds[at:end]])
             prefix = np.concatenate([held & 0xFFFF, self.seed_prefix[at:end]])
             seed = np.arange(len(positions)) >= len(held)
-            symbols, at = self.symbol(positions), end
+            symbols, at = self.values[positions], end
             while len(positions):
-                order = np.argsort(symbols * 2 + seed, kind="stable")
+                order = np.argsort((symbols - low).astype(np.int64) * 2 + seed, kind="stable")
                 positions, prefix, seed, symbols = positions[order], prefix[order], seed[order], symbols[order]
                 # what an earlier entry of the batch puts in must not come before a later one
-                ahead = np.append(FAR, np.minimum.accumulate(self.before(positions, symbols, seed))[:-1])
-                late = (ahead < symbols) | ((ahead == symbols) & seed)
-                n = int(np.argmax(late)) if late.any() else len(late)
-                yield self.step(positions[:n], symbols[:n], prefix[:n], seed[:n])
+                put = self.before(positions, symbols, seed)
+                ahead = np.empty_like(put)
+                ahead[0] = self.none
+                np.minimum.accumulate(put[:-1], out=ahead[1:])
+                late = ahead < symbols
+                late |= (ahead == symbols) & seed
+                n = int(np.argmax(late)) or len(late)  # the first is never late
+                yield self.step(positions[:n], symbols[:n], prefix[:n], seed[:n], put[:n])
                 new = np.concatenate([np.zeros(0, np.int64), *self.queue.take(k)])
                 positions = np.concatenate([positions[n:], new >> 16])
                 prefix = np.concatenate([prefix[n:], new & 0xFFFF])
                 seed = np.concatenate([seed[n:], np.zeros(len(new), bool)])
-                symbols = np.concatenate([symbols[n:], self.symbol(new >> 16)])
+                symbols = np.concatenate([symbols[n:], self.values[new >> 16]])
 
-    def step(self, positions, symbols, prefix, seed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def step(self, positions, symbols, prefix, seed, put=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Takes a batch: mends the common prefixes of first seeds, puts in the suffixes before."""
         run, prefix = self.text.run, prefix.astype(np.uint16)
-        p, s, was_seed = (np.append(x, y[:-1]) for x, y in zip(self.last, (positions, symbols, seed), strict=True))
-        turn = np.flatnonzero(seed & ~was_seed.astype(bool) & (s == symbols))
-        prefix[turn] = np.minimum(run[p[turn]], run[positions[turn]])
-        self.last = (int(positions[-1]), int(symbols[-1]), bool(seed[-1]))
-
-        put = self.before(positions, symbols, seed)
-        from_ = np.flatnonzero(put != FAR)
+        # the first seed of a bucket, behind a suffix put in
+        turn = seed.copy()
+        turn[1:] &= (symbols[1:] == symbols[:-1]) & ~seed[:-1]
+        turn[0] &= self.last[1] == symbols[0] and not self.last[2]
+        if turn.any():
+            at = np.flatnonzero(turn)
+            p = np.where(at > 0, positions[at - 1], self.last[0])
+            prefix[at] = np.minimum(run[p], run[positions[at]])
+        self.last = (int(positions[-1]), symbols[-1], bool(seed[-1]))
+        current = symbols[-1]
+        same_symbol = symbols[0] == current
+
+        if put is None:
+            put = self.before(positions, symbols, seed)
+        from_ = np.flatnonzero(put != self.none)
+        if len(from_) == 0:
+            if self.active_symbol == current and same_symbol:
+                self.least[self.active] = np.minimum(self.least[self.active], prefix.min())
+            else:
+                self.active, self.active_symbol = np.zeros(0, np.int64), current
+            return positions, prefix, seed
         target = put[from_]
         order = np.argsort(target, kind="stable")
         at, d = from_[order], target[order]
         c = symbols[at]
+        first = starts_of(d)
         new = np.ones(len(at), np.int64)
-        again = np.append(False, d[1:] == d[:-1]) if len(d) else np.zeros(0, bool)
-        pair = np.flatnonzero(again & np.append(False, c[1:] == c[:-1])) if len(d) else np.zeros(0, np.int64)
+        pair = ~first
+        pair[1:] &= c[1:] == c[:-1]
+        pair = np.flatnonzero(pair)
         new[pair] += range_min(prefix, at[pair - 1] + 1, at[pair])
-        first = np.flatnonzero(~again)
-        origin = self.origin[d[first]]
-        new[first[origin < 0]] = 0
-        same = first[origin == c[first]]
+        head = np.flatnonzero(first)
+        origin = self.origin[d[head]]
+        new[head[origin < 0]] = 0
         so_far = np.minimum.accumulate(prefix)
+        same = head[origin == c[head]]
         new[same] += np.minimum(self.least[d[same]], so_far[at[same]])
-        new = np.minimum(new, self.text.cap)
+        np.minimum(new, self.text.cap, out=new)
 
-        current = symbols[-1]
-        if self.active_symbol == current and symbols[0] == current:
+        if self.active_symbol == current and same_symbol:
             self.least[self.active] = np.minimum(self.least[self.active], so_far[-1])
         else:
             self.active = np.zeros(0, np.int64)
-        if len(d):
-            final = np.flatnonzero(np.append(d[1:] != d[:-1], True))
-            self.origin[d[final]] = c[final]
-            mine = final[c[final] == current]
-            to_come = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.uint16(0xFFFF))
-            self.least[d[mine]] = to_come[at[mine] + 1]
-            self.active = np.union1d(self.active, d[mine])
+        final = np.append(head[1:] - 1, len(d) - 1)
+        self.origin[d[final]] = c[final]
+        mine = final[c[final] == current]
+        to_come = np.full(len(prefix) + 1, 0xFFFF, np.uint16)
+        to_come[:-1] = np.minimum.accumulate(prefix[::-1])[::-1]
+        self.least[d[mine]] = to_come[at[mine] + 1]
+        self.active = np.union1d(self.active, d[mine]) if len(self.active) else d[mine].astype(np.int64)
         self.active_symbol = current
 
         entries = np.empty(len(at), np.int64)
@@ -420,7 +455,8 @@ def descending(symbols: np.ndarray, scratch: Scratch, cap: int) -> Iterator[tupl
     seeds, prefix = _sorted_stars(text)
     falling = text.n - sum(int(np.count_nonzero(text.rising[p])) for p in scratch.parts(text.n))
     positions, common, at = scratch.empty(falling, np.int64), scratch.empty(falling, np.uint16), 0
-    for p, c, seed in Induction(text, seeds, prefix, mirrored=False).run():
+    up = Induction(text, seeds, prefix, mirrored=False)
+    for p, c, seed in up.run():
         mine = ~seed
         n = int(np.count_nonzero(mine))
         positions[at : at + n], common[at : at + n] = p[mine], c[mine]
@@ -430,8 +466,10 @@ def descending(symbols: np.ndarray, scratch: Scratch, cap: int) -> Iterator[tupl
     back = scratch.empty(falling, np.uint16)
     back[:1] = 0
     back[1:] = common[:0:-1]
-    for p, c, _ in Induction(text, positions[::-1], back, mirrored=True).run():
+    down = Induction(text, positions[::-1], back, mirrored=True)
+    for p, c, _ in down.run():
         yield p, c
+    down.close()
     scratch.drop(positions, common, back)
     text.close()
 

@@ -13,7 +13,7 @@ equal keys, and runs of some 70 windows share one. Then:
 2. keys that occur once in the corpus belong to windows that occur once;
    each block gets back the others among its own keys;
 3. a slice is the bytes of a run of windows with such a key. Distinct
-   slices go to the shard of their key, twice if they occur more than once;
+   slices go to the shard of their key, each once, with its number of copies;
 4. a shard writes its slices in a row and sorts their suffixes by external
    induced sorting, in bounded memory whatever its size;
 5. each block gets back which bytes of its slices repeat, and gives its
@@ -228,27 +228,29 @@ def scratch_root(spark: SparkSession) -> str | None:
 def repeated_spans(slices: Iterable[tuple[bytes, bytes, int]], window: int, folder: str, memory: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
     """(digest, starts, ends) of the bytes that lie in repeated windows, per (digest, slice, copies) with any.
 
-    The slices are written in a row, 1 between them and 0 at the end; a
-    window with a neighbour in suffix order that shares ``window`` bytes
-    is repeated.
+    The slices are written in a row, 1 between them and 0 at the end. Each
+    suffix stands for as many as its slice has copies; a window is repeated
+    if a neighbour in suffix order shares ``window`` bytes, or a copy does.
     """
-    path, starts, sizes, digests, n = os.path.join(folder, "slices.bin"), [], [], [], 0
+    path, starts, sizes, digests, many, n = os.path.join(folder, "slices.bin"), [], [], [], [], 0
     with open(path, "wb") as out:
         for digest, piece, copies in slices:
             starts.append(n)
             sizes.append(len(piece))
             digests.append(digest)
-            for _ in range(min(copies, 2)):
-                symbols = np.ones(len(piece) + 1, np.uint16)
-                symbols[:-1] = np.frombuffer(piece, np.uint8)
-                symbols[:-1] += 2
-                out.write(symbols.tobytes())
-                n += len(symbols)
+            many.append(copies > 1)
+            symbols = np.ones(len(piece) + 1, np.uint16)
+            symbols[:-1] = np.frombuffer(piece, np.uint8)
+            symbols[:-1] += 2
+            out.write(symbols.tobytes())
+            n += len(symbols)
         out.write(np.zeros(1, np.uint16).tobytes())
     scratch = induced.Scratch(folder, memory)
     text = np.fromfile(path, np.uint16) if 2 * n <= memory else np.memmap(path, np.uint16, "r")
     again = scratch.empty(n + 1, bool)
     again[:] = False
+    for start, size, copied in zip(starts, sizes, many, strict=True):
+        again[start : start + size - window + 1] = copied
     before = np.zeros(0, np.int64)
     for positions, common_prefix in induced.descending(text, scratch, window):
         long_ = common_prefix >= window

@@ -60,7 +60,7 @@ def written(groups):
 
 def same(brute, texts):
     align = alignment.aligner(BYTES, PIECES)
-    align.limit = 40
+    align.words.limit = align.parts.limit = 40
     for text, got in zip(texts, align.texts(texts), strict=True):
         want = brute(text)
         if want is None:
@@ -102,19 +102,31 @@ def test_any_text(texts):
 
 
 def test_multibyte_and_byte_fallback(brute):
-    same(brute, ["é日𝒳 a  b\n\tc ", "𝒳𝒳", "Ａﬁ́", "\x00\x01", " ", "a ", "\n", "<|endoftext|> <s></s> <unk>", "x▁y", "日" * 300])
+    same(brute, ["é日𝒳 a  b\n\tc ", "𝒳𝒳", "Ａﬁ́", "\x00\x01", " ", "a ", "\n", "a\nb, c.", "a, \n b", "don't (stop)", "\nx", "x\n\ny", "<|endoftext|> <s></s> <unk>", "x▁y", "日" * 300])
 
 
 def test_long_run_without_a_cut(brute):
     same(brute, ["ab" * 20_000 + "é" * 500])
 
 
+def test_chunks_are_used_and_memory_is_bounded(brute, corpus):
+    align = alignment.Aligner(BYTES, PIECES, memo_chunks=100)
+    assert align.chunked
+    for at in range(0, 60, 20):
+        align.texts([t for _, t in corpus[at : at + 20]])
+        assert len(align.words.young) <= 100 and len(align.parts.young) <= 50
+
+
 def test_refine_takes_spans_where_they_are_clean_and_bytes_inside_a_character():
-    raw = "a日".encode()
-    decoded = [b"a", raw[1:2], raw[2:4]]
-    assert alignment.refine([7, 8, 9], [(0, 1), (1, 4), (1, 4)], decoded, raw) == ([7, 8, 9], [1, 2, 4])
-    assert alignment.refine([7, 8, 9], [(0, 1), (1, 1), (1, 4)], decoded, raw) == ([7, 8, 9], [1, 2, 4])
-    assert alignment.refine([7, 8], [(0, 1), (1, 4)], [b"a", b"b"], raw) is None
+    lengths, sizes = np.array([1, 1, 2, 3]), np.array([3, 1])  # "a日" in three tokens, then a chunk of one
+    for starts, ends in (([0, 1, 1, 0], [1, 4, 4, 3]), ([0, 1, 1, 0], [1, 1, 4, 3])):
+        assert alignment.refine(np.array(starts), np.array(ends), lengths, sizes).tolist() == [1, 2, 4, 3]
+
+
+def test_chunks_whose_bytes_differ_are_told(brute):
+    table = [b"a", b"b", b"cd"]
+    assert alignment.agree([0, 1, 2, 0], [2, 1, 1], table, [b"ab", b"cd", b"a"]).tolist() == [True] * 3
+    assert alignment.agree([0, 1, 2, 0], [2, 1, 1], table, [b"ab", b"c", b"da"]).tolist() == [True, False, False]
 
 
 def test_query_against_brute_force(spark, corpus, brute):
