@@ -28,6 +28,7 @@ from cartwheel.operators.common import (
     sessions_with_orders,
     sorted_small,
 )
+from cartwheel.operators.distinct import distinct_counts
 
 
 def _keyed(sessions: DataFrame, where: Column, **keys: Column) -> DataFrame:
@@ -49,17 +50,24 @@ def conversion_by(
     keys: dict[str, Column] | Sequence[str] = (),
     percent: bool = False,
     with_revenue: bool = False,
+    repeated_ids: bool = False,
 ) -> DataFrame:
     """Sessions, orders and conversion per segment -- the general form of
     the conversion reports below.
 
     ``keys`` are session columns, or ``name -> Column`` (e.g.
     ``{"yr": F.year("created_at")}``); ``where`` filters the sessions.
-    ``with_revenue`` adds revenue and revenue per session.
+    ``with_revenue`` adds revenue and revenue per session. ``repeated_ids``:
+    rows of either table may repeat an id, so count different sessions and
+    orders; sums of money need unique orders.
     """
     if not isinstance(keys, dict):
         keys = {c: F.col(c) for c in keys}
     keyed = _keyed(sessions, where if where is not None else F.lit(True), **keys)
+    if repeated_ids:
+        if with_revenue:
+            raise ValueError("revenue needs tables without repeated orders; open_shop merges them")
+        return _distinct_conversion(keyed, orders, list(keys), percent)
     extra = [revenue().alias("_rev")] if with_revenue else []
     out = _counts(keyed, orders, list(keys), *extra)
     cols = [*keys, "sessions", "orders", ratio("orders", "sessions", 100 if percent else None).alias("conv")]
@@ -68,6 +76,19 @@ def conversion_by(
     return out.select(*cols)
 
 
+def _distinct_conversion(keyed: DataFrame, orders: DataFrame, by: list[str], percent: bool) -> DataFrame:
+    cells = {k: F.col(k) for k in by}
+    seen = distinct_counts(keyed, SESSION, {"sessions": F.lit(True)}, cells)
+    # an inner join, so that a session with very many orders can be split
+    bought = keyed.join(orders.select(F.col(SESSION).alias("_of"), "order_id"), F.col(SESSION) == F.col("_of"))
+    bought = distinct_counts(bought, "order_id", {"orders": F.lit(True)}, cells).select(*[F.col(k).alias(f"_k_{k}") for k in by], "orders")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = seen.join(bought, same, "left").withColumn("orders", F.coalesce("orders", F.lit(0)).cast("bigint"))
+    return out.select(*by, "sessions", "orders", ratio("orders", "sessions", 100 if percent else None).alias("conv"))
+
+
 def search_conversion(
     sessions: DataFrame,
     orders: DataFrame,

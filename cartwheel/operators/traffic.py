@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions import count_when, monday_weekday, ratio, rounded, sunday_week, year_week
 from cartwheel.functions import vocab as V
-from cartwheel.operators.common import CREATED, created_before, created_between, paid_search, sorted_small
+from cartwheel.operators.common import CREATED, SESSION, created_before, created_between, paid_search, sorted_small
+from cartwheel.operators.distinct import distinct_counts
 
 
 def traffic_sources(sessions: DataFrame, until: str = V.TRAFFIC_UNTIL) -> DataFrame:
@@ -49,9 +50,11 @@ def volume(
     where: Column | None = None,
     period: str = "week",
     segments: dict[str, Column] | None = None,
+    repeated_ids: bool = False,
 ) -> DataFrame:
     """Sessions per period and segment -- the general form of the volume
-    reports below.
+    reports below. ``repeated_ids``: rows may repeat a session id, so count
+    different ids.
 
     ``period``: ``week`` (year + Sunday-week, output ``week_start``),
     ``year_week`` (one label per Sunday-week, output ``week_start``),
@@ -60,7 +63,10 @@ def volume(
     default one ``sessions`` column.
     """
     df = sessions.filter(where) if where is not None else sessions
-    aggs = [count_when(cond).alias(name) for name, cond in (segments or {"sessions": F.lit(True)}).items()]
+    segments = segments or {"sessions": F.lit(True)}
+    if repeated_ids:
+        return _distinct_volume(df, period, segments)
+    aggs = [count_when(cond).alias(name) for name, cond in segments.items()]
     if period in ("week", "year_week"):
         return _weekly(df, *aggs, by_year_week=period == "year_week")
     if period == "month":
@@ -73,6 +79,19 @@ def volume(
     return sorted_small(out, "yr", part)
 
 
+def _distinct_volume(sessions: DataFrame, period: str, segments: dict[str, Column]) -> DataFrame:
+    if period not in PERIODS:
+        raise ValueError(f"period must be one of {PERIODS}")
+    keys = {
+        "week": {"_y": F.year(CREATED), "_w": sunday_week(CREATED)}, "year_week": {"_yw": year_week(CREATED)},
+        "month": {"yr": F.year(CREATED), "mon": F.month(CREATED)}, "quarter": {"yr": F.year(CREATED), "quat": F.quarter(CREATED)},
+    }[period]
+    if period in ("week", "year_week"):
+        out = distinct_counts(sessions, SESSION, segments, keys, least={"week_start": F.to_date(CREATED)})
+        return sorted_small(out.select("week_start", *segments), "week_start")
+    return sorted_small(distinct_counts(sessions, SESSION, segments, keys), *keys)
+
+
 def weekly_volume(
     sessions: DataFrame, until: str = V.WEEKLY_VOLUME_UNTIL, source: str = V.GSEARCH, campaign: str = V.NONBRAND
 ) -> DataFrame:

@@ -16,6 +16,7 @@ import inspect
 import threading
 import uuid
 import warnings
+from urllib.parse import unquote
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
@@ -27,6 +28,7 @@ from cartwheel.session import NoSharedFolder, checkpoint_dir, prefer_settings
 from cartwheel.sources import events as E
 from cartwheel.sources import facts as FA
 from cartwheel.sources.facts import session_facts
+from cartwheel.sources.files import FileTable, NotByFile, digest, hadoop, listing, plain
 
 FACTS_FILE = "session_facts"
 
@@ -87,7 +89,7 @@ KEYS = {"sessions": "website_session_id", "pageviews": "website_pageview_id", "o
 
 
 class RepeatedIds(ValueError):
-    """A table holds two rows with one id, so counts of rows are not counts of ids."""
+    """A table holds two different rows with one id, so it is unclear what the id stands for."""
 
 
 @dataclass(frozen=True)
@@ -99,14 +101,15 @@ class ShopTables:
     refunds: DataFrame
     # gives the written per-session answers (``sources.facts``), or None; called by the first report that reads them
     facts: Callable[[], DataFrame | None] | None = None
-    # called with a table's name when a report takes that table: the tables are checked when used
-    before_use: Callable[[str], None] | None = None
+    # called with a table's name when a report takes that table; gives the table whose repeated rows are merged, if it has any
+    before_use: Callable[[str], DataFrame | None] | None = None
 
     def __getattribute__(self, name: str):
         if name in KEYS:
             check = object.__getattribute__(self, "before_use")
-            if check is not None:
-                check(name)
+            merged = check(name) if check is not None else None
+            if merged is not None:
+                return merged
         return object.__getattribute__(self, name)
 
     @property
@@ -149,9 +152,9 @@ def _from_tagged(views: DataFrame, blocks: DataFrame) -> ShopTables:
     ).conform()
 
 
-# what this process knows of its inputs, by application and tag: staged folders, and tables whose ids are unique
+# what this process knows of its inputs, by application: staged folders by tag, and file tables by their place
 _STAGED: dict[tuple[str, str], str] = {}
-_UNIQUE: set[tuple[str, str, str]] = set()
+_FILE_TABLES: dict[tuple[str, str], FileTable] = {}
 _STAGE_LOCK = threading.RLock()
 
 
@@ -171,11 +174,7 @@ def _join(root: str, name: str) -> str:
     return root.rstrip("/") + "/" + name
 
 
-def _fs(spark: SparkSession, path: str):
-    """Hadoop FileSystem and Path of ``path`` (local, HDFS, object stores)."""
-    jvm = spark.sparkContext._jvm  # noqa: SLF001
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath  # noqa: SLF001
+_fs = hadoop
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -187,16 +186,9 @@ def _tag(spark: SparkSession, paths: Iterable[str]) -> tuple[str, int]:
     """Digest over every file below ``paths`` (name, length, modification
     time) and the derivation code, and the files' bytes. Any rewritten,
     added or removed file gives another tag."""
-    files, size = [], 0
-    for path in paths:
-        fs, jpath = _fs(spark, path)
-        found = fs.listFiles(jpath, True)
-        while found.hasNext():
-            status = found.next()
-            files.append(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}")
-            size += int(status.getLen())
-    raw = "\n".join([DERIVATION_VERSION, *sorted(files)])
-    return hashlib.sha1(raw.encode()).hexdigest()[:20], size
+    found = {name: state for path in paths for name, state in listing(spark, path).items()}
+    files = [f"{name}|{length}|{changed}" for name, (length, changed) in found.items()]
+    return digest([DERIVATION_VERSION, *sorted(files)]), sum(length for length, _ in found.values())
 
 
 # target size of one staged page-view file (compressed parquet)
@@ -228,41 +220,102 @@ def _touch(spark: SparkSession, path: str) -> None:
     fs.create(jpath, True).close()
 
 
-def _given_shop(spark: SparkSession, tables: dict[str, DataFrame], files: Callable[[str], list[str]], stage: bool) -> ShopTables:
+def _given_shop(
+    spark: SparkSession, tables: dict[str, DataFrame], files: Callable[[str], dict[str, tuple[int, int]]],
+    read: Callable[[str, list[str]], DataFrame], stage: bool,
+) -> ShopTables:
     """Tables that somebody else wrote: checked and given facts when a report first uses them.
 
-    ``files`` lists the paths of a table's files; a table without files
-    (a view over something else) is checked at each use and has no facts.
+    ``files`` lists a table's files, ``read`` gives the rows of some of
+    them. A table without files (a view over something else) is checked
+    at each use and has no facts. Rows that were loaded more than once, equal in all documented
+    columns, count once: the files that hold them are merged, the others
+    are read as they are. Two different rows with one id are refused.
     """
     shop = ShopTables(**tables).conform()
     base = _shared_folder(spark)
+    listed: dict[str, dict] = {}  # one listing per table for this batch of reports
+    merged: dict[str, DataFrame | None] = {}
 
-    def check(name: str) -> None:
-        paths = files(name)
-        key = (spark.sparkContext.applicationId, name, _tag(spark, paths)[0]) if paths else None
-        if key in _UNIQUE:
-            return
-        mark = _join(base, f"unique-{name}-{key[2]}") if key and base else None
-        if mark is None or not _exists(spark, mark):
-            column = KEYS[name]
-            twice = tables[name].filter(F.col(column).isNotNull()).groupBy(column).count().filter("count > 1").select(column).limit(1).collect()
-            if twice:
-                raise RepeatedIds(f"{name}: {column} {twice[0][0]} occurs more than once; remove the repeated rows")
-            if mark is not None:
+    def known(name: str) -> dict[str, tuple[int, int]]:
+        if name not in listed:
+            listed[name] = files(name)
+        return listed[name]
+
+    def conformed(name: str, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).cast(_type_of(df, c, t)).alias(c) for c, t in SCHEMAS[name].items()])
+
+    def check(name: str) -> DataFrame | None:
+        with _STAGE_LOCK:
+            if name not in merged:
+                merged[name] = merge(name)
+        return merged[name]
+
+    def merge(name: str) -> DataFrame | None:
+        now, column = known(name), KEYS[name]
+        whole = object.__getattribute__(shop, name)
+        if not now:
+            return unfiled(name, whole)
+        place = digest([name, *sorted({plain(f).rsplit("/", 1)[0] for f in now})])
+        key = (spark.sparkContext.applicationId, place)
+        table = _FILE_TABLES.get(key)
+        if table is None:
+            table = _FILE_TABLES[key] = FileTable(spark, column, base and _join(base, f"files-{name}-{place}"))
+        try:
+            dirty = table.update(now, lambda some: read(name, some))
+        except NotByFile:
+            return unfiled(name, whole)
+        if not dirty:
+            return None
+        again = set(dirty)
+        clean = [f for f in now if f not in again]
+        repaired = once_each(conformed(name, read(name, dirty)), column)
+        if base:
+            tag = digest([DERIVATION_VERSION, name, *sorted(f"{f}|{now[f]}" for f in dirty)])
+            path, mark = _join(base, f"merged-{name}-{tag}"), _join(base, f"merged-{name}-{tag}{COMPLETE_MARK}")
+            if not _exists(spark, mark):
+                repaired.write.mode("overwrite").parquet(path)
                 _touch(spark, mark)
-        if key is not None:
-            _UNIQUE.add(key)
+            repaired = spark.read.parquet(path)
+        refuse_different(name, repaired)
+        return repaired.unionByName(conformed(name, read(name, clean))) if clean else repaired
 
     def facts() -> DataFrame | None:
-        paths = files("pageviews")
-        if not (stage and base and paths):
+        now = known("pageviews")
+        if not (stage and base and now):
             return None
-        check("pageviews")
-        return _facts_at(spark, _join(base, f"facts-{_tag(spark, paths)[0]}"), object.__getattribute__(shop, "pageviews"))
+        tag = digest([DERIVATION_VERSION, *sorted(f"{f}|{state}" for f, state in now.items())])
+        return _facts_at(spark, _join(base, f"facts-{tag}"), check("pageviews") or object.__getattribute__(shop, "pageviews"))
 
     return replace(shop, facts=facts, before_use=check)
 
 
+def _a_repeat(df: DataFrame, column: str):
+    """An id that occurs more than once, or None."""
+    found = df.filter(F.col(column).isNotNull()).groupBy(column).count().filter("count > 1").select(column).limit(1).collect()
+    return found[0][0] if found else None
+
+
+def refuse_different(name: str, df: DataFrame) -> None:
+    twice = _a_repeat(df, KEYS[name])
+    if twice is not None:
+        raise RepeatedIds(f"{name}: {KEYS[name]} {twice} stands for different rows; remove all but one")
+
+
+def unfiled(name: str, df: DataFrame) -> DataFrame | None:
+    """A table without files of its own: its repeated rows merged in the plan, None where there are none."""
+    if _a_repeat(df, KEYS[name]) is None:
+        return None
+    merged = once_each(df, KEYS[name])
+    refuse_different(name, merged)
+    return merged
+
+
+def once_each(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with rows that are equal in all columns once; rows without an id stay as they are."""
+    return df.filter(F.col(column).isNotNull()).dropDuplicates().unionByName(df.filter(F.col(column).isNull()))
+
+
 def _reusable(spark: SparkSession, base: str, tag: str) -> str | None:
     """A completed staged copy of the same input, left by any application."""
     fs, jpath = _fs(spark, base)
@@ -290,7 +343,24 @@ def catalog_shop(spark: SparkSession, database: str | None = None, stage: bool |
     prefer_settings(spark)
     prefix = f"{database}." if database else ""
     tables = {field: spark.table(prefix + name) for name, field in TABLE_FILES.items()}
-    return _given_shop(spark, tables, lambda name: tables[name].inputFiles(), _wanted(spark, stage))
+
+    def files(name: str) -> dict[str, tuple[int, int]]:
+        if not _is_plain_scan(tables[name]):  # what files hold is not what a view over them holds
+            return {}
+        folders = {f.rsplit("/", 1)[0] for f in tables[name].inputFiles()}
+        mine = {plain(f) for f in tables[name].inputFiles()}
+        return {f: state for folder in folders for f, state in listing(spark, unquote(folder)).items() if plain(f) in mine}
+
+    def read(name: str, some: list[str]) -> DataFrame:
+        wanted = [plain(f) for f in some]
+        return tables[name].filter(F.regexp_replace(F.url_decode(F.input_file_name()), "^file:/+", "/").isin(wanted))
+
+    return _given_shop(spark, tables, files, read, _wanted(spark, stage))
+
+
+def _is_plain_scan(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan()  # noqa: SLF001
+    return plan.getClass().getSimpleName() == "LogicalRelation"
 
 
 def _wanted(spark: SparkSession, stage: bool | None) -> bool:
@@ -309,10 +379,11 @@ def _shared_folder(spark: SparkSession) -> str | None:
 def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> ShopTables:
     """The shop tables of ``path``: stored, staged, or derived from events.
 
-    Stored tables are read as they are: the first report that uses one
-    checks once per state of its files that its ids are unique
-    (``RepeatedIds`` otherwise), and the first report that needs session
-    facts writes them.
+    Stored tables are read as they are, but for files that hold rows more
+    than once: the first report that uses a table looks into its new files
+    (``files.FileTable``), merges repeated rows, and refuses different rows
+    with one id (``RepeatedIds``). The first report that needs session facts
+    writes them.
 
     When the tables have to be derived, the first call stages them
     (``stage_shop``) and later calls read the written copy, as long as
@@ -326,7 +397,12 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     stage = _wanted(spark, stage)
     if all(_exists(spark, _join(path, f"{name}.parquet")) for name in TABLE_FILES):
         names = {field: _join(path, f"{name}.parquet") for name, field in TABLE_FILES.items()}
-        return _given_shop(spark, _tables_at(spark, path), lambda name: [names[name]], stage)
+        tables = _tables_at(spark, path)
+
+        def read(name: str, some: list[str]) -> DataFrame:
+            return spark.read.schema(tables[name].schema).option("basePath", names[name]).parquet(*some)
+
+        return _given_shop(spark, tables, lambda name: listing(spark, names[name]), read, stage)
     if stage and _shared_folder(spark) is not None:
         # reports started from several threads stage a source only once
         with _STAGE_LOCK:

@@ -127,7 +127,7 @@ def _store(shop, root, **instead):
         instead.get(field, getattr(shop, field)).write.parquet(f"{root}/{name}.parquet")
 
 
-def test_repeated_ids_are_refused_by_the_reports_that_use_them(spark, staged_check, tmp_path):
+def test_different_rows_with_one_id_are_refused_by_the_reports_that_use_them(spark, staged_check, tmp_path):
     from cartwheel.plans.catalog import REPORTS
     from cartwheel.sources.tables import KEYS, RepeatedIds
 
@@ -135,7 +135,8 @@ def test_repeated_ids_are_refused_by_the_reports_that_use_them(spark, staged_che
     for field in KEYS:
         table = getattr(staged_check, field)
         root = str(tmp_path / field)
-        _store(staged_check, root, **{field: table.unionByName(table.limit(1))})
+        other_time = table.limit(1).withColumn("created_at", F.expr("created_at + interval 1 second"))
+        _store(staged_check, root, **{field: table.unionByName(other_time)})
         shop = open_shop(spark, root)
         with pytest.raises(RepeatedIds, match=KEYS[field]):
             REPORTS[uses[field]](shop)
