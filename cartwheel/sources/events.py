@@ -84,23 +84,42 @@ def _cogs(product: Column) -> Column:
     return (product * 4 + F.lit(15.49).cast("decimal(4,2)")).cast("decimal(6,2)")
 
 
-def tag_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Return ``(views, blocks)``.
-
-    ``views``: one row per event with its session id ``sid``, rank ``n``
-    (0 when beyond the 10th), ``k``, shop time ``at`` and session start ``st``.
-    ``blocks``: one row per session (``user_id``, ``blk``, ``sid``, ``st``).
-    """
+def with_blocks(events: DataFrame) -> DataFrame:
+    """The events with what the derivation reads of them and the block ``blk`` of their user."""
     secs = _seconds_since(EVENT_EPOCH, F.col("ts")).cast("long")
     ev = events.select(
         "event_id",
         "user_id",
         secs.alias("secs"),
         F.regexp_extract("props", "[0-9]+", 0).try_cast("int").alias("k"),
-    ).withColumn(
+    )
+    return ev.withColumn(
         "blk",
         _whole_div(F.col("secs") + F.lit(STAGGER_SECONDS) * ((F.col("user_id") * 7) % 48), BLOCK_SECONDS),
     )
+
+
+def visitor() -> Column:
+    """The shop's user of a block: three blocks in a row of one user."""
+    return F.col("user_id") * 100 + _whole_div(F.col("blk") + F.col("user_id") % 3, 3)
+
+
+def session_starts(secs0: Column) -> Column:
+    return F.timestamp_add("SECOND", secs0 * STRETCH, _ntz(SHOP_EPOCH))
+
+
+def tag_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Return ``(views, blocks)``.
+
+    ``views``: one row per event with its session id ``sid``, rank ``n``
+    (0 when beyond the 10th), ``k``, shop time ``at`` and session start ``st``.
+    ``blocks``: one row per session (``user_id``, ``blk``, ``sid``, ``st``).
+    """
+    return tag_blocks(with_blocks(events))
+
+
+def tag_blocks(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``tag_events`` of events that have their blocks."""
     keys = ["user_id", "blk"]
 
     # one row per block: first id, first second (partial + final aggregate)
@@ -115,9 +134,7 @@ def tag_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("event_id")).alias("head_ids"))
     )
-    blocks = firsts.join(heads, keys).withColumn(
-        "st", F.timestamp_add("SECOND", F.col("secs0") * STRETCH, _ntz(SHOP_EPOCH))
-    )
+    blocks = firsts.join(heads, keys).withColumn("st", session_starts(F.col("secs0")))
     views = (
         ev.join(blocks, keys)
         .withColumn("n", F.array_position("head_ids", F.col("event_id")).cast("int"))
@@ -157,8 +174,7 @@ def derive_pageviews(views: DataFrame) -> DataFrame:
 def derive_sessions(blocks: DataFrame) -> DataFrame:
     sid = F.col("sid")
     src_digit = sid % 10
-    visitor = F.col("user_id") * 100 + _whole_div(F.col("blk") + F.col("user_id") % 3, 3)
-    base = blocks.select(sid, F.col("st"), visitor.alias("visitor"))
+    base = blocks.select(sid, F.col("st"), visitor().alias("visitor"))
     # a visitor's least session is the new one; every later one is a repeat
     first_visit = base.groupBy("visitor").agg(F.min("sid").alias("first_sid"))
     source = (

@@ -27,6 +27,7 @@ from pyspark.sql.types import DecimalType
 from cartwheel.session import NoSharedFolder, checkpoint_dir, prefer_settings
 from cartwheel.sources import events as E
 from cartwheel.sources import facts as FA
+from cartwheel.sources import increment as I
 from cartwheel.sources.facts import session_facts
 from cartwheel.sources.files import FileTable, NotByFile, digest, hadoop, listing, plain
 
@@ -166,7 +167,7 @@ def _code_hash(*modules) -> str:
 
 
 # staged copies are reused only by the same derivation code
-DERIVATION_VERSION = _code_hash(E, FA)
+DERIVATION_VERSION = _code_hash(E, FA, I)
 COMPLETE_MARK = "_COMPLETE"
 
 
@@ -199,10 +200,39 @@ def _tables_at(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {field: spark.read.parquet(_join(root, f"{name}.parquet")) for name, field in TABLE_FILES.items()}
 
 
+# a staged folder's own record: the copy it adds to (if any), and the event files it holds the derivation of
+MANIFEST, BASE_FILE = "_manifest.parquet", "_base.parquet"
+# increments in a row after which, and share of new bytes beyond which, everything is staged anew
+MOST_INCREMENTS, MOST_NEW = 8, 0.25
+
+
+def _base_of(spark: SparkSession, root: str) -> str | None:
+    path = _join(root, BASE_FILE)
+    return spark.read.parquet(path).first()[0] if _exists(spark, path) else None
+
+
+def _staged_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of a staged folder: its own rows, and those of the copy it adds to that it does not replace."""
+    base = _base_of(spark, root)
+    if base is None:
+        return _tables_at(spark, root)
+    gone = {name: spark.read.parquet(_join(root, f"_gone_{name}.parquet")) for name in I.GONE}
+    return I.combined(_staged_tables(spark, base), _tables_at(spark, root), gone)
+
+
 def _staged_shop(spark: SparkSession, root: str) -> ShopTables:
     """The tables of a staged folder; its ids are unique by derivation."""
-    tables = _tables_at(spark, root)
-    return ShopTables(**tables, facts=lambda: _facts_at(spark, root, tables["pageviews"])).conform()
+    return ShopTables(**_staged_tables(spark, root), facts=lambda: _staged_facts(spark, root)).conform()
+
+
+def _staged_facts(spark: SparkSession, root: str) -> DataFrame:
+    """Session facts of a staged folder: those of its own page views, and of the base's sessions that it does not replace."""
+    own = _facts_at(spark, root, spark.read.parquet(_join(root, "website_pageviews.parquet")))
+    base = _base_of(spark, root)
+    if base is None:
+        return own
+    gone = spark.read.parquet(_join(root, "_gone_views.parquet"))
+    return _staged_facts(spark, base).join(gone, "website_session_id", "left_anti").unionByName(own)
 
 
 def _facts_at(spark: SparkSession, root: str, views: DataFrame) -> DataFrame:
@@ -421,9 +451,11 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     ``files_per_table`` says otherwise, and is marked complete when every
     table is written; with ``reuse`` a complete copy of the same input (the
     same files with the same lengths and modification times), left by any
-    application, is used instead of staging again. An incomplete folder is
-    removed when staging fails, and so is a copy of input that changed
-    meanwhile.
+    application, is used instead of staging again. Where a complete copy
+    holds some of the files as they are now and the others are new and not
+    too many, only what they touch is derived and written, beside that copy
+    (``increment``). An incomplete folder is removed when staging fails, and
+    so is a copy of input that changed meanwhile.
     """
     path = path.rstrip("/")
     events_path = _join(path, "events.parquet")
@@ -435,7 +467,9 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
         if found is not None:
             _STAGED[known] = found
             return found
-    root = _join(base, f"shop-{tag}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}")
+    source = digest([DERIVATION_VERSION, events_path])
+    files = listing(spark, events_path)
+    root = _join(base, f"shop-{tag}-{source}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}")
     # files per table: enough that a page-view file stays near
     # STAGED_FILE_BYTES (the views are about as large as the events)
     n = files_per_table or max(
@@ -443,7 +477,13 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     )
     fs, folder = _fs(spark, root)
     try:
-        _write_tables(spark, events_path, root, n)
+        before = _earlier(spark, base, source, files) if reuse else None
+        if before is not None:
+            _write_increment(spark, events_path, root, files, *before)
+        else:
+            _write_tables(spark, events_path, root, n)
+        rows = [(plain(f), length, changed) for f, (length, changed) in files.items()]
+        spark.createDataFrame(rows, "path string, length long, changed long").coalesce(1).write.parquet(_join(root, MANIFEST))
         if _tag(spark, [events_path])[0] != tag:
             raise RuntimeError(f"{events_path} changed while it was staged")
     except BaseException:
@@ -454,6 +494,55 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     return root
 
 
+def _earlier(spark: SparkSession, base: str, source: str, files: dict[str, tuple[int, int]]) -> tuple[str, set[str]] | None:
+    """The staged copy that holds most of ``files`` and nothing else, and the files it holds."""
+    now = {plain(f): state for f, state in files.items()}
+    fs, jpath = _fs(spark, base)
+    best: tuple[int, str, set[str]] | None = None
+    for status in fs.listStatus(jpath) if fs.exists(jpath) else ():
+        name = status.getPath().getName()
+        root = _join(base, name)
+        if not (name.startswith("shop-") and f"-{source}-" in name and _exists(spark, _join(root, COMPLETE_MARK))):
+            continue
+        held = {r.path: (r.length, r.changed) for r in spark.read.parquet(_join(root, MANIFEST)).collect()}
+        if held and all(now.get(p) == tuple(state) for p, state in held.items()):
+            size = sum(length for length, _ in held.values())
+            if best is None or size > best[0]:
+                best = (size, root, set(held))
+    if best is None:
+        return None
+    chain, at = 0, best[1]
+    while at is not None:
+        chain, at = chain + 1, _base_of(spark, at)
+    new = sum(length for p, (length, _) in now.items() if p not in best[2])
+    return best[1:] if chain <= MOST_INCREMENTS and new <= MOST_NEW * best[0] else None
+
+
+def _write_increment(spark: SparkSession, events_path: str, root: str, files: dict[str, tuple[int, int]], base: str, held: set[str]) -> None:
+    def rows(names: list[str]) -> DataFrame:
+        return spark.read.schema(schema).option("basePath", events_path).parquet(*names)
+
+    schema = spark.read.parquet(events_path).schema
+    old, new = rows([f for f in files if plain(f) in held]), rows([f for f in files if plain(f) not in held])
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(_join(root, f"{name}.parquet"))
+        return spark.read.parquet(_join(root, f"{name}.parquet"))
+
+    scratch = ("_touched", "_tagged", "_blocks")
+    delta, gone = I.increment(old, new, _staged_tables(spark, base), written)
+    # the same columns and types as the base's tables have
+    for name, df in delta.items():
+        kinds = SCHEMAS[TABLE_FILES[name]]
+        df.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]).write.parquet(_join(root, f"{name}.parquet"))
+    for name, df in gone.items():
+        df.write.parquet(_join(root, f"_gone_{name}.parquet"))
+    spark.createDataFrame([(base,)], "base string").coalesce(1).write.parquet(_join(root, BASE_FILE))
+    for name in scratch:
+        fs, folder = _fs(spark, _join(root, f"{name}.parquet"))
+        fs.delete(folder, True)
+
+
 def _write_tables(spark: SparkSession, events_path: str, root: str, n: int) -> None:
     # tag the events once and cut the lineage there: the five tables are
     # then projections of one written table (a block's first view carries
