@@ -30,6 +30,7 @@ from cartwheel.operators.common import (
     sessions_with_orders,
     sorted_small,
 )
+from cartwheel.operators.next_event import RANGE_IDS, next_events
 
 
 def _label(before_until: str, before: str, after_from: str, after: str, other: str = V.PERIOD_FALLBACK) -> Column:
@@ -97,6 +98,17 @@ def next_page_mix(pageviews: DataFrame, **window) -> DataFrame:
     )
 
 
+def next_after_each(pageviews: DataFrame, page: str | None = None, range_ids: int = RANGE_IDS) -> DataFrame:
+    """Every view (of ``page``) with the view that follows it in its session: ``next_id``, ``next_url``.
+
+    Unlike ``next_pageview``, which answers for a session's first view of
+    the page, each view has its own next one. Null where none follows.
+    """
+    rows = pageviews.select(SESSION, VIEW, CREATED, "pageview_url")
+    out = next_events(rows, SESSION, VIEW, ["pageview_url"], range_ids).withColumnsRenamed({f"next_{VIEW}": "next_id", "next_pageview_url": "next_url"})
+    return out if page is None else out.filter(F.col("pageview_url") == page)
+
+
 # --- cross-sell test around the cart page ---------------------------------
 
 

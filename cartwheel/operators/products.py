@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions import count_when, money, ratio
 from cartwheel.functions import vocab as V
+from cartwheel.functions.pivot import values_of
 from cartwheel.operators.common import CREATED, created_after, created_before, sorted_small
 
 
@@ -28,15 +29,16 @@ def sales_trend(orders: DataFrame, until: str = V.SALES_UNTIL) -> DataFrame:
 
 
 def refund_rates(
-    order_items: DataFrame, refunds: DataFrame, until: str = V.REFUND_UNTIL, products: Sequence[int] = (1, 2, 3)
+    order_items: DataFrame, refunds: DataFrame, until: str = V.REFUND_UNTIL, products: Sequence[int] | None = (1, 2, 3)
 ) -> DataFrame:
-    """Monthly items sold and share refunded, per product.
+    """Monthly items sold and share refunded, per product (None: every product among the items).
 
     An item counts as refunded once however many refund rows it has; the
     refund ids are de-duplicated (partial aggregate) before the join.
     """
     refunded = refunds.select("order_item_id").distinct().withColumn("_refunded", F.lit(True))
     items = order_items.filter(created_before(until)).select("order_item_id", CREATED, "product_id")
+    products = values_of(items, "product_id") if products is None else products
     joined = items.join(refunded, "order_item_id", "left")
     prod, ref = F.col("product_id"), F.coalesce(F.col("_refunded"), F.lit(False))
     aggs = []
@@ -50,11 +52,17 @@ def refund_rates(
     return sorted_small(out.select(*cols), "yr", "mon")
 
 
-def product_margins(order_items: DataFrame) -> DataFrame:
-    """Monthly revenue and margin of products 1..4 (a pivot with fixed values)."""
+def product_margins(order_items: DataFrame, products: Sequence[int] | None = (1, 2, 3, 4)) -> DataFrame:
+    """Monthly revenue and margin per product (None: every product among the items).
+
+    The first four products' columns have names of their own, others are ``p<id>_rev`` and ``p<id>_mr``.
+    """
     prod = F.col("product_id")
+    products = values_of(order_items, "product_id") if products is None else products
+    named = dict(enumerate(V.PRODUCT_MARGIN_NAMES, start=1))
     aggs = []
-    for p, (rev_name, mar_name) in enumerate(V.PRODUCT_MARGIN_NAMES, start=1):
+    for p in products:
+        rev_name, mar_name = named.get(p, (f"p{p}_rev", f"p{p}_mr"))
         aggs.append(money(F.sum(F.when(prod == p, F.col("price_usd")))).alias(rev_name))
         aggs.append(money(F.sum(F.when(prod == p, F.col("price_usd") - F.col("cogs_usd")))).alias(mar_name))
     return (
@@ -72,9 +80,9 @@ def recent_orders(orders: DataFrame, after: str = V.RECENT_ORDERS_AFTER) -> Data
 
 
 def cross_sell_matrix(
-    orders: DataFrame, order_items: DataFrame, after: str = V.RECENT_ORDERS_AFTER, products: Sequence[int] = (1, 2, 3, 4)
+    orders: DataFrame, order_items: DataFrame, after: str = V.RECENT_ORDERS_AFTER, products: Sequence[int] | None = (1, 2, 3, 4)
 ) -> DataFrame:
-    """Per primary product: orders, and orders that also bought product i.
+    """Per primary product: orders, and orders that also bought product i (None: every product among the items).
 
     The non-primary items are matched to the recent orders with an inner
     join (the recent orders are broadcast when AQE measures them small)
@@ -83,6 +91,7 @@ def cross_sell_matrix(
     """
     ords = recent_orders(orders, after).select("order_id", "primary_product_id")
     extra = order_items.filter(F.col("is_primary_item") == 0).select("order_id", F.col("product_id").alias("cross_sell"))
+    products = values_of(order_items, "product_id") if products is None else products
     flags = (
         ords.join(extra, "order_id", "inner")
         .groupBy("order_id")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cartwheel.functions import rounded, ts
 from cartwheel.functions import vocab as V
 from cartwheel.operators.common import CREATED, SESSION, created_before, sorted_small
+from cartwheel.operators.next_event import RANGE_IDS, least_behind
 
 
 def _window(sessions: DataFrame, start: str, end: str) -> DataFrame:
@@ -78,21 +79,22 @@ def repeat_histogram(sessions: DataFrame, start: str = V.REPEAT_FROM, end: str =
     return sorted_small(per_user.groupBy("repeat_session").agg(F.count(F.lit(1)).alias("users")), "repeat_session")
 
 
-def repeat_lag(sessions: DataFrame, start: str = V.REPEAT_FROM, end: str = V.REPEAT_BEFORE) -> DataFrame:
+def repeat_lag(
+    sessions: DataFrame, start: str = V.REPEAT_FROM, end: str = V.REPEAT_BEFORE, range_ids: int = RANGE_IDS
+) -> DataFrame:
     """Per user: days from the new session to the first later repeat session.
 
     The days are counted per new session and the least is kept per user
-    (a user with one new session -- the normal case -- has just one).
+    (a user with one new session -- the normal case -- has just one). The
+    first repeat behind each session is a running minimum, so no pairs of
+    sessions are made, however many new sessions a user has.
     """
-    new, rep = _new_and_repeat(sessions, start, end)
-    per_new = (
-        _matched(new, rep)
-        .groupBy("user_id", "new_session_id", "first_session")
-        .agg(F.min("second_session").alias("repeat_session_date"))
-    )
-    return per_new.groupBy("user_id").agg(
-        F.min(F.datediff(F.col("repeat_session_date"), F.col("first_session"))).alias("diff")
+    win = _window(sessions, start, end).select(
+        "user_id", SESSION, CREATED, "is_repeat_session", F.when(F.col("is_repeat_session") == 1, F.col(CREATED)).alias("_again")
     )
+    back = least_behind(win, "user_id", SESSION, "_again", "repeat_session_date", range_ids)
+    came_back = back.filter((F.col("is_repeat_session") == 0) & F.col("repeat_session_date").isNotNull())
+    return came_back.groupBy("user_id").agg(F.min(F.datediff(F.col("repeat_session_date"), F.col(CREATED))).alias("diff"))
 
 
 def repeat_lag_stats(sessions: DataFrame, **window) -> DataFrame:

@@ -11,6 +11,9 @@ BOUNDED_WINDOWS = {
     # one row per (period, session): at most two rows per session
     "s75_cart_flags",
     "s76_cart_metrics",
+    # at most RANGE_IDS rows of one user, and a row per range of a user
+    "s83_repeat_lag",
+    "s84_repeat_lag_stats",
 }
 
 
