@@ -256,9 +256,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Dropped ids go by an anti join; rows that repeat an id are then cut to
     one per text.
     """
+    kept_id, kept_digest, own = common.unused(docs, "kept_id", "kept_digest", "own_digest")
     verdict = exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "digest")
-    kept = common.staged(verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct())
+    kept = common.staged(verdict.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest)).distinct())
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    marked = docs.withColumn("_hex", F.sha2(norm.cast("binary"), 256))
-    same = marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_hex") == F.lower(F.hex("_digest")))
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_hex"]).select(*docs.columns)
+    marked = docs.withColumn(own, F.sha2(norm.cast("binary"), 256))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.lower(F.hex(kept_digest)))
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, own]).select(*docs.columns)

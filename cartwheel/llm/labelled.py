@@ -24,5 +24,6 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     once = common.staged(once)
     sizes = {r.y: r.n for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = once.filter(F.coalesce(*[F.when(F.col("y") == y, common.part_of("id", per_class / n)) for y, n in sizes.items()], F.lit(False)))
-    chosen = chosen.select(F.col("id").alias("_id"), "y")
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("id"), F.col(text_col).alias("text"), "y")
+    chosen = chosen.select(F.col("id").alias("chosen_id"), "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).select("id", "text", "y")

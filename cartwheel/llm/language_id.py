@@ -46,8 +46,15 @@ BORROWED = 0.5
 PRIOR, LONGEST = 0.05, 12
 #: words whose forward sums a task remembers.
 MEMO_WORDS = 400_000
-#: a word is a run of letters.
-RUN = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """A word is a run of letters; signs that only count as numbers (½, ², ①) are none."""
+    runs = _RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def letter_pieces(path: str) -> list[str]:
@@ -56,7 +63,7 @@ def letter_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    fits = (p for p in pieces if len(p) <= LONGEST and (RUN.fullmatch(p.removeprefix(MARK)) or p == MARK) and p == p.lower())
+    fits = (p for p in pieces if len(p) <= LONGEST and (p.removeprefix(MARK).isalpha() or p == MARK) and p == p.lower())
     return sorted(set(fits))
 
 
@@ -114,10 +121,13 @@ class Lattice:
         return scale + np.log(sums[n]), sums, spans
 
     def expected(self, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over all segmentations of words of at most 15 characters."""
+        """Expected uses of each piece over all segmentations."""
         table, uses = probs[:, None], np.zeros(len(probs))
         for n, at in by_length(words).items():
-            if n > 15:  # within one factor of ``_forward``, and all but a few words
+            if n > 15:  # beyond the first factor of ``_forward``: in logarithms
+                for low in range(0, len(at), 4096):
+                    rows = at[low : low + 4096]
+                    self._expected_long([words[i] for i in rows], n, counts[rows], probs, uses)
                 continue
             for low in range(0, len(at), 4096):
                 rows = at[low : low + 4096]
@@ -132,6 +142,24 @@ class Lattice:
         return uses
 
 
+    def _expected_long(self, words: list[str], n: int, counts: np.ndarray, probs: np.ndarray, uses: np.ndarray) -> None:
+        """Adds the expected uses of words of ``n`` characters; no product of theirs leaves the range of floats."""
+        spans = self.spans(words)
+        with np.errstate(divide="ignore"):
+            logs = np.log(probs)
+        until = [np.zeros(len(words))]
+        for end in range(1, n + 1):
+            ways = [until[start] + logs[spans[start, end]] for start in range(max(0, end - LONGEST), end) if (start, end) in spans]
+            until.append(np.logaddexp.reduce(ways, axis=0))
+        behind = {n: np.zeros(len(words))}
+        for start in range(n - 1, -1, -1):
+            ways = [logs[spans[start, end]] + behind[end] for end in range(start + 1, min(n, start + LONGEST) + 1) if (start, end) in spans]
+            behind[start] = np.logaddexp.reduce(ways, axis=0)
+        for (start, end), p in spans.items():
+            share = np.exp(until[start] + logs[p] + behind[end] - until[n])
+            uses += np.bincount(p, weights=counts * share, minlength=len(probs))
+
+
 def by_length(words: list[str]) -> dict[int, np.ndarray]:
     lengths = np.array([len(w) for w in words])
     return {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
@@ -176,7 +204,7 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             rows = collections.Counter()
             for lang, chunks in found.items():
                 for chunk, n in chunks.items():
-                    for run in RUN.findall(chunk):
+                    for run in letter_runs(chunk):
                         rows[lang, MARK + run] += n
             yield pa.RecordBatch.from_pydict(
                 {"lang": pa.array([k[0] for k in rows], pa.string()), "word": pa.array([k[1] for k in rows], pa.string()),
@@ -192,11 +220,12 @@ def fit(docs: DataFrame, may_learn: Column, vocabulary: str, id_col: str = "doc_
     """Piece probabilities per language, from about ``fit_docs`` documents each at most where ``may_learn``."""
     spark = docs.sparkSession
     usable = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    keyed = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    sizes = common.staged(keyed.groupBy("_lang").agg(F.count("*").alias("_n")))
-    chosen = keyed.join(sizes, "_lang").filter(common.part_of("_id", F.lit(float(fit_docs)) / F.col("_n"))).select("_id").distinct()
-    chosen = common.staged(chosen)  # about fit_docs ids per language at most
-    sample = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi")
+    usable = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = common.staged(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    chosen = usable.select("id", "lang").join(sizes, "lang").filter(common.part_of("id", F.lit(float(fit_docs)) / F.col("n")))
+    chosen = common.staged(chosen.select(F.col("id").alias("chosen_id")).distinct())  # about fit_docs ids per language at most
+    sample = usable.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id"), "left_semi")
+    lang_col, text_col = "lang", "text"
     words = common.staged(word_counts(sample, lang_col, text_col))
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
     pieces = letter_pieces(vocabulary)
@@ -277,7 +306,7 @@ class Scorer:
             return
         runs, owner = [], []
         for i, chunk in enumerate(new):
-            for run in RUN.findall(chunk):
+            for run in letter_runs(chunk):
                 runs.append(MARK + run)
                 owner.append(i)
         rows = np.zeros((len(new), self.sums.shape[1]))

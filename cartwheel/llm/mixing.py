@@ -143,11 +143,13 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that share the text too keep one place.
     """
     drawn = mix(docs, id_col, text_col, source_col, **limits)
-    drawn = common.staged(drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("pass").alias("_pass"), F.col("n_tokens").alias("_n"), F.col("start").alias("_start"), F.col("turn").alias("_turn")))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    rows = docs.withColumn("_own", word_count(F.col(text_col))).join(drawn, same)
+    of, source, nth, size, start, turn, own, place = common.unused(docs, "of", "of_source", "pass", "n_tokens", "start", "turn", "own", "place")
+    names = {"doc_id": of, "source": source, "pass": nth, "n_tokens": size, "start": start, "turn": turn}
+    drawn = common.staged(drawn.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    same = F.col(id_col).eqNullSafe(F.col(of)) & F.col(source_col).eqNullSafe(F.col(source))
+    rows = docs.withColumn(own, word_count(F.col(text_col))).join(drawn, same)
     # turn / (start + n / 2) is one token's part of the source's sequence
-    aside = F.pmod(F.xxhash64(text_col, "_pass"), F.lit(2**30)) / F.lit(float(2**30)) - 0.5
-    spread = F.col("_turn") * (1 + (F.col("_n") - F.col("_own")) / (F.col("_start") + F.col("_n") / 2) * aside)
-    placed = rows.withColumn("_place", F.when(F.col("_n") > F.col("_own"), spread).otherwise(F.col("_turn")))
-    return placed.repartitionByRange("_place", id_col).sortWithinPartitions("_place", id_col).select(*docs.columns)
+    aside = F.pmod(F.xxhash64(text_col, nth), F.lit(2**30)) / F.lit(float(2**30)) - 0.5
+    spread = F.col(turn) * (1 + (F.col(size) - F.col(own)) / (F.col(start) + F.col(size) / 2) * aside)
+    placed = rows.withColumn(place, F.when(F.col(size) > F.col(own), spread).otherwise(F.col(turn)))
+    return placed.repartitionByRange(place, id_col).sortWithinPartitions(place, id_col).select(*docs.columns)

@@ -248,24 +248,25 @@ def keep_one(
     Rows with a null id all stay, or, without ``keep_null_ids``, come after
     all ids: one stays of a component whose members have no id.
     """
+    of, own, key, least_id, least_digest = common.unused(docs, "of", "own_digest", "key", "least_id", "least_digest")
     rows = common.staged(fingerprints(docs, id_col, text_col, shingle))
     named = common.staged(components(rows, max_bits))
-    ids = rows.join(named, "fp").groupBy(F.col("doc_id").alias("_id")).agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
+    ids = rows.join(named, "fp").groupBy(F.col("doc_id").alias(of)).agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n"))
     # ids without a row to keep, and those whose rows must be told apart; the others have one row, which stays
-    special = common.staged(ids.filter("gone or n > 1 or _id is null"))
-    plain = docs.join(special.select("_id"), F.col(id_col) == F.col("_id"), "left_anti")
-    several = special.filter("_id is null or not gone")
+    special = common.staged(ids.filter(F.col("gone") | (F.col("n") > 1) | F.col(of).isNull()))
+    plain = docs.join(special.select(of), F.col(id_col) == F.col(of), "left_anti")
+    several = special.filter(F.col(of).isNull() | ~F.col("gone"))
     if keep_null_ids:
-        several = several.filter("_id is not null")
+        several = several.filter(F.col(of).isNotNull())
     else:
         plain = plain.filter(F.col(id_col).isNotNull())
     if several.isEmpty():
         return plain
-    marked = docs.join(several.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    marked = marked.withColumn("_digest", F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit("")))
-    keyed = marked.select(F.struct(F.col(id_col).alias("id"), F.col("_digest").alias("digest")).alias("_key"), text_col)
-    found = fingerprints(keyed, "_key", text_col, shingle).select("fp", "doc_id.id", "doc_id.digest").join(named, "fp")
+    marked = docs.join(several.select(of), F.col(id_col).eqNullSafe(F.col(of)), "left_semi")
+    marked = marked.withColumn(own, F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit("")))
+    keyed = marked.select(F.struct(F.col(id_col).alias("id"), F.col(own).alias("digest")).alias(key), text_col)
+    found = fingerprints(keyed, key, text_col, shingle).select("fp", "doc_id.id", "doc_id.digest").join(named, "fp")
     least = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id").agg(F.min("digest").alias("digest"))
-    least = common.staged(least.select(F.col("id").alias("_least_id"), F.col("digest").alias("_least")))
-    chosen = marked.join(least, F.col(id_col).eqNullSafe(F.col("_least_id")) & (F.col("_digest") == F.col("_least")), "left_semi")
-    return plain.unionByName(chosen.dropDuplicates([id_col, "_digest"]).select(*docs.columns))
+    least = common.staged(least.select(F.col("id").alias(least_id), F.col("digest").alias(least_digest)))
+    chosen = marked.join(least, F.col(id_col).eqNullSafe(F.col(least_id)) & (F.col(own) == F.col(least_digest)), "left_semi")
+    return plain.unionByName(chosen.dropDuplicates([id_col, own]).select(*docs.columns))

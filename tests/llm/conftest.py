@@ -32,6 +32,9 @@ def awkward(spark):
 
     df = spark.createDataFrame(awkward_rows(), DOCS).repartition(3, "n_chars")
     clash = ["part", "row", "digest", "fp", "start", "score", "kept", "key", "shard", "level", "hits", "weight", "keep_id"]
+    clash += ["_id", "_digest", "_n", "_start", "_source", "_pass", "_turn", "_own", "_place", "_key", "_hex", "_least", "_least_id", "_lang", "y", "id"]
+    clash += ["of", "of_source", "pass", "n_tokens", "turn", "own", "place", "own_digest", "kept_id", "kept_digest", "least_id", "least_digest", "key_"]
+    clash += ["n", "gone", "chosen_id", "root", "component_id", "block", "pair", "links", "body", "wanted", "term", "item", "rank", "document"]
     return df.withColumns({c: F.lit("extra") for c in clash})
 
 

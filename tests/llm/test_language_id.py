@@ -55,6 +55,38 @@ def test_expected_uses():
     assert np.allclose(lattice.expected(["▁aab"], np.array([3.0]), probs), expected)
 
 
+def test_long_words_teach_what_all_their_segmentations_say():
+    """Words of 16 to 40 letters count in learning; equal to the product form within floats."""
+    pieces = ["▁", "a", "b", "▁a", "ab", "abb", "ba"]
+    lattice = L.Lattice(pieces)
+    rng = np.random.default_rng(8)
+    probs = rng.random(lattice.none + 1)
+    probs[lattice.none] = 0
+    number = {p: i for i, p in enumerate(pieces)}
+    for n in (16, 23, 40):
+        word = L.MARK + "".join(rng.choice(list("abx"), n))
+        ids = {(s, e): number.get(word[s:e], lattice.unknown if e - s == 1 else None) for s in range(n + 1) for e in range(s + 1, min(n + 1, s + 3) + 1)}
+        ids = {k: v for k, v in ids.items() if v is not None}
+        until, behind = [1.0] + [0.0] * (n + 1), [0.0] * (n + 1) + [1.0]
+        for e in range(1, n + 2):
+            until[e] = sum(until[s] * probs[p] for (s, x), p in ids.items() if x == e)
+        for s in range(n, -1, -1):
+            behind[s] = sum(probs[p] * behind[e] for (x, e), p in ids.items() if x == s)
+        want = np.zeros(len(probs))
+        for (s, e), p in ids.items():
+            want[p] += 2 * until[s] * probs[p] * behind[e] / until[-1]
+        assert np.allclose(lattice.expected([word], np.array([2.0]), probs), want), word
+
+
+def test_numbers_are_no_letters():
+    assert L.letter_runs("½ ² ① a½b x²y Ⅷ") == ["a", "b", "x", "y"]
+    pieces = L.letter_pieces(PIECES)
+    probs = np.ones((len(pieces) + 2, 2)) / len(pieces)
+    probs[-1] = 0
+    names, scores = L.Scorer(L.Model(["x", "y"], pieces, probs)).score(["½ ²", "①", "3½", "a"])
+    assert names[:3] == ["und"] * 3 and scores[:3].tolist() == [0, 0, 0] and names[3] != "und"
+
+
 def test_long_words_do_not_underflow():
     pieces = L.letter_pieces(PIECES)
     lattice = L.Lattice(pieces)
