@@ -9,8 +9,7 @@ look-up per letter and most words die after a few letters.
 
 Every hit has the learned log odds of its (term, edits), so a misspelling
 that is an ordinary word elsewhere counts for little. A hit between
-quotation marks within ``WINDOW`` words, or after an announcing word and a
-colon, counts as quoted. A logistic regression over the sums of abusive
+quotation marks within ``WINDOW`` words counts as quoted. A logistic regression over the sums of abusive
 and quoted hits gives the score; the weight of quoted hits may not exceed
 that of the others.
 
