@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -172,10 +173,20 @@ def with_running_start(df: DataFrame, order: list[str], value: str, start: str =
     )
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+    It only learns of them when the driver's JVM collects its garbage,
+    which a driver with little to do puts off for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet below the shared checkpoint folder, and read from there."""
     import uuid
 
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

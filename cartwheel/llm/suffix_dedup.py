@@ -297,11 +297,13 @@ def dedup(
     keys = rows.filter("key is not null").select("block", "key", "times")
     shared = common.staged(keys.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key"))
     suspects = keys.select("block", "key").join(shared, "key", "left_semi")
-    cut = common.stored(_slices(blocks, suspects, window, gram), "suffix-slices")
+    cut = common.stored(_slices(blocks, suspects, window, gram), "suffix-slices", "zstd")
+    common.drop_finished_shuffles(spark)  # the texts' way to their keys
     pieces, uses = cut.filter("slice is not null"), cut.filter("document is not null").select("digest", "block", "document", "start")
     size = pieces.agg(F.sum(F.length("slice"))).first()[0] or 0
     distinct = pieces.groupBy("key", "digest").agg(F.first("slice").alias("slice"), F.sum("copies").cast("int").alias("copies"))
     found = common.staged(_repeats(distinct, max(1, math.ceil(size / shard_bytes)), window, scratch_root(spark), sort_memory))
+    common.drop_finished_shuffles(spark)  # the slices' way to their shards
     spans = uses.join(found, "digest").select("block", "document", "start", "starts", "ends")
     schema = T.StructType([T.StructField("doc_id", kind)])
     schema = T.StructType(schema.fields + T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary").fields)
