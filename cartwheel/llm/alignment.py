@@ -34,6 +34,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +49,13 @@ from cartwheel.llm.tokens import LETTERS, byte_alphabet
 #: links after which a block is closed (4 bytes each).
 BLOCK_LINKS = 1_000_000
 MEMO_CHUNKS = 200_000
+#: characters of chunks that are encoded as one text.
+UNIT_CHARS = 4000
 
 # before a space or a line feed that follows no white space, and between a letter and ASCII punctuation
 _CUT = re.compile(rf"(?<=\S)(?=[ \n])|(?<=[{LETTERS}])(?=[!-/:-@\[-`{{-~])")
 
 
-# white space that is not a single space or line feed between two words
-_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]")
-
 Aligned = tuple  # (groups, links, tokens of A, tokens of B)
 
 
@@ -76,6 +76,13 @@ class Generations:
             self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= 64}, {}
 
 
+def even_words(text: str) -> list[str] | None:
+    """The words, each after a single space, or beginning with the line feed before it; None for texts with other white space."""
+    if text.replace("\n", " ").split(" ") != text.split():
+        return None
+    return text.replace("\n", " \n").split(" ") if "\n" in text else text.split(" ")
+
+
 def joined(parts: list[Aligned | None]) -> Aligned | None:
     """The alignment of texts in a row."""
     if None in parts:
@@ -124,9 +131,9 @@ class Aligner:
 
     def _texts(self, texts: list[str | None]) -> list[Aligned | None]:
         # most texts are words with one space or line feed before each; their words are looked up whole
-        words = [text.replace("\n", " \n").split(" ") if text and self.chunked and not _UNEVEN.search(text) else None for text in texts]
+        words = [even_words(text) if text and self.chunked else None for text in texts]
         rest = [(_CUT.split(" " + text) if self.chunked else [" " + text]) if text and word is None else None for text, word in zip(texts, words, strict=True)]
-        new = {w: _CUT.split(w if w[:1] == "\n" else " " + w) for w in self.words.missing(set().union(*filter(None, words)))}
+        new = {w: [" " + w] if w.isalnum() else _CUT.split(w if w[:1] == "\n" else " " + w) for w in self.words.missing(set().union(*filter(None, words)))}
         cut = self.parts.missing(set().union(*new.values(), *filter(None, rest)))
         at, size = 0, 0
         for k, chunk in enumerate(cut, 1):
@@ -148,24 +155,46 @@ class Aligner:
         return out
 
     def chunks(self, chunks: list[str]) -> list[Aligned | None]:
-        raw = [c.encode() for c in chunks]
-        sides = [self._a_spans(chunks, raw), self._b_spans(chunks)]
-        good = np.ones(len(chunks), bool)
+        """Chunks that are a space and what is no white space are encoded in a row: the libraries cut between them."""
+        units, size = [], UNIT_CHARS
+        for k in sorted(range(len(chunks)), key=lambda k: not _plain(chunks[k])):
+            if size + len(chunks[k]) > UNIT_CHARS or not _plain(chunks[k]):
+                units.append([])
+                size = 0
+            units[-1].append(k)
+            size += len(chunks[k])
+        out: list[Aligned | None] = [None] * len(chunks)
+        for _ in range(2):
+            bad = self._units(units, chunks, out)
+            units = [[k] for unit in bad if len(unit) > 1 for k in unit]  # seldom: which of them it is
+            if not units:
+                return out
+        return out
+
+    def _units(self, units: list[list[int]], chunks: list[str], out: list[Aligned | None]) -> list[list[int]]:
+        """Fills ``out`` for the chunks of each unit, encoded as one text; the units whose bytes do not agree."""
+        texts = ["".join(map(chunks.__getitem__, unit)) for unit in units]
+        raw = [t.encode() for t in texts]
+        sides = [self._a_spans(texts, raw), self._b_spans(texts)]
+        good = np.ones(len(units), bool)
         for (ids, _, _, sizes), table in zip(sides, (self.a_bytes, self.b_bytes), strict=True):
             good &= agree(ids, sizes, table, raw)
-        if not good.all():  # seldom: the others again without these
-            out: list[Aligned | None] = [None] * len(chunks)
-            again = np.flatnonzero(good).tolist()
-            for k, found in zip(again, self.chunks([chunks[k] for k in again]) if again else [], strict=True):
-                out[k] = found
-            return out
-        # all chunks in a row, offsets counted on
-        base = np.cumsum([0, *map(len, raw)])
+        bad = [units[k] for k in np.flatnonzero(~good)]
+        if bad:
+            units, raw = [u for u, g in zip(units, good, strict=True) if g], [r for r, g in zip(raw, good, strict=True) if g]
+            sides = [(*(np.asarray(v)[np.repeat(good, sizes)] for v in (ids, starts, ends)), np.array(sizes, np.int64)[good]) for ids, starts, ends, sizes in sides]
+        if not units:
+            return bad
+        # all units in a row, offsets counted on
+        unit_base = np.cumsum([0, *map(len, raw)])
         rows = []
         for (ids, starts, ends, sizes), lengths in zip(sides, (self.a_sizes, self.b_sizes), strict=True):
-            ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
-            rows.append((ids, refine(np.array(starts, np.int64), np.array(ends, np.int64), lengths[ids], sizes) + np.repeat(base[:-1], sizes), sizes.tolist()))
-        (a_ids, a_ends, a_sizes), (b_ids, b_ends, b_sizes) = rows
+            ids, sizes = np.asarray(ids, np.int64), np.asarray(sizes, np.int64)
+            rows.append((ids, refine(np.asarray(starts, np.int64), np.asarray(ends, np.int64), lengths[ids], sizes) + np.repeat(unit_base[:-1], sizes)))
+        (a_ids, a_ends), (b_ids, b_ends) = rows
+        members = [k for unit in units for k in unit]
+        base = np.cumsum([0, *(len(c) if c.isascii() else len(c.encode()) for c in map(chunks.__getitem__, members))])
+        a_sizes, b_sizes = (np.diff(np.searchsorted(ends, base, side="right")).tolist() for ends in (a_ends, b_ends))
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         links = (a_ids[np.searchsorted(a_ends, cuts)] << 16 | b_ids[np.searchsorted(b_ends, cuts)]).astype("<u4").tobytes()
         side = np.concatenate([2 * np.searchsorted(cuts, a_ends), 2 * np.searchsorted(cuts, b_ends) + 1])
@@ -175,37 +204,37 @@ class Aligner:
         mark = np.where(np.append(side[1:] == side[:-1], False), 0, np.where(side % 2 == 0, 1, 2 + last_of_chunk[side // 2]))
         groups = "".join(map(self.written.__getitem__, (ids * 4 + mark).tolist())).split("\n")
         at = (4 * np.searchsorted(cuts, base, side="right")).tolist()
-        return [(groups[j], links[at[j] : at[j + 1]], a_sizes[j], b_sizes[j]) for j in range(len(chunks))]
+        for j, k in enumerate(members):
+            out[k] = (groups[j], links[at[j] : at[j + 1]], a_sizes[j], b_sizes[j])
+        return bad
 
-    def _a_spans(self, chunks: list[str], raw: list[bytes]) -> Spans:
+    def _a_spans(self, texts: list[str], raw: list[bytes]) -> Spans:
         """A's tokens with the bytes of the characters that they touch."""
-        ids, starts, ends, sizes = [], [], [], []
-        for chunk, data, found in zip(chunks, raw, self.a.encode_batch(chunks, add_special_tokens=False), strict=True):
-            mine = found.ids
-            ids += mine
-            sizes.append(len(mine))
-            spans = found.offsets  # of characters
-            if len(data) != len(chunk):
-                place = np.cumsum([0, *(len(c.encode()) for c in chunk)]).tolist()
-                spans = [(place[s], place[e]) for s, e in spans]
-            starts += [s for s, _ in spans]
-            ends += [e for _, e in spans]
-        return ids, starts, ends, sizes
-
-    def _b_spans(self, chunks: list[str]) -> Spans:
+        found = self.a.encode_batch(texts, add_special_tokens=False)
+        ids = list(chain.from_iterable([f.ids for f in found]))
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable([f.offsets for f in found])), np.int64, 2 * len(ids)).reshape(-1, 2)  # of characters
+        sizes = [len(f) for f in found]
+        if any(len(t) != len(r) for t, r in zip(texts, raw, strict=True)):
+            codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+            place = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+            first = np.cumsum([0, *map(len, texts)])[:-1]
+            spans = place[spans + np.repeat(first, sizes)[:, None]] - np.repeat(place[first], sizes)[:, None]
+        return ids, spans[:, 0], spans[:, 1], sizes
+
+    def _b_spans(self, texts: list[str]) -> Spans:
         """B's pieces with their byte spans; the space before the text counts as one byte."""
-        # the space that B adds is a chunk's own, or goes with a line feed, which no piece joins
-        found = self.b.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], return_type="proto", num_threads=1)
+        # the space that B adds is a text's own, or goes with a line feed, which no piece joins
+        found = self.b.encode([t[1:] if t[0] == " " else "\n" + t for t in texts], return_type="proto", num_threads=1)
         ids, starts, ends, sizes = [], [], [], []
-        for chunk, proto in zip(chunks, found, strict=True):
-            if chunk == " ":
+        for text, proto in zip(texts, found, strict=True):
+            if text == " ":
                 mine, stops = [self.space], [1]
             else:
-                mine, stops = [p.id for p in proto.pieces], [p.end for p in proto.pieces]
-                if chunk[0] == " ":
-                    stops = [e + 1 for e in stops]
+                pieces = list(proto.pieces)
+                if text[0] == " ":
+                    mine, stops = [p.id for p in pieces], [p.end + 1 for p in pieces]
                 else:
-                    mine, stops = mine[2:], [e - 1 for e in stops[2:]]
+                    mine, stops = [p.id for p in pieces[2:]], [p.end - 1 for p in pieces[2:]]
             ids += mine
             sizes.append(len(mine))
             starts.append(0)
@@ -214,7 +243,11 @@ class Aligner:
         return ids, starts, ends, sizes
 
 
-Spans = tuple  # (ids, starts, ends, tokens per chunk)
+def _plain(chunk: str) -> bool:
+    return chunk[0] == " " and len(chunk) > 1 and chunk[1] != "\n" and not chunk[-1].isspace()
+
+
+Spans = tuple  # (ids, starts, ends, tokens per text)
 
 
 def agree(ids: list[int], sizes: list[int], table, raw: list[bytes]) -> np.ndarray:
