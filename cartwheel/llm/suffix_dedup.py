@@ -9,16 +9,21 @@ The corpus is dealt to shards so that equal windows meet. The key of a
 window is the least hash among its 64-byte strings, so equal windows have
 equal keys, and runs of some 70 windows share one. Then:
 
-1. texts are written in blocks, with each block's distinct keys;
-2. keys that occur once in the corpus belong to windows that occur once;
-   each block gets back the others among its own keys;
-3. a slice is the bytes of a run of windows with such a key. Distinct
-   slices go to the shard of their key, each once, with its number of copies;
+1. texts are written in blocks. A slice is the bytes of a run of windows
+   with one key; each block gives its distinct (key, slice digest);
+2. keys that occur once in the corpus belong to windows that occur once.
+   A key with one slice, several times, belongs to windows that all repeat
+   (a window is in its slice only once). Only slices of the other keys,
+   which have several, can share a part, and need their bytes compared;
+3. each of those slices is given by one block to the shard of its key, with
+   its number of copies;
 4. a shard writes its slices in a row and sorts their suffixes by external
    induced sorting, in bounded memory whatever its size;
 5. each block gets back which bytes of its slices repeat, and gives its
    documents without them.
 
+Slices with one key are told apart by a 64-bit digest (XXH3).
+
 Nothing but counts reaches the driver and nothing is broadcast; all that
 goes by key or slice is aggregated before it is shuffled, so a passage that
 a third of all documents hold is one slice in its shard.
@@ -30,7 +35,6 @@ other; a null id is carried as null; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import os
 import tempfile
@@ -38,6 +42,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,25 +128,30 @@ def stretches(sizes: list[int], window: int) -> Iterator[list[tuple[int, int, in
         yield group
 
 
-def block_runs(body: bytes, sizes: list[int], window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
-    """(document, first window, windows, key) of the runs of a block."""
-    at = np.cumsum([0, *sizes]).tolist()
+def block_runs(body: bytes, sizes: list[int], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, bytes, key, digest) of the slices of a block, in order."""
+    at, found = np.cumsum([0, *sizes]).tolist(), []
     for group in stretches(sizes, window):
         joined = np.frombuffer(b"".join([body[at[n] + a : at[n] + b] for n, a, b in group]), np.uint8)
-        ends = np.cumsum([b - a for _, a, b in group])
+        lengths = np.array([b - a for _, a, b in group])
+        ends = np.cumsum(lengths)
         first, last, key = runs(joined, ends, window, gram)
-        which = np.searchsorted(ends, first, side="right")
-        number = np.array([n for n, _, _ in group])[which]
-        inside = first - (ends - [b - a for _, a, b in group])[which] + np.array([a for _, a, _ in group])[which]
-        yield from zip(number.tolist(), inside.tolist(), (last - first + 1).tolist(), key.tolist(), strict=True)
+        shift = np.array([at[n] + a for n, a, _ in group]) - (ends - lengths)
+        found.append((first + shift[np.searchsorted(ends, first, side="right")], last - first + window, key))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    start, size, key = map(np.concatenate, zip(*found, strict=True))
+    view = memoryview(body)
+    digests = (xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), (start + size).tolist(), strict=True))
+    return start, size, key, np.fromiter(digests, np.uint64, len(start)).view(np.int64)
 
 
 # -- blocks ------------------------------------------------------------------
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, block_bytes: int) -> DataFrame:
-    """One row per block (key is null), and one per distinct key of a block."""
-    schema = T.StructType.fromDDL("block long, sizes array<long>, body binary, key long, times int")
+    """One row per block (key is null), and one per distinct slice of a block."""
+    schema = T.StructType.fromDDL("block long, sizes array<long>, body binary, key long, digest long, times int")
     schema = schema.add("doc_ids", T.ArrayType(docs.schema[id_col].dataType))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +161,15 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
         def close() -> Iterator[pa.RecordBatch]:
             body, sizes = b"".join(texts), list(map(len, texts))
             yield common.record_batch(
-                {"block": [block], "sizes": [sizes], "body": [pack(body)], "key": [None], "times": [None], "doc_ids": [ids]}, kinds
+                {"block": [block], "sizes": [sizes], "body": [pack(body)], "key": [None], "digest": [None], "times": [None], "doc_ids": [ids]}, kinds
             )
-            keys, times = np.unique(np.array([r[3] for r in block_runs(body, sizes, window, gram)], np.int64), return_counts=True)
-            n = len(keys)
+            _, _, key, digest = block_runs(body, sizes, window, gram)
+            order = np.lexsort((digest, key))
+            key, digest = key[order], digest[order]
+            first = np.flatnonzero(induced.starts_of(key) | induced.starts_of(digest))
+            n, times = len(first), np.diff(np.append(first, len(key)))
             yield common.record_batch(
-                {"block": np.full(n, block), "key": keys, "times": np.minimum(times, 2).astype(np.int32)}
+                {"block": np.full(n, block), "key": key[first], "digest": digest[first], "times": np.minimum(times, 2).astype(np.int32)}
                 | dict.fromkeys(("sizes", "body", "doc_ids"), [None] * n), kinds
             )
 
@@ -183,32 +196,29 @@ def unpack(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-def _slices(blocks: DataFrame, suspects: DataFrame, window: int, gram: int) -> DataFrame:
-    """Distinct slices of each block (slice is not null) and where they lie (document is not null)."""
-    schema = T.StructType.fromDDL("digest binary, key long, slice binary, copies int, block long, document int, start long")
+def _slices(blocks: DataFrame, wanted: DataFrame, window: int, gram: int) -> DataFrame:
+    """The bytes of the ``wanted`` slices (block, key, digest, copies), each cut from its block."""
+    schema = T.StructType.fromDDL("key long, digest long, slice binary, copies int")
 
-    def cut(group: tuple, texts: pa.Table, keys: pa.Table) -> pa.Table:
+    def cut(group: tuple, texts: pa.Table, slices: pa.Table) -> pa.Table:
         kinds = common.arrow_schema(schema)
         rows: dict[str, list] = {f.name: [] for f in schema}
-        if texts.num_rows and keys.num_rows:
-            block, body = texts.column("of")[0].as_py(), unpack(texts.column("body")[0].as_py())
-            sizes, known = texts.column("sizes")[0].as_py(), set(keys.column("key").to_pylist())
-            at, copies, found = np.cumsum([0, *sizes]).tolist(), {}, []
-            for number, first, windows, key in block_runs(body, sizes, window, gram):
-                if key in known:
-                    piece = body[at[number] + first : at[number] + first + windows + window - 1]
-                    copies[piece] = copies.get(piece, 0) + 1
-                    found.append((piece, key, number, first))
-            digests = {piece: hashlib.sha256(piece).digest()[:16] for piece in copies}
-            for piece, key, number, first in found:
-                n = copies.pop(piece, 0)
-                if n:
-                    _add(rows, digest=digests[piece], key=key, slice=piece, copies=min(n, 2))
-                _add(rows, digest=digests[piece], block=block, document=number, start=first)
+        if texts.num_rows and slices.num_rows:
+            body = unpack(texts.column("body")[0].as_py())
+            copies = dict(zip(_names(slices), slices.column("copies").to_pylist(), strict=True))
+            start, size, key, digest = (x.tolist() for x in block_runs(body, texts.column("sizes")[0].as_py(), window, gram))
+            for a, n, *name in zip(start, size, key, digest, strict=True):
+                many = copies.pop(tuple(name), 0)
+                if many:
+                    _add(rows, key=name[0], digest=name[1], slice=body[a : a + n], copies=many)
         return pa.table([pa.array(rows[f.name], f.type) for f in kinds], schema=kinds)
 
     texts = blocks.select(F.col("block").alias("of"), "sizes", "body")
-    return texts.groupBy("of").cogroup(suspects.groupBy("block")).applyInArrow(cut, schema)
+    return texts.groupBy("of").cogroup(wanted.groupBy("block")).applyInArrow(cut, schema)
+
+
+def _names(slices: pa.Table) -> list[tuple[int, int]]:
+    return list(zip(slices.column("key").to_pylist(), slices.column("digest").to_pylist(), strict=True))
 
 
 def _add(rows: dict[str, list], **values) -> None:
@@ -225,19 +235,19 @@ def scratch_root(spark: SparkSession) -> str | None:
     return shared.removeprefix("file://") if shared.startswith(("/", "file:///")) else None
 
 
-def repeated_spans(slices: Iterable[tuple[bytes, bytes, int]], window: int, folder: str, memory: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
-    """(digest, starts, ends) of the bytes that lie in repeated windows, per (digest, slice, copies) with any.
+def repeated_spans(slices: Iterable[tuple], window: int, folder: str, memory: int) -> Iterator[tuple]:
+    """(key, digest, starts, ends) of the bytes that lie in repeated windows, per (key, digest, slice, copies) with any.
 
     The slices are written in a row, 1 between them and 0 at the end. Each
     suffix stands for as many as its slice has copies; a window is repeated
     if a neighbour in suffix order shares ``window`` bytes, or a copy does.
     """
-    path, starts, sizes, digests, many, n = os.path.join(folder, "slices.bin"), [], [], [], [], 0
+    path, starts, sizes, names, many, n = os.path.join(folder, "slices.bin"), [], [], [], [], 0
     with open(path, "wb") as out:
-        for digest, piece, copies in slices:
+        for key, digest, piece, copies in slices:
             starts.append(n)
             sizes.append(len(piece))
-            digests.append(digest)
+            names.append((key, digest))
             many.append(copies > 1)
             symbols = np.ones(len(piece) + 1, np.uint16)
             symbols[:-1] = np.frombuffer(piece, np.uint8)
@@ -257,32 +267,32 @@ def repeated_spans(slices: Iterable[tuple[bytes, bytes, int]], window: int, fold
         again[positions[long_]] = True
         again[np.append(before, positions[:-1])[long_ if len(before) else long_[1:]]] = True
         before = positions[-1:]
-    for digest, start, size in zip(digests, starts, sizes, strict=True):
+    for name, start, size in zip(names, starts, sizes, strict=True):
         mine = again[start : start + size - window + 1]
         if mine.any():
             edges = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
-            yield digest, edges[::2].tolist(), (edges[1::2] - 1 + window).tolist()
+            yield *name, edges[::2].tolist(), (edges[1::2] - 1 + window).tolist()
 
 
-def _repeats(distinct: DataFrame, shards: int, window: int, root: str | None, memory: int) -> DataFrame:
-    """(digest, starts, ends) of every distinct slice with repeated windows."""
-    schema = T.StructType.fromDDL("digest binary, starts array<int>, ends array<int>")
+def _repeats(slices: DataFrame, shards: int, window: int, root: str | None, memory: int) -> DataFrame:
+    """(key, digest, starts, ends) of every slice with repeated windows."""
+    schema = T.StructType.fromDDL("key long, digest long, starts array<int>, ends array<int>")
 
     def sort_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = common.arrow_schema(schema)
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
         where = root or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
         with tempfile.TemporaryDirectory(prefix="suffixes-", dir=where) as folder:
             out: list[tuple] = []
             for row in repeated_spans(rows, window, folder, memory):
                 out.append(row)
                 if len(out) == 1000:
-                    yield common.record_batch(dict(zip(("digest", "starts", "ends"), zip(*out, strict=True), strict=True)), kinds)
+                    yield common.record_batch(dict(zip(schema.names, zip(*out, strict=True), strict=True)), kinds)
                     out = []
             if out:
-                yield common.record_batch(dict(zip(("digest", "starts", "ends"), zip(*out, strict=True), strict=True)), kinds)
+                yield common.record_batch(dict(zip(schema.names, zip(*out, strict=True), strict=True)), kinds)
 
-    return distinct.repartition(shards, "key").select("digest", "slice", "copies").mapInArrow(sort_shard, schema)
+    return slices.repartition(shards, "key").select("key", "digest", "slice", "copies").mapInArrow(sort_shard, schema)
 
 
 def dedup(
@@ -294,17 +304,18 @@ def dedup(
     gram = min(gram, window)
     rows = common.stored(_blocks(docs, id_col, text_col, window, gram, block_bytes), "suffix-blocks")
     blocks = rows.filter("body is not null").select("block", "sizes", "body", "doc_ids")
-    keys = rows.filter("key is not null").select("block", "key", "times")
-    shared = common.staged(keys.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key"))
-    suspects = keys.select("block", "key").join(shared, "key", "left_semi")
-    cut = common.stored(_slices(blocks, suspects, window, gram), "suffix-slices", "zstd")
+    held = rows.filter("key is not null").select("block", "key", "digest", "times")
+    keys = held.groupBy("key").agg(F.sum("times").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("n > 1")
+    keys = common.staged(keys.select("key", F.expr("low <> high").alias("several")))
+    uses = common.staged(held.join(keys, "key"))
+    compared = uses.filter("several").groupBy("key", "digest").agg(F.expr("cast(least(sum(times), 2) as int)").alias("copies"), F.min("block").alias("block"))
+    slices = common.stored(_slices(blocks, compared, window, gram), "suffix-slices", "zstd")
     common.drop_finished_shuffles(spark)  # the texts' way to their keys
-    pieces, uses = cut.filter("slice is not null"), cut.filter("document is not null").select("digest", "block", "document", "start")
-    size = pieces.agg(F.sum(F.length("slice"))).first()[0] or 0
-    distinct = pieces.groupBy("key", "digest").agg(F.first("slice").alias("slice"), F.sum("copies").cast("int").alias("copies"))
-    found = common.staged(_repeats(distinct, max(1, math.ceil(size / shard_bytes)), window, scratch_root(spark), sort_memory))
+    size = slices.agg(F.sum(F.length("slice"))).first()[0] or 0
+    found = common.staged(_repeats(slices, max(1, math.ceil(size / shard_bytes)), window, scratch_root(spark), sort_memory))
     common.drop_finished_shuffles(spark)  # the slices' way to their shards
-    spans = uses.join(found, "digest").select("block", "document", "start", "starts", "ends")
+    whole = uses.filter("not several").select("block", "key", "digest", *[F.lit(None).cast("array<int>").alias(c) for c in ("starts", "ends")])
+    spans = whole.union(uses.filter("several").join(found, ["key", "digest"]).select("block", "key", "digest", "starts", "ends"))
     schema = T.StructType([T.StructField("doc_id", kind)])
     schema = T.StructType(schema.fields + T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept binary").fields)
 
@@ -316,10 +327,19 @@ def dedup(
             at = np.cumsum([0, *sizes])
             change = np.zeros(len(body) + 1, np.int32)
             if covered.num_rows:
-                base = at[covered.column("document").to_numpy()] + covered.column("start").to_numpy()
+                row_of = {name: i for i, name in enumerate(_names(covered))}
+                start, size, key, digest = block_runs(body, sizes, window, gram)
+                row = np.array([row_of.get(name, -1) for name in zip(key.tolist(), digest.tolist(), strict=True)], np.int64)
+                start, size, row = start[row >= 0], size[row >= 0], row[row >= 0]
+                whole = covered.column("starts").combine_chunks().is_null().to_numpy(zero_copy_only=False)[row]
+                np.add.at(change, start[whole], 1)
+                np.add.at(change, (start + size)[whole], -1)
                 for column, step in (("starts", 1), ("ends", -1)):
                     lists = covered.column(column).combine_chunks()
-                    np.add.at(change, lists.flatten().to_numpy() + np.repeat(base, np.diff(lists.offsets.to_numpy())), step)
+                    many = lists.value_lengths().fill_null(0).to_numpy()
+                    before, mine = np.cumsum(many) - many, many[row]
+                    inside = np.arange(mine.sum()) - np.repeat(np.cumsum(mine) - mine, mine)
+                    np.add.at(change, lists.flatten().to_numpy()[np.repeat(before[row], mine) + inside] + np.repeat(start, mine), step)
             gone = np.cumsum(change[:-1]) > 0
             for doc_id, low, high in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
                 mine = gone[low:high]
