@@ -42,8 +42,8 @@ FIT_DOCS = 1500
 ROUNDS = 4
 #: share of a text's words that may be of any language.
 BORROWED = 0.5
-#: pseudo-count of each piece, and longest piece in letters.
-PRIOR, LONGEST = 0.05, 12
+#: pseudo-count of each piece.
+PRIOR = 0.05
 #: words whose forward sums a task remembers.
 MEMO_WORDS = 400_000
 _RUN = re.compile(r"[^\W\d_]+")
@@ -63,7 +63,7 @@ def letter_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    fits = (p for p in pieces if len(p) <= LONGEST and (p.removeprefix(MARK).isalpha() or p == MARK) and p == p.lower())
+    fits = (p for p in pieces if (p.removeprefix(MARK).isalpha() or p == MARK) and p == p.lower())
     return sorted(set(fits))
 
 
@@ -76,6 +76,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
         hashes = np.array([span_hashes(code_points([p], len(p)))[-1][0] for p in pieces], np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
@@ -87,7 +88,7 @@ class Lattice:
         n = len(words[0])
         codes, out = code_points(words, n), {}
         for start in range(n):
-            for size, found in enumerate(span_hashes(codes[:, start : start + LONGEST]), 1):
+            for size, found in enumerate(span_hashes(codes[:, start : start + self.longest]), 1):
                 at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
                 known = self.hashes[at] == found
                 if size == 1 or known.any():
@@ -109,13 +110,13 @@ class Lattice:
         scale = np.zeros((len(words), table.shape[1]))
         for end in range(1, n + 1):
             total = np.zeros_like(scale)
-            for start in range(max(0, end - LONGEST), end):
+            for start in range(max(0, end - self.longest), end):
                 if (start, end) in spans:
                     total += sums[start] * table[spans[start, end]]
             sums.append(total)
             if end % 16 == 0:  # a common factor keeps long words within floats
                 factor = total.copy()
-                for k in range(max(0, end - LONGEST + 1), end + 1):
+                for k in range(max(0, end - self.longest + 1), end + 1):
                     sums[k] = sums[k] / factor
                 scale += np.log(factor)
         return scale + np.log(sums[n]), sums, spans
@@ -149,11 +150,11 @@ class Lattice:
             logs = np.log(probs)
         until = [np.zeros(len(words))]
         for end in range(1, n + 1):
-            ways = [until[start] + logs[spans[start, end]] for start in range(max(0, end - LONGEST), end) if (start, end) in spans]
+            ways = [until[start] + logs[spans[start, end]] for start in range(max(0, end - self.longest), end) if (start, end) in spans]
             until.append(np.logaddexp.reduce(ways, axis=0))
         behind = {n: np.zeros(len(words))}
         for start in range(n - 1, -1, -1):
-            ways = [logs[spans[start, end]] + behind[end] for end in range(start + 1, min(n, start + LONGEST) + 1) if (start, end) in spans]
+            ways = [logs[spans[start, end]] + behind[end] for end in range(start + 1, min(n, start + self.longest) + 1) if (start, end) in spans]
             behind[start] = np.logaddexp.reduce(ways, axis=0)
         for (start, end), p in spans.items():
             share = np.exp(until[start] + logs[p] + behind[end] - until[n])

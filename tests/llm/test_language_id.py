@@ -90,6 +90,7 @@ def test_numbers_are_no_letters():
 def test_long_words_do_not_underflow():
     pieces = L.letter_pieces(PIECES)
     lattice = L.Lattice(pieces)
+    assert lattice.longest > 12 and max(pieces, key=len) in pieces  # no piece of letters is left out
     table = L.start_probs(lattice, 2)
     word = L.MARK + "abc" * 4000
     got = lattice.log_sums([word, word], table)
@@ -98,7 +99,7 @@ def test_long_words_do_not_underflow():
     alpha = [1.0]
     number = {p: i for i, p in enumerate(pieces)}
     for end in range(1, len(short) + 1):
-        alpha.append(sum(alpha[s] * table[number.get(short[s:end], lattice.unknown if end - s == 1 else lattice.none), 0] for s in range(max(0, end - L.LONGEST), end)))
+        alpha.append(sum(alpha[s] * table[number.get(short[s:end], lattice.unknown if end - s == 1 else lattice.none), 0] for s in range(max(0, end - lattice.longest), end)))
     assert math.isclose(lattice.log_sums([short], table)[0, 0], math.log(alpha[-1]), rel_tol=1e-9)
 
 
