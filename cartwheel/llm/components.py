@@ -2,8 +2,9 @@
 
 Every round is two grouped minima joined back to the links; nothing but
 one row count and checksum per round reaches the driver. Vertices are
-longs; a hub with very many links is only a skewed join key, which Spark
-splits, never one task's list.
+longs; a hub with very many links is only a skewed join key, never one
+task's list. The minima are staged, so both sides of the joins come from
+plain shuffles and Spark can split the hub.
 """
 
 from __future__ import annotations
@@ -30,17 +31,17 @@ def connected_components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         state = now
-        edges = staged(_small_star(_large_star(edges)))
+        edges = staged(_small_star(staged(_large_star(edges))))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select("u", "v"))
-    least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+    least = staged(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")))
     return edges.join(least, edges["v"] == least["x"]).select("u", F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+    least = staged(edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")))
     moved = edges.join(least, edges["u"] == least["x"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     kept = least.select(F.col("x").alias("u"), F.col("m").alias("v"))
     return moved.filter("u <> v").union(kept).distinct()

@@ -227,10 +227,11 @@ def components(rows: DataFrame, max_bits: int) -> DataFrame:
     """(fp, root, component_id) of each fingerprint in ``rows``; ``root`` tells components apart where ids repeat or are null."""
     points = common.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = common.staged(connected_components(near_links(points.select("fp"), max_bits)))
-    placed = points.join(roots, points["fp"] == roots["node"], "left").select(
+    placed = common.staged(points.join(roots, points["fp"] == roots["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    ))
+    # staged, so that Spark can split a large component in the join
+    least = common.staged(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))
     return placed.join(least, "root").select("fp", "root", "component_id")
 
 
