@@ -39,6 +39,7 @@ import math
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +66,19 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+@lru_cache(4)
+def _all_powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.full(n, base, np.uint64)
         out[0] = 1
         return np.cumprod(out, dtype=np.uint64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; lengths are rounded up so that few tables are kept."""
+    return _all_powers(base, max(STRETCH, 1 << (n - 1).bit_length()))[:n]
+
+
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from each position on."""
     n = len(data)
@@ -104,13 +111,15 @@ def runs(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np
         return none, none, none
     hashes = gram_hashes(data, gram)
     place = sliding_argmin(hashes, window - gram + 1)
-    at = np.arange(len(place))
-    whole = at + window <= ends[np.searchsorted(ends, at, side="right")]
-    at, place = at[whole], place[whole]
-    if not len(at):
-        return none, none, none
-    new = np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))
-    return at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1], hashes[place[new]].view(np.int64)
+    whole = np.ones(len(place), bool)
+    for end in ends.tolist():
+        whole[max(0, end - window + 1) : end] = False
+    change = place[1:] != place[:-1]
+    opens, closes = whole.copy(), whole.copy()
+    opens[1:] &= change | ~whole[:-1]
+    closes[:-1] &= change | ~whole[1:]
+    first = np.flatnonzero(opens)
+    return first, np.flatnonzero(closes), hashes[place[first]].view(np.int64)
 
 
 def stretches(sizes: list[int], window: int) -> Iterator[list[tuple[int, int, int]]]:
