@@ -17,8 +17,12 @@ equal keys, and runs of some 70 windows share one. Then:
    which have several, can share a part, and need their bytes compared;
 3. each of those slices is given by one block to the shard of its key, with
    its number of copies;
-4. a shard writes its slices in a row and sorts their suffixes by external
-   induced sorting, in bounded memory whatever its size;
+4. a shard takes its slices by key. All windows of a slice hold the 64 bytes
+   with its key, so only suffixes at one distance from them can share a
+   window: those at the 64 bytes are sorted, the order of those further left
+   is induced from it byte by byte, with common prefixes. The slices of a key
+   too large for memory are written in a row and their suffixes sorted by
+   external induced sorting, in bounded memory whatever their size;
 5. each block gets back which bytes of its slices repeat, and gives its
    documents without them.
 
@@ -40,6 +44,8 @@ import os
 import tempfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +70,8 @@ STRETCH = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
+#: masks of the first 0 to 8 bytes of a big-endian word.
+_FIRST_BYTES = np.array([2**64 - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
 
 
 @lru_cache(4)
@@ -244,10 +252,139 @@ def scratch_root(spark: SparkSession) -> str | None:
     return shared.removeprefix("file://") if shared.startswith(("/", "file:///")) else None
 
 
-def repeated_spans(slices: Iterable[tuple], window: int, folder: str, memory: int) -> Iterator[tuple]:
+def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Where in ``data`` the string lies whose hash is the key of each slice: in all its windows, at the first such place."""
+    out = np.empty(len(starts), np.int64)
+    part = (starts - starts[0]) // STRETCH
+    cuts = [*np.flatnonzero(induced.starts_of(part)).tolist(), len(starts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low, reach = starts[a:b] - starts[a], window - gram + 1
+        hashes = gram_hashes(data[starts[a] : starts[b - 1] + sizes[b - 1]], gram)
+        of = np.repeat(np.arange(b - a), np.minimum(sizes[a:b] - gram + 1, reach))
+        many = np.bincount(of, minlength=b - a)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
+        found = np.flatnonzero(hashes[at].view(np.int64) == keys[a:b][of])[::-1]
+        out[a:b][of[found]] = at[found] + starts[a]  # the first place is written last
+    return out
+
+
+def sorted_anchors(data: np.ndarray, anchor: np.ndarray, right: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at the anchors inside their groups, and each one's common prefix with the one before, up to ``window``.
+
+    A suffix counts as followed by zeros behind its ``right`` bytes.
+    """
+    n = len(anchor)
+    order, head, prefix = np.arange(n), induced.starts_of(group), np.full(n, window, np.int64)
+    prefix[head] = 0
+    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    todo = np.arange(n)
+    for offset in range(0, window, 8):
+        sizes = np.diff(np.append(np.flatnonzero(head), n))
+        todo = todo[np.repeat(sizes, sizes)[todo] > 1]
+        if not len(todo):
+            break
+        k = order[todo]
+        inside = np.clip(right[k] - offset, 0, 8)
+        word = words[np.where(inside > 0, anchor[k] + offset, 0)].astype(np.uint64)
+        word &= _FIRST_BYTES[inside]
+        run = np.cumsum(head[todo])
+        inner = ~head[todo][1:]
+        if not np.any((word[1:] != word[:-1]) & inner):
+            continue
+        by = np.lexsort((word, run))
+        order[todo], word = k[by], word[by]
+        split = 1 + np.flatnonzero((word[1:] != word[:-1]) & inner)
+        differ, equal = word[split] ^ word[split - 1], np.zeros(len(split), np.int64)
+        for k in range(1, 8):
+            equal += differ >> np.uint64(64 - 8 * k) == 0
+        head[todo[split]] = True
+        prefix[todo[split]] = np.minimum(offset + equal, window)
+    return order, prefix
+
+
+def repeated_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Where in ``data`` a window starts that another slice of the same key holds too; slices of one key are in a row.
+
+    All windows of a slice hold its anchor, the string with the key, and
+    equal windows hold it at the same distance. So only suffixes at one
+    distance from their anchors are compared: those at the anchors are
+    sorted, and the order of those one byte further left is induced from it
+    by a stable sort by that byte. Two neighbours there share one byte more
+    than the least on the way from the one to the other.
+    """
+    again = np.zeros(len(data), bool)
+    anchor, group = anchors(data, starts, sizes, keys, window, gram), np.cumsum(induced.starts_of(keys))
+    left, right = anchor - starts, starts + sizes - anchor
+    order, prefix = sorted_anchors(data, anchor, right, group, window)
+    for distance in range(window - gram + 1):
+        # windows of one class are equal, zeros behind the slices included
+        if np.any(prefix >= window):
+            same = np.cumsum(prefix < window)
+            whole = right[order] >= window - distance
+            several = np.bincount(same[whole], minlength=same[-1] + 1) > 1
+            again[anchor[order[whole & several[same]]] - distance] = True
+        # those whose slice goes on to the left, and that can still come to share a window
+        most = prefix.copy()
+        np.maximum(most[:-1], prefix[1:], out=most[:-1])
+        more = left[order] - distance
+        stay = np.flatnonzero((more > 0) & (most + more >= window))
+        if len(stay) < 2:
+            break
+        least = np.zeros(len(stay), np.int64)
+        least[1:] = np.minimum.reduceat(prefix[: stay[-1] + 1], stay[:-1] + 1)
+        order = order[stay]
+        symbol = group[order] << 8 | data[anchor[order] - distance - 1]
+        by = np.argsort(symbol, kind="stable")
+        order, symbol = order[by], symbol[by]
+        pair = 1 + np.flatnonzero(symbol[1:] == symbol[:-1])
+        prefix = np.zeros(len(order), np.int64)
+        prefix[pair] = 1 + induced.range_min(least, by[pair - 1] + 1, by[pair])
+    return again
+
+
+def repeated_spans(slices: Iterable[tuple], window: int, gram: int, folder: str, memory: int) -> Iterator[tuple]:
     """(key, digest, starts, ends) of the bytes that lie in repeated windows, per (key, digest, slice, copies) with any.
 
-    The slices are written in a row, 1 between them and 0 at the end. Each
+    The slices come by key. Keys are taken together up to half of ``memory``
+    bytes; the slices of a larger key are sorted in files.
+    """
+    held, size = [], 0
+    for _, group in groupby(slices, itemgetter(0)):
+        mine, own = [], 0
+        for row in group:
+            mine.append(row)
+            own += len(row[2])
+            if 2 * own > memory:
+                yield from _spans_by_files(chain(mine, group), window, folder, memory)
+                mine, own = [], 0
+        if held and 2 * (size + own) > memory:
+            yield from _spans_in_memory(held, window, gram)
+            held, size = [], 0
+        held += mine
+        size += own
+    if held:
+        yield from _spans_in_memory(held, window, gram)
+
+
+def _spans_in_memory(slices: list[tuple], window: int, gram: int) -> Iterator[tuple]:
+    sizes = np.array([len(row[2]) for row in slices])
+    starts = np.cumsum(sizes + 1) - sizes - 1  # one byte between them
+    data = np.frombuffer(b"\0".join([*[row[2] for row in slices], bytes(window + 8)]), np.uint8)
+    again = repeated_windows(data, starts, sizes, np.array([row[0] for row in slices], np.int64), window, gram)
+    for i in np.flatnonzero(np.array([row[3] for row in slices]) > 1).tolist():
+        again[starts[i] : starts[i] + sizes[i] - window + 1] = True
+    edges = np.flatnonzero(again[1:] != again[:-1]) + 1
+    if again[0]:
+        edges = np.append(0, edges)
+    low, high = edges[::2], edges[1::2] - 1 + window
+    of = np.searchsorted(starts, low, side="right") - 1
+    low, high, first = (low - starts[of]).tolist(), (high - starts[of]).tolist(), np.flatnonzero(induced.starts_of(of))
+    for i, a, b in zip(of[first].tolist(), first.tolist(), np.append(first, len(of))[1:].tolist(), strict=True):
+        yield slices[i][0], slices[i][1], low[a:b], high[a:b]
+
+
+def _spans_by_files(slices: Iterable[tuple], window: int, folder: str, memory: int) -> Iterator[tuple]:
+    """The slices are written in a row, 1 between them and 0 at the end. Each
     suffix stands for as many as its slice has copies; a window is repeated
     if a neighbour in suffix order shares ``window`` bytes, or a copy does.
     """
@@ -283,7 +420,7 @@ def repeated_spans(slices: Iterable[tuple], window: int, folder: str, memory: in
             yield *name, edges[::2].tolist(), (edges[1::2] - 1 + window).tolist()
 
 
-def _repeats(slices: DataFrame, shards: int, window: int, root: str | None, memory: int) -> DataFrame:
+def _repeats(slices: DataFrame, shards: int, window: int, gram: int, root: str | None, memory: int) -> DataFrame:
     """(key, digest, starts, ends) of every slice with repeated windows."""
     schema = T.StructType.fromDDL("key long, digest long, starts array<int>, ends array<int>")
 
@@ -293,7 +430,7 @@ def _repeats(slices: DataFrame, shards: int, window: int, root: str | None, memo
         where = root or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
         with tempfile.TemporaryDirectory(prefix="suffixes-", dir=where) as folder:
             out: list[tuple] = []
-            for row in repeated_spans(rows, window, folder, memory):
+            for row in repeated_spans(rows, window, gram, folder, memory):
                 out.append(row)
                 if len(out) == 1000:
                     yield common.record_batch(dict(zip(schema.names, zip(*out, strict=True), strict=True)), kinds)
@@ -301,7 +438,8 @@ def _repeats(slices: DataFrame, shards: int, window: int, root: str | None, memo
             if out:
                 yield common.record_batch(dict(zip(schema.names, zip(*out, strict=True), strict=True)), kinds)
 
-    return slices.repartition(shards, "key").select("key", "digest", "slice", "copies").mapInArrow(sort_shard, schema)
+    dealt = slices.repartition(shards, "key").sortWithinPartitions("key")
+    return dealt.select("key", "digest", "slice", "copies").mapInArrow(sort_shard, schema)
 
 
 def dedup(
@@ -321,7 +459,7 @@ def dedup(
     slices = common.stored(_slices(blocks, compared, window, gram), "suffix-slices", "zstd")
     common.drop_finished_shuffles(spark)  # the texts' way to their keys
     size = slices.agg(F.sum(F.length("slice"))).first()[0] or 0
-    found = common.staged(_repeats(slices, max(1, math.ceil(size / shard_bytes)), window, scratch_root(spark), sort_memory))
+    found = common.staged(_repeats(slices, max(1, math.ceil(size / shard_bytes)), window, gram, scratch_root(spark), sort_memory))
     common.drop_finished_shuffles(spark)  # the slices' way to their shards
     whole = uses.filter("not several").select("block", "key", "digest", *[F.lit(None).cast("array<int>").alias(c) for c in ("starts", "ends")])
     spans = whole.union(uses.filter("several").join(found, ["key", "digest"]).select("block", "key", "digest", "starts", "ends"))
