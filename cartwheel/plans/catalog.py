@@ -107,10 +107,17 @@ REPORTS: dict[str, Report] = {
     "s94_cross_sell_matrix": lambda t: products.cross_sell_matrix(t.orders, t.order_items),
 }
 
+# reports that read no other table: nothing else is derived for them
+SESSIONS_ONLY = frozenset({
+    "s02_traffic_sources", "s04_weekly_volume", "s06_weekly_device", "s44_monthly_channel", "s57_weekly_sources", "s58_source_mobile",
+    "s60_bid_change", "s63_hour_weekday", "s79_repeat_pairs", "s81_repeat_histogram", "s82_repeat_dates", "s83_repeat_lag",
+    "s84_repeat_lag_stats", "s85_channel_group", "s85_channel_group_fixed",
+})
+
 
 def run(key: str, spark: SparkSession, path: str) -> DataFrame:
     """The report ``key`` over the shop tables of ``path``."""
-    return REPORTS[key](open_shop(spark, path))
+    return REPORTS[key](open_shop(spark, path, sessions_only=key in SESSIONS_ONLY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -144,6 +144,20 @@ def tag_blocks(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     return views, blocks.drop("head_ids")
 
 
+def session_rows(events: DataFrame) -> DataFrame:
+    """The rows of ``views`` with ``n`` = 1, as ``blocks`` have them, without the other views.
+
+    ``rank() <= 1`` is limited to a block's least id before the shuffle; an
+    id that is there twice gives two rows, as it does in ``views``.
+    """
+    keys = ["user_id", "blk"]
+    ev = with_blocks(events).filter("user_id is not null and blk is not null")
+    rank_w = Window.partitionBy(*keys).orderBy("event_id")
+    least = ev.filter("event_id is not null").select(*keys, F.col("event_id").alias("sid"), F.rank().over(rank_w).alias("r"))
+    seconds = ev.groupBy(*keys).agg(F.min("secs").alias("secs0"))
+    return least.filter("r <= 1").drop("r").join(seconds, keys).withColumn("st", session_starts(F.col("secs0")))
+
+
 def _page(n: Column, st: Column, sid: Column, k: Column) -> Column:
     page = F.when(
         n == 1,

@@ -17,9 +17,12 @@ import threading
 import uuid
 import warnings
 from urllib.parse import unquote
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -346,7 +349,7 @@ def once_each(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).dropDuplicates().unionByName(df.filter(F.col(column).isNull()))
 
 
-def _reusable(spark: SparkSession, base: str, tag: str) -> str | None:
+def _reusable(spark: SparkSession, base: str, tag: str, kind: str = "shop") -> str | None:
     """A completed staged copy of the same input, left by any application."""
     fs, jpath = _fs(spark, base)
     if not fs.exists(jpath):
@@ -354,7 +357,7 @@ def _reusable(spark: SparkSession, base: str, tag: str) -> str | None:
     for status in fs.listStatus(jpath):
         name = status.getPath().getName()
         root = _join(base, name)
-        if name.startswith(f"shop-{tag}-") and _exists(spark, _join(root, COMPLETE_MARK)):
+        if name.startswith(f"{kind}-{tag}-") and _exists(spark, _join(root, COMPLETE_MARK)):
             return root
     return None
 
@@ -406,7 +409,7 @@ def _shared_folder(spark: SparkSession) -> str | None:
         return None
 
 
-def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> ShopTables:
+def open_shop(spark: SparkSession, path: str, stage: bool | None = None, sessions_only: bool = False) -> ShopTables:
     """The shop tables of ``path``: stored, staged, or derived from events.
 
     Stored tables are read as they are, but for files that hold rows more
@@ -421,6 +424,10 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     ``stage=False`` or the session setting ``spark.cartwheel.stage=off``
     keep the lazy plan, and so does a cluster without a shared checkpoint
     folder. Any error while staging is raised.
+
+    ``sessions_only`` says that no other table will be read: then only the
+    sessions are staged, unless all tables are already. Another table that is
+    read all the same is staged at that time.
     """
     path = path.rstrip("/")
     prefer_settings(spark)
@@ -436,7 +443,7 @@ def open_shop(spark: SparkSession, path: str, stage: bool | None = None) -> Shop
     if stage and _shared_folder(spark) is not None:
         # reports started from several threads stage a source only once
         with _STAGE_LOCK:
-            return _staged_shop(spark, stage_shop(spark, path))
+            return _sessions_shop(spark, path) if sessions_only else _staged_shop(spark, stage_shop(spark, path))
     return derive_shop(spark.read.parquet(_join(path, "events.parquet")))
 
 
@@ -470,13 +477,8 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
     source = digest([DERIVATION_VERSION, events_path])
     files = listing(spark, events_path)
     root = _join(base, f"shop-{tag}-{source}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}")
-    # files per table: enough that a page-view file stays near
-    # STAGED_FILE_BYTES (the views are about as large as the events)
-    n = files_per_table or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // STAGED_FILE_BYTES)
-    )
-    fs, folder = _fs(spark, root)
-    try:
+    n = files_per_table or _files_per_table(spark, input_bytes)
+    with _new_folder(spark, root, events_path, tag):
         before = _earlier(spark, base, source, files) if reuse else None
         if before is not None:
             _write_increment(spark, events_path, root, files, *before)
@@ -484,14 +486,74 @@ def stage_shop(spark: SparkSession, path: str, files_per_table: int | None = Non
             _write_tables(spark, events_path, root, n)
         rows = [(plain(f), length, changed) for f, (length, changed) in files.items()]
         spark.createDataFrame(rows, "path string, length long, changed long").coalesce(1).write.parquet(_join(root, MANIFEST))
+    _STAGED[known] = root
+    return root
+
+
+def _files_per_table(spark: SparkSession, input_bytes: int) -> int:
+    # enough that a page-view file stays near STAGED_FILE_BYTES (the views are about as large as the events)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // STAGED_FILE_BYTES))
+
+
+@contextmanager
+def _new_folder(spark: SparkSession, root: str, events_path: str, tag: str) -> Iterator[None]:
+    """Marks ``root`` complete when it is written; removes it on an error, or when its input changed meanwhile."""
+    fs, folder = _fs(spark, root)
+    try:
+        yield
         if _tag(spark, [events_path])[0] != tag:
             raise RuntimeError(f"{events_path} changed while it was staged")
     except BaseException:
         fs.delete(folder, True)
         raise
     _touch(spark, _join(root, COMPLETE_MARK))
-    _STAGED[known] = root
-    return root
+
+
+def _sessions_shop(spark: SparkSession, path: str) -> ShopTables:
+    """The tables of ``path`` with only the sessions staged, until another table is read."""
+    root, whole = stage_sessions(spark, path)
+    if whole:
+        return _staged_shop(spark, root)
+    stored = spark.read.parquet(_join(root, "website_sessions.parquet"))
+    shop = replace(derive_shop(spark.read.parquet(_join(path, "events.parquet"))), sessions=stored).conform()
+    staged: list[ShopTables] = []
+
+    def all_tables() -> ShopTables:
+        if not staged:
+            staged.append(open_shop(spark, path, True))
+        return staged[0]
+
+    def table(name: str) -> DataFrame | None:
+        return None if name == "sessions" else getattr(all_tables(), name)
+
+    return replace(shop, facts=lambda: all_tables().session_facts, before_use=table)
+
+
+def stage_sessions(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(folder that holds the staged sessions of ``path``, whether it holds the other tables too).
+
+    A complete copy of all tables is used where there is one, or one that
+    only new files have to be added to. Otherwise the sessions are derived
+    alone, from each block's least id and first second.
+    """
+    path = path.rstrip("/")
+    events_path = _join(path, "events.parquet")
+    base = checkpoint_dir(spark)
+    tag, input_bytes = _tag(spark, [events_path])
+    application = spark.sparkContext.applicationId
+    if _STAGED.get((application, tag)) or _reusable(spark, base, tag):
+        return stage_shop(spark, path), True
+    known = (application, f"sessions-{tag}")
+    found = _STAGED.get(known) or _reusable(spark, base, tag, "sessions")
+    if found is None:
+        source = digest([DERIVATION_VERSION, events_path])
+        if _earlier(spark, base, source, listing(spark, events_path)) is not None:
+            return stage_shop(spark, path), True
+        found = _join(base, f"sessions-{tag}-{source}-{application}-{uuid.uuid4().hex[:8]}")
+        with _new_folder(spark, found, events_path, tag):
+            _write_sessions(spark, events_path, found, _files_per_table(spark, input_bytes))
+    _STAGED[known] = found
+    return found, False
 
 
 def _earlier(spark: SparkSession, base: str, source: str, files: dict[str, tuple[int, int]]) -> tuple[str, set[str]] | None:
@@ -543,6 +605,20 @@ def _write_increment(spark: SparkSession, events_path: str, root: str, files: di
         fs.delete(folder, True)
 
 
+def _sessions_layout(sessions: DataFrame, n: int) -> DataFrame:
+    return sessions.repartitionByRange(n, "website_session_id").sortWithinPartitions("website_session_id")
+
+
+def _write_sessions(spark: SparkSession, events_path: str, root: str, n: int) -> None:
+    blocks_path = _join(root, "_blocks.parquet")
+    E.session_rows(spark.read.parquet(events_path)).write.mode("overwrite").parquet(blocks_path)
+    sessions = E.derive_sessions(spark.read.parquet(blocks_path))
+    sessions = sessions.select(*[F.col(c).cast(t).alias(c) for c, t in SCHEMAS["sessions"].items()])
+    _sessions_layout(sessions, n).write.mode("overwrite").parquet(_join(root, "website_sessions.parquet"))
+    fs, blocks_folder = _fs(spark, blocks_path)
+    fs.delete(blocks_folder, True)
+
+
 def _write_tables(spark: SparkSession, events_path: str, root: str, n: int) -> None:
     # tag the events once and cut the lineage there: the five tables are
     # then projections of one written table (a block's first view carries
@@ -553,9 +629,7 @@ def _write_tables(spark: SparkSession, events_path: str, root: str, n: int) -> N
     tagged = spark.read.parquet(tagged_path)
     shop = _from_tagged(tagged, tagged.filter(F.col("n") == 1).select("user_id", "blk", "sid", "secs0", "st"))
     layout = {
-        "website_sessions": shop.sessions.repartitionByRange(n, "website_session_id").sortWithinPartitions(
-            "website_session_id"
-        ),
+        "website_sessions": _sessions_layout(shop.sessions, n),
         "website_pageviews": shop.pageviews.repartitionByRange(n, "website_session_id").sortWithinPartitions(
             "website_session_id", "website_pageview_id"
         ),
@@ -563,7 +637,9 @@ def _write_tables(spark: SparkSession, events_path: str, root: str, n: int) -> N
         "order_items": shop.order_items.repartitionByRange(n, "order_item_id").sortWithinPartitions("order_item_id"),
         "order_item_refunds": shop.refunds.repartitionByRange(max(1, n // 4), "order_item_id"),
     }
-    for name, df in layout.items():
-        df.write.mode("overwrite").parquet(_join(root, f"{name}.parquet"))
+    # side by side: a write's last tasks, its range sample and its commit leave cores idle
+    write = inheritable_thread_target(spark)(lambda name: layout[name].write.mode("overwrite").parquet(_join(root, f"{name}.parquet")))
+    with ThreadPoolExecutor(len(layout)) as pool:
+        list(pool.map(write, layout))
     fs, tagged_folder = _fs(spark, tagged_path)
     fs.delete(tagged_folder, True)
