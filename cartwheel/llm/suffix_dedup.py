@@ -295,8 +295,8 @@ def sorted_anchors(data: np.ndarray, anchor: np.ndarray, right: np.ndarray, grou
         order[todo], word = k[by], word[by]
         split = 1 + np.flatnonzero((word[1:] != word[:-1]) & inner)
         differ, equal = word[split] ^ word[split - 1], np.zeros(len(split), np.int64)
-        for k in range(1, 8):
-            equal += differ >> np.uint64(64 - 8 * k) == 0
+        for count in range(1, 8):
+            equal += differ >> np.uint64(64 - 8 * count) == 0
         head[todo[split]] = True
         prefix[todo[split]] = np.minimum(offset + equal, window)
     return order, prefix
