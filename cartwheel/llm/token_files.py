@@ -185,9 +185,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
 
         def payload() -> Iterator[bytes]:
             yield MAGIC
-            for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = encoder.ids(text) + end
+            for batch in tokens.gathered(batches, 1):
+                for key, ids in zip(batch.column(0).to_pylist(), encoder.all_ids(batch.column(1)), strict=True):
+                    ids += end
                     if keys and keys[-1] == key:
                         counts[-1] += 1
                     else:

@@ -6,19 +6,24 @@ its chunks (each with the white space before it) in a row, and a chunk's
 ids are computed by the library's own model once per worker. Chunks that
 differ only in punctuation share their words, so the pieces inside chunks
 are remembered as well. Both memories are bounded and forget what was not
-used lately.
+used lately. Of many texts at once, Arrow finds the distinct chunks, so that
+Python handles each only once, and puts their ids in a row.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: chunks remembered per Python worker, in two generations of this size; about 200 bytes each with the dict.
 MEMO_CHUNKS = 300_000
+#: bytes of text that are encoded at once, about; a worker holds some sixteen times as much for it.
+GATHERED_BYTES = 8_000_000
 
 # fixed values: white space as both vocabularies' patterns know it, and the
 # two patterns themselves, for text of ASCII and the letters of Latin-1 and
@@ -31,6 +36,8 @@ WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETT
 
 CHUNK = re.compile(f"[{re.escape(SPACE)}]*[^{re.escape(SPACE)}]+|[{re.escape(SPACE)}]+")
 RARE_SPACE = [c for c in SPACE if c not in " \n"]
+# what can follow a word as one piece: no apostrophe (contractions) and no "<" (special tokens)
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -94,6 +101,29 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return (self.chunks[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
+    def all_ids(self, texts: pa.Array) -> list[bytes]:
+        """``ids`` of each text, with the distinct chunks of all texts looked up once."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        rare = "".join(RARE_SPACE)
+        odd = pc.match_substring_regex(texts, f"[{rare}]" if self.lowers else f"[ \n]{{2}}|[{rare}]")
+        starts, codes, words = self._words(pc.if_else(odd, "", texts))
+        memo, compute = (self.chunks, self._chunk) if self.lowers else (self.spaced, self._after_space)
+        # Latin words with marks are put together from remembered pieces, but are not remembered themselves
+        ids = [compute(w) if not w.isalpha() and LATIN.fullmatch(w) else memo[w] for w in words]
+        # the first chunk has no space before it; an odd text is all one chunk
+        firsts = codes[starts[:-1]].tolist()
+        codes[starts[:-1]] = np.arange(len(words), len(words) + len(texts))
+        ids += [self.ids(texts[i].as_py()) if o else self.chunks[words[f]] for i, (o, f) in enumerate(zip(odd.to_pylist(), firsts, strict=True))]
+        _, offsets, data = pa.array(ids, pa.large_binary()).take(pa.array(codes)).buffers()
+        ends = np.frombuffer(offsets, np.int64)[starts]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), data]).to_pylist()
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Where each text's chunks start, the number of each chunk's word, and the distinct words."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " " if self.lowers else " \n"), " ")
+        words = split.flatten().dictionary_encode()
+        return split.offsets.to_numpy(), words.indices.to_numpy().copy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+
     def _model(self, piece: str) -> bytes:
         return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
 
@@ -102,8 +132,11 @@ class Encoder:
         return self._model(piece.encode().decode("latin-1").translate(self.alphabet))
 
     def _after_space(self, chunk: str) -> bytes:
-        if chunk.isalpha() and chunk.isascii():
-            return self._model(self.alphabet[0x20] + chunk)
+        word = chunk.rstrip(MARKS)
+        if word.isalpha() and LATIN.fullmatch(word):
+            if word != chunk:
+                return self.spaced[word] + self.pieces[chunk[len(word) :]]
+            return self._model(self.alphabet[0x20] + word) if word.isascii() else self._piece(" " + word)
         return self._chunk(chunk if chunk[:1] == "\n" else " " + chunk)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -116,7 +149,10 @@ class Encoder:
         # a word among the pieces is a chunk that may be remembered
         if self.lowers:
             low = chunk.lower()
-            if low.isalpha():
+            word = low.rstrip(MARKS)
+            if word.isalpha():
+                if word != low:
+                    return self.chunks[word] + self.pieces[low[len(word) :]]
                 return self._piece(low) if low == chunk else self.chunks[low]
             return b"".join([self.chunks[p] if p.isalpha() else self.pieces[p] for p in WORD_PIECES.findall(low)])
         return b"".join(
@@ -124,6 +160,20 @@ class Encoder:
         )
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: int, size: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batches`` put together while their texts in ``column`` are ``size`` bytes at most; none is cut."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        more = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and held_bytes + more > size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+        held.append(batch)
+        held_bytes += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
