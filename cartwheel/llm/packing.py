@@ -140,9 +140,9 @@ def pack(
                 values.clear()
             return batch
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(np.frombuffer(encoder.ids(text), encoder.dtype), encoder.dtype.type(end_id))
+        for batch in tokens.gathered(batches, 1):
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.all_ids(batch.column(1)), strict=True):
+                ids = np.append(np.frombuffer(found, encoder.dtype), encoder.dtype.type(end_id))
                 known[number] = (doc_id, len(ids))
                 held += close(packer.add(number, ids))
                 number += 1
