@@ -105,7 +105,10 @@ class Encoder:
         """``ids`` of each text, with the distinct chunks of all texts looked up once."""
         texts = texts.cast(pa.large_string()).fill_null("")
         rare = "".join(RARE_SPACE)
-        odd = pc.match_substring_regex(texts, f"[{rare}]" if self.lowers else f"[ \n]{{2}}|[{rare}]")
+        if self.lowers:  # white space only parts the words
+            texts, odd = pc.replace_substring_regex(texts, f"[{rare}\n]", " "), pa.array([False] * len(texts), pa.bool_())
+        else:  # white space that may be one piece; of two before a word, each is a piece or the word's
+            odd = pc.match_substring_regex(texts, rf"[{rare}]|[ \n]{{3}}|[ \n]{{2}}(\z|<\|)")
         starts, codes, words = self._words(pc.if_else(odd, "", texts))
         memo, compute = (self.chunks, self._chunk) if self.lowers else (self.spaced, self._after_space)
         # Latin words with marks are put together from remembered pieces, but are not remembered themselves
@@ -120,7 +123,7 @@ class Encoder:
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Where each text's chunks start, the number of each chunk's word, and the distinct words."""
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " " if self.lowers else " \n"), " ")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         words = split.flatten().dictionary_encode()
         return split.offsets.to_numpy(), words.indices.to_numpy().copy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
 

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -105,6 +107,12 @@ def test_marks_after_words_at_once(pair):
     same_at_once(pair, [f"{a}{w}{m} {w}{m}\n{w}{m}" for w in words for m in marks for a in ("", " ", "\n", "(")])
 
 
+def test_white_space_in_a_row_at_once(pair):
+    runs = ["".join(r) for n in range(4) for r in itertools.product(" \n\t", repeat=n)]
+    words = ["", "Word.", "it's", "Été", "日本", "1", "...", "<|endoftext|>", "<|", "<"]
+    same_at_once(pair, [f"{a}{run}{b}" for run in runs for a in words for b in words])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.none() | TRICKY, max_size=6))
 def test_tricky_spaces_at_once(texts):
